@@ -35,8 +35,8 @@ def context_lines(h: DataFrame, fetch: int = 20, show: int = 10) -> DataFrame:
     """The newest demo rows as report lines (20 fetched, 10 shown)."""
     top = demo_rows(h).orderBy(F.desc("timestamp"), F.desc("id")).limit(fetch)
     ranked = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("timestamp"), F.desc("id"))))
-    line = F.format_string("- %s: %s$ [%s] -> %s (%.1f%%)", F.col("timestamp").cast("string"),
-                           F.col("amount").cast("string"), F.col("model_used"), F.col("verdict"),
+    line = F.format_string("- %s: %.2f$ [%s] -> %s (%.1f%%)", F.col("timestamp").cast("string"),
+                           F.col("amount"), F.col("model_used"), F.col("verdict"),
                            F.col("probability") * 100.0)
     return ranked.where(F.col("pos") <= show).select("pos", "id", line.alias("line"))
 
