@@ -87,12 +87,13 @@ def batch_risky(h: DataFrame) -> DataFrame:
             .orderBy("batch_id", "time_sec", "id"))
 
 
-def batch_context_json(h: DataFrame, batch_id: Column) -> DataFrame:
-    """Every row of one batch as one JSON array in time order.
+def batch_context_json(h: DataFrame, batch_id: Column | None = None) -> DataFrame:
+    """Every row of a batch (each batch when ``batch_id`` is None) as one
+    JSON array in time order.
 
     One batch is one uploaded file, so the array is bounded by the upload size.
     """
-    rows = h.where(F.col("batch_id") == batch_id)
+    rows = h.where(F.col("batch_id").isNotNull()) if batch_id is None else h.where(F.col("batch_id") == batch_id)
     item = F.struct(F.col("time_val").alias("time"), F.col("amount"), F.col("verdict"),
                     F.col("tx_description").alias("desc"))
     return rows.groupBy("batch_id").agg(

@@ -55,7 +55,8 @@ def running_balance(stmt: DataFrame, n_buckets: int = 64) -> DataFrame:
     The running sum is split into buckets of the global order, so an account
     holding a large share of all lines is spread over many tasks.
     """
-    order_key = F.unix_date(F.col("tx_date")).cast("double") * 1e12 + F.col("seq").cast("double")
+    day = F.floor(F.unix_seconds(F.col("tx_date").cast("timestamp")) / 86400)
+    order_key = day.cast("double") * 1e10 + F.col("seq").cast("double")
     d = stmt.withColumn("_ok", order_key)
     b = quantile_bucket(d, "_ok", n_buckets)
     r = running_sums(b, [F.col("tx_date"), F.col("seq")], {"_cum": F.col("amount_vnd")}, partition_by=["account"])

@@ -225,3 +225,56 @@ def q_tune(spark, d):
     t = fx.tx(spark, d)
     best = tuning.tune_all(t, ["knn"], n_trials=3)
     return tuning.tuning_summary(best, spark)
+
+
+# ---- J attribution --------------------------------------------------------------
+from ..operators import explain  # noqa: E402
+
+_W = explain.rule_weights()
+_W_SQL = "(VALUES " + ", ".join(f"('{c}', {w!r})" for c, w in _W.items()) + ") wt(feature, w)"
+_ATTR_SQL = (W("tx") + ", lv AS (SELECT id, feature, value FROM (UNPIVOT (SELECT id, " + ", ".join(_q(c) for c in C.FEATURES)
+             + " FROM tx) ON " + ", ".join(_q(c) for c in C.FEATURES) + " INTO NAME feature VALUE value)), "
+             f"attr AS (SELECT lv.id, lv.feature, lv.value * wt.w AS shap, 0.0 AS base FROM lv JOIN {_W_SQL} USING (feature)), "
+             "rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(shap) DESC, feature) AS rank FROM attr) ")
+
+
+def _linear_attr(spark, d):
+    t = fx.tx(spark, d)
+    return explain.shapley(t, explain.LinearScore(_W), n_perm=2)
+
+
+@query("shapley_additivity", "J1")
+def q_shap_add(spark, d):
+    sp = prep.stratified_split(fx.tx(spark, d))
+    train, test = sp.where(~F.col("is_test")), sp.where("is_test")
+    f = models.train_model("logistic_regression", train)
+    a = explain.shapley(test, f, n_perm=2)
+    return a.groupBy("id").agg(F.sum("shap").alias("sum_shap"), F.first("fx").alias("fx"), F.first("base").alias("base")) \
+            .withColumn("abs_err", F.abs(F.col("sum_shap") - (F.col("fx") - F.col("base"))))
+
+
+@query("top_features", "J1 J2",
+       _ATTR_SQL + "SELECT id, CAST(rank AS INTEGER) AS rank, feature, round(shap, 4) AS shap, "
+       "CASE WHEN shap > 0 THEN 'raise risk' ELSE 'lower risk' END AS direction FROM rk WHERE rank <= 5")
+def q_top_features(spark, d):
+    return explain.top_features(_linear_attr(spark, d))
+
+
+@query("waterfall", "J3",
+       _ATTR_SQL + ", g AS (SELECT id, CASE WHEN rank < 10 THEN rank ELSE 10 END AS bar, "
+       "CASE WHEN rank < 10 THEN feature ELSE 'other' END AS label, shap FROM rk), "
+       "b AS (SELECT id, CAST(bar AS INTEGER) AS bar, any_value(label) AS label, sum(shap) AS value FROM g GROUP BY id, bar) "
+       "SELECT id, bar, label, " + sql_sig_round("value", 8) + " AS value, "
+       + sql_sig_round("sum(value) OVER (PARTITION BY id ORDER BY bar ROWS UNBOUNDED PRECEDING) - value", 8) + " AS start, "
+       + sql_sig_round("sum(value) OVER (PARTITION BY id ORDER BY bar ROWS UNBOUNDED PRECEDING)", 8) + " AS \"end\" FROM b")
+def q_waterfall(spark, d):
+    w = explain.waterfall(_linear_attr(spark, d))
+    return w.select("id", "bar", "label", *[sig_round(F.col(c), 8).alias(c) for c in ("value", "start", "end")])
+
+
+@query("attribution_text", "J4",
+       _ATTR_SQL + "SELECT id, string_agg(printf('  - %s: SHAP = %+.4f (%s)', feature, round(shap, 4), "
+       "CASE WHEN shap > 0 THEN 'raise risk' ELSE 'lower risk' END), chr(10) ORDER BY rank) AS text FROM rk "
+       "WHERE rank <= 5 GROUP BY id")
+def q_attr_text(spark, d):
+    return explain.attribution_text(_linear_attr(spark, d))

@@ -427,7 +427,7 @@ def q_attach(spark, d):
     from ..functions.rand import md5_uniform
     lines = clean.statement_columns(clean.statement_body(fx.sheet_rows(spark, d)))
     tech = synth.statement_to_technical(lines)
-    scored = tech.withColumn("fraud_prob", md5_uniform(C.SEED, F.col("file"), F.col("line_no")))
+    scored = tech.select("file", "line_no", md5_uniform(C.SEED, F.col("file"), F.col("line_no")).alias("fraud_prob"))
     return (scored.join(lines, ["file", "line_no"], "left")
                   .select("file", "line_no", "fraud_prob", "date", "time", "description", "amount_display"))
 
