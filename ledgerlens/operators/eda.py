@@ -124,13 +124,13 @@ def kde(df: DataFrame, col: str, points: int = 200) -> DataFrame:
     n = st.select("n").scalar()
     bw = st.select(F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)).scalar()
     lo, hi = st.select("lo").scalar(), st.select("hi").scalar()
-    grid = df.sparkSession.range(points).select(
-        F.col("id").alias("k"), (lo + (hi - lo) * F.col("id") / F.lit(points - 1)).alias("grid_x"))
     distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    # every distinct value meets the 200 grid points inside its own row
+    g = distinct.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    g = g.withColumn("grid_x", F.lit(lo) + F.lit(hi - lo) * F.col("k") / F.lit(points - 1))
     z = (F.col("grid_x") - F.col("x")) / bw
     contrib = F.col("c") * F.exp(-0.5 * z * z)
-    dens = (distinct.crossJoin(F.broadcast(grid)).groupBy("k", "grid_x")
-                    .agg(F.sum(contrib).alias("_s")))
+    dens = g.groupBy("k", "grid_x").agg(F.sum(contrib).alias("_s"))
     return dens.select("k", "grid_x", (F.col("_s") / (n * bw * math.sqrt(2 * math.pi))).alias("density"))
 
 
