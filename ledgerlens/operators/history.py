@@ -58,8 +58,8 @@ def context_text(h: DataFrame) -> DataFrame:
                                                  lambda s: s["line"])), F.lit("")).alias("recent"))
     head = F.format_string("SYSTEM OVERVIEW:\n- Safe transactions: %d\n- Average safe amount: %.2f$\n"
                            "- Fraud cases blocked: %d\n\nRECENT TRANSACTIONS:\n",
-                           st.select("safe_count").scalar(), st.select("avg_safe_amount").scalar(),
-                           st.select("fraud_count").scalar())
+                           F.lit(st.select("safe_count").scalar()), F.lit(st.select("avg_safe_amount").scalar()),
+                           F.lit(st.select("fraud_count").scalar()))
     return lines.select(F.concat(head, F.col("recent")).alias("context"))
 
 

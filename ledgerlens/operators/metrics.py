@@ -54,6 +54,8 @@ def score_groups(df: DataFrame, label: str = "Class", score: str = "p", by=(),
     fp_above) and up to and including (tp_cum, fp_cum) each score."""
     g = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                    F.count_if(F.col(label) != 1).alias("neg"))
+    # read three times (cut points, bucket totals, running sums): written once
+    g = g.checkpoint()
     b = quantile_bucket(g, score, n_buckets, descending=True)
     r = running_sums(b, [F.col(score).desc()], {"tp_cum": F.col("pos"), "fp_cum": F.col("neg")},
                      partition_by=by)

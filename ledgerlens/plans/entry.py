@@ -9,7 +9,7 @@ from .registry import REGISTRY
 
 
 def _load_all():
-    for mod in ("catalog_reports", "catalog_ml", "catalog_streams"):
+    for mod in ("catalog_reports", "catalog_ml", "catalog_streams", "catalog_io"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import clean, metrics as M, models, prep, scoring as S
-from ..session import ensure_checkpoint_dir, shared_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, shared_dir
 from ..sources import fixtures as fx
 from ..sources import io
 
@@ -153,7 +153,9 @@ def batch_import(spark: SparkSession, upload: DataFrame, model: "models.Fitted",
                  source: str = "upload") -> tuple[DataFrame, DataFrame]:
     """M7: check, coerce, scale, score, attach statement lines; returns
     (scored rows ready for the history table, H8 summary)."""
-    valid = clean.coerce_numeric(upload)
+    # the validated rows are read by the row-number passes and the scoring:
+    # cut them from the upload's lineage once
+    valid = cut_lineage(clean.coerce_numeric(upload), "upload")
     valid = S.row_numbers(valid, "Row", "row")
     scaled = prep.apply_robust_scaler(valid.withColumn("id", F.col("Row").cast("long")), scaler)
     scored = model.predict(scaled).withColumnRenamed("p", "fraud_prob")

@@ -54,3 +54,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint location, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def cut_lineage(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Used instead of ``checkpoint()`` for wide plans of many derived columns,
+    where copying the plan's inferred constraints into the checkpoint is
+    expensive.  Survives executor loss like a checkpoint.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = shared_dir(spark, f"cut/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
