@@ -166,17 +166,22 @@ def dirty_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric samples: per user series a daily-reset error counter and a value gauge."""
-    from pyspark.sql import Window
+    """Metric samples: per user series a daily-reset error counter and a value gauge.
+
+    The running count is taken with the bucketed running-sum helper, so a user
+    with a large share of one day's events does not end up in a single task."""
+    from ..functions.dist import quantile_bucket, running_sums
     ev = table(spark, sf_dir, "events")
-    day = F.to_date(F.col("ts"))
-    w = (Window.partitionBy("user_id", day).orderBy("ts", "event_id")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    return ev.select(
+    d = ev.withColumn("_day", F.to_date(F.col("ts"))) \
+          .withColumn("_ord", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    b = quantile_bucket(d, "_ord", 64)
+    r = running_sums(b, [F.col("ts"), F.col("event_id")], {"_cnt": (F.col("event_type") == "error").cast("long")},
+                     partition_by=["user_id", "_day"])
+    return r.select(
         F.col("event_id").alias("sample_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("series"),
-        F.sum((F.col("event_type") == "error").cast("long")).over(w).cast("double").alias("counter"),
+        F.col("_cnt").cast("double").alias("counter"),
         F.col("value").alias("gauge"),
         F.col("event_type"),
     )
