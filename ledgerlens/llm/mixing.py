@@ -86,21 +86,25 @@ def rake(cells: DataFrame, targets: DataFrame, sweeps: int = 12) -> DataFrame:
     for i in range(sweeps):
         for d in DIMENSIONS:
             held = F.sum("weight").over(Window.partitionBy(d))
-            now = now.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * F.col(f"_share_{d}") / held).otherwise(0.0))
-        if i % 4 == 3:
+            now = now.withColumn("weight", F.try_divide(F.col("weight") * F.col(f"_share_{d}"), held))
+        if i % 2:
             now = cut_lineage(now, "cells")
-    return now.drop(*[f"_share_{d}" for d in DIMENSIONS])
+    return now.drop(*[f"_share_{d}" for d in DIMENSIONS]).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
-def scale_to_budget(rate: DataFrame, budget: float) -> float:
+def scale_to_budget(rate: DataFrame, budget: float, rounds: int = 3, points: int = 16) -> float:
     """Factor s for which sum(tokens * min(1, s * _rate)) comes nearest to
-    ``budget`` of all tokens from below; found on a grid of steps of 1/32
-    powers of two in one aggregation."""
-    grid = [2.0 ** (i / 32) for i in range(-320, 321)]
-    sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("_rate"))) for s in grid]
-    got = rate.agg(F.sum("tokens").alias("all"), F.array(*sums).alias("kept")).first()
-    fit = [s for s, k in zip(grid, got["kept"] or []) if k is not None and k <= budget * got["all"]]
-    return max(fit, default=grid[0])
+    ``budget`` of all tokens from below, to half a hundredth: each round sums
+    for a grid of factors at once and narrows it to one step."""
+    low, high = -10.0, 10.0         # powers of two
+    for _ in range(rounds):
+        grid = [low + (high - low) * i / points for i in range(points + 1)]
+        sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(2.0 ** g) * F.col("_rate"))).alias(f"s{i}") for i, g in enumerate(grid)]
+        got = rate.agg(F.sum("tokens").alias("all"), *sums).first()
+        fit = [i for i in range(points) if got["all"] and got[f"s{i}"] <= budget * got["all"]]
+        at = max(fit, default=0)
+        low, high = grid[at], grid[at + 1]
+    return 2.0 ** low
 
 
 def calibrated(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.7, sweeps: int = 12,
