@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, langid, line_dedup, mixing, simhash, toxicity
+from . import bpe, langid, line_dedup, lm, mixing, neardup_vec, secrets, simhash, topk, toxicity
 from .common import fold
 
 QUERIES = {}
@@ -45,6 +45,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity.*").withColumn("toxic", F.col("grade") >= 1)
 
 
+@registered
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (neardup_vec.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+            .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
+
+
+@registered
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), train=fold("doc_id") != 1)
+
+
 @registered
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +64,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_lines", "n_dropped", sha256_text(line_dedup.kept_text("text", "keep")).alias("kept_sha256")))
 
 
+@registered
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{name}") for i, name in enumerate(secrets.BASE)],
+                        F.sha2(secrets.as_text("base"), 256).alias("base_sha256"), secrets.as_text("spans").alias("spans"))
+
+
 @registered
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +89,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (mixing.draw(F.col(doc_id)) < F.col("_prob")).alias("sampled"))
 
 
+@registered
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
+
+
 @registered
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.arrow_udf("struct<n_tokens:long,sha:string>")
