@@ -9,8 +9,8 @@ Labels say only toxic or not, so the grade of a toxic training text comes from
 how many of the selected words it holds: thirds of the toxic sample, by count.
 
 The model is fitted on a bounded sample of labelled rows: at most
-``max_per_class`` of each class, those with the smallest hash of the id.  All
-texts are scored whole.
+``max_per_class`` of each class, those with the smallest hash of the id, near
+copies among them taken once.  All texts are scored whole.
 
 Defined cases: null and empty texts, and all texts if no toxic or no clean
 label matches a text, are grade 0 with severity 0.  Labels that are null or
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,10 @@ class SeverityModel:
         return [float(1 / (1 + np.exp(min(t - z, 700.0)))) if np.isfinite(t) else 0.0 for t in self.thresholds]
 
 
-def select_words(texts: list[set[bytes]], toxic: np.ndarray, min_docs: int, min_g: float) -> list[bytes]:
-    """Words whose presence tells toxic from clean texts: G-test of the 2x2
-    table at least ``min_g``, more frequent among toxic texts, found in at
-    least ``min_docs`` of them."""
+def select_words(texts: list[set[bytes]], toxic: np.ndarray, min_docs: int, min_g: float, min_lift: float) -> list[bytes]:
+    """Words whose presence tells toxic from clean texts: found in at least
+    ``min_docs`` toxic ones, ``min_lift`` times as often as in clean ones (so
+    longer toxic texts alone select nothing), G-test at least ``min_g``."""
     counts: dict[bytes, list[int]] = {}
     for ws, y in zip(texts, toxic):
         for w in ws:
@@ -66,7 +67,7 @@ def select_words(texts: list[set[bytes]], toxic: np.ndarray, min_docs: int, min_
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     out = []
     for w, (c0, c1) in counts.items():
-        if c1 >= min_docs and c1 * n0 > c0 * n1:
+        if c1 >= min_docs and c1 * n0 >= min_lift * (c0 + 0.5) * n1:
             seen = np.array([[c1, n1 - c1], [c0, n0 - c0]], float)
             mean = seen.sum(1, keepdims=True) * seen.sum(0, keepdims=True) / seen.sum()
             g = 2 * np.sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / mean), 0.0))
@@ -75,21 +76,23 @@ def select_words(texts: list[set[bytes]], toxic: np.ndarray, min_docs: int, min_
     return sorted(out)
 
 
-def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, l2: float = 1e-4, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) by gradient descent with momentum on the sum of the logistic
-    losses of all thresholds; thresholds stay in order as sums of positive
-    steps."""
-    n, d = x.shape
+    losses of all thresholds, clean and toxic texts weighing the same in all;
+    thresholds stay in order as sums of positive steps."""
+    d = x.shape[1]
     w, base, gaps = np.zeros(d), 0.0, np.zeros(GRADES - 1)
     params = np.concatenate((w, [base], gaps))
     v = np.zeros_like(params)
     above = grade[:, None] >= np.arange(1, GRADES + 1)
+    toxic = grade > 0
+    weight = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))[:, None]
     for _ in range(steps):
         look = params + 0.9 * v
         w, base, gaps = look[:d], look[d], look[d + 1:]
         theta = base + np.concatenate(([0.0], np.cumsum(np.logaddexp(0, gaps))))
         p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - theta, -60, 60)))
-        r = (p - above) / n
+        r = (p - above) * weight
         g_theta = -r.sum(0)
         tail = np.cumsum(g_theta[::-1])[::-1]
         grad = np.concatenate((x.T @ r.sum(1) + l2 * w, [g_theta.sum()], tail[1:] / (1 + np.exp(-gaps))))
@@ -99,7 +102,8 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, l2: float = 1e-3, step
     return w, base + np.concatenate(([0.0], np.cumsum(np.logaddexp(0, gaps))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_docs: int = 8, min_g: float = 30.0) -> SeverityModel:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_docs: int = 4,
+          min_g: float = 20.0, min_lift: float = 8.0) -> SeverityModel:
     """Fit on at most ``max_per_class`` toxic and as many clean labelled texts."""
     graded = (take(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
               .groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")))
@@ -114,22 +118,38 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_doc
     rows = (take(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
             .select("doc_id", "toxic", features("text").alias("f")).toLocalIterator())
-    every = sorted(((r.doc_id, r.toxic, frozenset(map(bytes, r.f))) for r in rows), key=lambda r: r[0])
-    texts, toxic = [r[2] for r in every], np.array([r[1] for r in every], bool)
+    every: dict = {}
+    for _, y, ws in sorted(((r.doc_id, r.toxic, frozenset(map(bytes, r.f))) for r in rows), key=lambda r: r[0]):
+        every.setdefault((mark(ws), y), ws)
+    texts, toxic = list(every.values()), np.array([y for _, y in every], bool)
     if not toxic.any() or toxic.all():
         return SeverityModel()
-    chosen = select_words(texts, toxic, min_docs, min_g)
-    if not chosen:
-        return SeverityModel()
-    column = {w: i for i, w in enumerate(chosen)}
-    x = np.zeros((len(texts), len(chosen)))
-    for i, ws in enumerate(texts):
-        x[i, [column[w] for w in ws if w in column]] = 1.0
-    hits = x.sum(1)
-    low, high = np.quantile(hits[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (hits > low) + (hits > high), 0)
-    w, theta = fit_cumulative_link(x, grade)
-    return SeverityModel(dict(zip(chosen, map(float, w))), tuple(map(float, theta)))
+    return fit(texts, toxic, select_words(texts, toxic, min_docs, min_g, min_lift))
+
+
+def mark(ws: frozenset[bytes]):
+    """Equal for copies and nearly always for near copies, so that a group of
+    them counts as one text in training: the smallest hash of a long word."""
+    return min((crc32(w) for w in ws if len(w) >= 8), default=ws)
+
+
+def fit(texts: list[frozenset[bytes]], toxic: np.ndarray, chosen: list[bytes], min_weight: float = 0.3, rounds: int = 3) -> SeverityModel:
+    """Fit, drop words that turn out to weigh little, and fit again."""
+    for _ in range(rounds):
+        column = {w: i for i, w in enumerate(chosen)}
+        x = np.zeros((len(texts), len(chosen)))
+        for i, ws in enumerate(texts):
+            x[i, [column[w] for w in ws if w in column]] = 1.0
+        hits = x.sum(1)
+        some = hits[toxic & (hits > 0)]
+        if not len(some):
+            return SeverityModel()
+        low, high = np.quantile(some, [1 / 3, 2 / 3])
+        w, theta = fit_cumulative_link(x, np.where(toxic, 1 + (hits > low) + (hits > high), 0))
+        if (w >= min_weight).all():
+            break
+        chosen = [c for c, v in zip(chosen, w) if v >= min_weight]
+    return SeverityModel(dict(zip(column, map(float, w))), tuple(map(float, theta)))
 
 
 def with_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text") -> DataFrame:
