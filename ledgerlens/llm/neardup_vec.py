@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import components, take
 
-BLOCK_DIMS = 8      # coordinates of a block
+BLOCK_DIMS = 16     # coordinates of a block
 GRID_DIMS = 2       # of them in the grid
 TILE = 1500         # vectors of a cell's part, about
 SLICE = 512         # rows of a distance matrix at a time
@@ -136,9 +136,12 @@ def usable(v) -> bool:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) of every row."""
+    single = take(vectors, vec_col).schema[0].dataType.elementType.typeName() == "float"
+    kind = np.dtype("<f4" if single else "<f8")         # the column's own precision; all sums are in doubles
+
     @F.arrow_udf("binary")
     def payload(vs: pa.Array) -> pa.Array:
-        return pa.array([(np.array(v, np.float64) + 0.0).tobytes() if usable(v) else None for v in vs.to_pylist()], pa.binary())
+        return pa.array([(np.array(v, kind) + kind.type(0)).tobytes() if usable(v) else None for v in vs.to_pylist()], pa.binary())
 
     rows = cut_lineage(take(vectors, id_col, vec_col)
                        .select(F.col(id_col).cast("long").alias("vec_id"), payload(vec_col).alias("v"))
@@ -151,7 +154,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     def cells(vs: pa.Array) -> pa.Array:
         steps, out = neighbours(), []
         for v in vs:
-            x = np.frombuffer(v.as_py(), np.float64)
+            x = np.frombuffer(v.as_py(), kind).astype(np.float64)
             d = len(x)
             r, width = (unit(x[None]) @ rotation_of(d))[0], np.sqrt(budget(threshold, d))
             mine = []
@@ -186,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         ids = t["rep"].to_numpy()
         if len(ids) < 2 or all(t["guest"].to_pylist()):
             return pa.table({n: pa.array([], pa.int64()) for n in ("a", "b", "n")})
-        x = np.stack([np.frombuffer(v, np.float64) for v in t["v"].to_pylist()])
+        x = np.stack([np.frombuffer(v, kind) for v in t["v"].to_pylist()]).astype(np.float64)
         block = int(key[0].as_py().split(":")[1])
         links = tile_links(x, np.array(t["guest"].to_pylist()), t["side"].to_numpy(), key[1] == key[2], block, threshold)
         return tally(links, ids, t["copies"].to_numpy())
