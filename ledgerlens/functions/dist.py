@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_RANK_BUCKETS = 4096
 DEFAULT_CUTOFF_BUCKETS = 65536
+BUCKET_ROWS = 100_000       # target rows of a bucket of a global order
 
 
 def _cols(xs) -> list[str]:
@@ -86,18 +87,24 @@ def first_k_mask(df: DataFrame, by, u: str, tie: str, k: DataFrame, k_col: str =
              .drop("_b", "_bb", "_cu", "_ct", "_all"))
 
 
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int, out_col: str = "_b",
+def bucket_count(n_rows: int, per_bucket: int = BUCKET_ROWS) -> int:
+    """Buckets of about ``per_bucket`` rows; a few even for small inputs."""
+    return max(8, -(-n_rows // per_bucket))
+
+
+def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None, out_col: str = "_b",
                     descending: bool = False, rel_error: float = 1e-3) -> DataFrame:
     """Add a bucket id monotone in ``col`` with roughly equal-count buckets.
 
-    Cut points come from ``percentile_approx`` (a bounded array of
-    ``n_buckets - 1`` doubles); assignment is a JVM-side binary search.
+    The number of buckets follows the number of rows unless given.  Cut points
+    come from ``percentile_approx`` (``n_buckets - 1`` doubles); assignment is a JVM-side binary search.
     Equal values always land in the same bucket.
     """
+    n_buckets = bucket_count(df.count()) if n_buckets is None else n_buckets
     if n_buckets <= 1:
         return df.withColumn(out_col, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10000, int(1.0 / rel_error))
+    acc = max(10000, int(1.0 / rel_error), 10 * n_buckets)
     row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, acc).alias("q")).first()
     cuts = sorted(set(v for v in (row["q"] or []) if v is not None))
     splits = [float("-inf")] + cuts + [float("inf")]

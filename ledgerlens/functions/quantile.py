@@ -4,7 +4,8 @@ Spark's ``percentile`` is exact but keeps a value->count map per group in one
 task; ``percentile_approx`` is bounded but approximate.  This helper uses the
 approximate sketch only to bracket each wanted order statistic (rank error is
 at most n / accuracy), counts the rows below the bracket, and sorts just the
-rows inside it, so every task handles at most about 2n/accuracy rows.
+distinct values inside it with their counts, so a value shared by many rows is
+one row.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         tcols += [F.col("_br")[2 * i].alias(f"_lo{i}"), F.col("_br")[2 * i + 1].alias(f"_hi{i}"),
                   h.alias(f"_h{i}")]
     targets = stats.select(*keys, "n", *tcols)
-    # number of groups x number of probs: bounded by the caller's strata and columns
-    tb = F.broadcast(targets)
+    # one row per group; Spark decides by its size whether to broadcast it
+    tb = targets
     below = lv.join(tb, keys).groupBy(*keys).agg(
         *[F.count_if(F.col("value") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(probs))])
     in_any = F.lit(False)
@@ -61,15 +62,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     below_i = F.element_at(F.array(*[F.col(f"_below{i}") for i in range(len(probs))]),
                            (F.col("_pi") + 1).cast("int"))
     h_i = F.element_at(F.array(*[F.col(f"_h{i}") for i in range(len(probs))]), (F.col("_pi") + 1).cast("int"))
-    r = below_i + F.row_number().over(Window.partitionBy(*keys, "_pi").orderBy("value"))
+    # equal values are one row from here on, with the ranks (_r - _c, _r] they hold
+    cand = cand.groupBy(*keys, "n", "_pi", "value", below_i.alias("_below"), h_i.alias("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    h_i = F.col("_h")
+    up_to = F.sum("_c").over(Window.partitionBy(*keys, "_pi").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    r = F.col("_below") + up_to
     lo_rank = F.floor(h_i).cast("long") + 1
     hi_rank = F.least(lo_rank + 1, F.col("n"))
     picked = (cand.withColumn("_r", r).withColumn("_lr", lo_rank).withColumn("_hr", hi_rank)
                   .withColumn("_d", h_i - F.floor(h_i))
-                  .where((F.col("_r") == F.col("_lr")) | (F.col("_r") == F.col("_hr")))
+                  .withColumn("_has_l", (F.col("_r") >= F.col("_lr")) & (F.col("_r") - F.col("_c") < F.col("_lr")))
+                  .withColumn("_has_h", (F.col("_r") >= F.col("_hr")) & (F.col("_r") - F.col("_c") < F.col("_hr")))
+                  .where("_has_l or _has_h")
                   .groupBy(*keys, "_pi")
-                  .agg(F.max_by("value", F.col("_r") == F.col("_lr")).alias("_v1"),
-                       F.max_by("value", F.col("_r") == F.col("_hr")).alias("_v2"),
+                  .agg(F.max_by("value", "_has_l").alias("_v1"),
+                       F.max_by("value", "_has_h").alias("_v2"),
                        F.first("_d").alias("_d")))
     val = F.col("_v1") + (F.col("_v2") - F.col("_v1")) * F.col("_d")
     wide = (picked.withColumn("_q", val).groupBy(*keys)

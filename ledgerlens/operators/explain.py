@@ -5,8 +5,8 @@ of ``n_perm`` seeded feature orders (and their reverses, which lowers the
 variance), the features are switched from the background value to the row's
 value one at a time.  All masked rows of all orders go through the model in
 one ``predict``; a feature's contribution is the change of P(fraud) when it
-is switched on (an adjacent difference within (row, order)), averaged over
-orders.  Per order the contributions sum to f(x) - f(background) exactly.
+is switched on, averaged over orders: every score is added for one feature and
+taken off the next, so one sum per row and feature gives them all.  Per order the contributions sum to f(x) - f(background) exactly.
 """
 
 from __future__ import annotations
@@ -31,26 +31,28 @@ def shapley(df: DataFrame, model, cols=None, background: dict | None = None, n_p
     cols = list(cols or C.FEATURES)
     n = len(cols)
     bg = background or {}
-    x = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
-    perms = F.sequence(F.lit(0), F.lit(2 * n_perm - 1))
-    x = x.withColumn("perm", F.explode(perms))
+    # dealt by id before the rows multiply: the sums below need no other shuffle
+    x = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]).repartition(id_col)
+    x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2 * n_perm - 1))))
     base_order = _order(seed, n, F.col("perm") % n_perm, id_col)
     x = x.withColumn("order", F.when(F.col("perm") < n_perm, base_order).otherwise(F.reverse(base_order)))
     x = x.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    masked = x.select(id_col, "perm", "step", "order", *[
+    # the masked row of step s has the first s features of its order switched on:
+    # its score counts for the feature switched on last and against the next one
+    masked = x.select(id_col, "step", F.get("order", F.col("step") - 1).alias("on"), F.get("order", F.col("step")).alias("next"), *[
         F.when(F.array_position(F.col("order"), i) <= F.col("step"), F.col(c))
          .otherwise(F.lit(float(bg.get(c, 0.0)))).alias(c)
         for i, c in enumerate(cols)])
-    scored = model.predict(masked).select(id_col, "perm", "step", "order", "p")
-    w = Window.partitionBy(id_col, "perm").orderBy("step")
-    diffs = (scored.withColumn("delta", F.col("p") - F.lag("p").over(w))
-                   .withColumn("base", F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-                   .withColumn("fx", F.last("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-                   .where(F.col("step") > 0))
+    scored = model.predict(masked).select(id_col, "step", "on", "next", "p")
+    p, none = F.col("p"), F.lit(None).cast("double")
+    signed = scored.select(id_col, F.explode(F.array(
+        F.struct(F.col("on").alias("i"), p.alias("d"), F.when(F.col("on").isNull(), p).alias("base"), none.alias("fx")),
+        F.struct(F.col("next").alias("i"), (-p).alias("d"), none.alias("base"), F.when(F.col("next").isNull(), p).alias("fx")))).alias("e")).select(id_col, "e.*")
+    sums = signed.groupBy(id_col, "i").agg(*[(F.sum(c) / (2 * n_perm)).alias(c) for c in ("d", "base", "fx")])
+    row = Window.partitionBy(id_col)
     names = F.array(*[F.lit(c) for c in cols])
-    diffs = diffs.withColumn("feature", F.element_at(names, F.element_at("order", F.col("step")) + 1))
-    return diffs.groupBy(id_col, "feature").agg(F.avg("delta").alias("shap"), F.first("base").alias("base"),
-                                                 F.first("fx").alias("fx"))
+    return (sums.withColumns({"base": F.max("base").over(row), "fx": F.max("fx").over(row)}).where("i is not null")
+            .select(id_col, F.get(names, F.col("i")).alias("feature"), F.col("d").alias("shap"), "base", "fx"))
 
 
 def top_features(attr: DataFrame, k: int = 5, id_col: str = "id") -> DataFrame:

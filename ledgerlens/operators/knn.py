@@ -1,146 +1,151 @@
-"""Exact k-nearest-neighbour join (C7), SMOTE (C6) and the kNN classifier.
-
-Exact k-NN without pairing every query with every base row:
-
-1. Project every row onto one direction ``r`` with ``|r.(x - y)| <= d(x, y)``
-   (a unit vector for euclidean, a +-1 vector for manhattan).  Cut the base
-   rows into equal-count *bands* of the projection; a band holding many rows
-   (or many equal values) is split into salted sub-bands of bounded size.
-2. Pilot: each query meets the base rows of one sub-band of its own band and
-   keeps its k closest; the k-th distance ``d_k`` bounds the true k-th
-   neighbour distance.
-3. Every true neighbour lies within ``d_k`` in the projection too, so each
-   query meets exactly the sub-bands that overlap ``[s - d_k, s + d_k]``
-   (an equi-join on (band, sub)), keeps candidates with distance <= ``d_k``
-   and takes the first k by (distance, base id).
-
-Distances are written as one column expression over the feature columns, so
-they stay inside whole-stage code generation.  Top-k per query is a
-``row_number() <= k`` filter, which Spark plans as a partial limit before the
-shuffle and a final one after it.
+"""k-nearest-neighbour join (C7), SMOTE (C6) and the kNN classifier.
+
+The join is exact without meeting every pair:
+
+1. Centres drawn from a bounded sample of the base rows cut the space into
+   cells; every row belongs to its nearest centre, and a crowded cell's base
+   rows are dealt to several blocks of bounded size.
+2. Pilot: each query meets one block of its own cell and keeps its k closest;
+   the k-th distance ``d_k`` bounds the true k-th neighbour distance.
+3. By the triangle inequality a cell can hold a nearer row only if the query's
+   distance from its centre, less the cell's radius, is at most ``d_k``: the
+   query is sent to the blocks of those cells only.
+
+A block's distances are computed in Arrow batches, feature by feature, and only
+the k best of each query leave the task, so what is shuffled is query rows and
+k candidates for each block they meet, never pairs.  ``approx=True`` sends each
+query to the blocks of its ``probes`` nearest cells instead of step 3.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.dist import uniform_rank
 from ..functions.rand import md5_uniform
-
-MAX_BANDS = 4096           # rows of the broadcast band table
-SUB_BAND_ROWS = 2048       # target base rows per (band, sub) join key
-
-
-def _direction(n: int, metric: str, seed: int) -> list[float]:
-    rng = np.random.default_rng(seed)
-    if metric == "manhattan":
-        return [float(x) for x in rng.choice([-1.0, 1.0], size=n)]
-    v = rng.normal(size=n)
-    v = v / np.linalg.norm(v)
-    return [float(x) for x in v]
-
-
-def _proj(vec: str, r) -> Column:
-    return sum((F.col(vec)[i] * F.lit(w) for i, w in enumerate(r)), F.lit(0.0))
-
-
-def distance(n: int, metric: str = "euclidean", qv: str = "qv", bv: str = "bv") -> Column:
-    """Distance between two feature arrays of length ``n``.
-
-    Written out element by element, so it stays one code-generated
-    expression over just two attributes (the optimizer's constraint
-    inference grows quickly with the number of aliased columns in a filter).
-    """
-    q, b = F.col(qv), F.col(bv)
-    if metric == "manhattan":
-        return sum((F.abs(q[i] - b[i]) for i in range(n)), F.lit(0.0))
-    return F.sqrt(sum(((q[i] - b[i]) * (q[i] - b[i]) for i in range(n)), F.lit(0.0)))
+from ..session import reliable
+
+MAX_CELLS = 256            # centres, and rows of the cell table on the driver
+CELL_ROWS = 512            # base rows for each centre, until there are MAX_CELLS
+BLOCK_ROWS = 4096          # target base rows of a block
+TILE_ROWS = 256            # query rows of a distance matrix
+PAIRS = "q_id long, b_id long, dist double"
+
+
+def distances(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distance matrix, summed feature by feature as SQL would."""
+    out = np.zeros((len(q), len(b)))
+    for i in range(q.shape[1]):
+        d = q[:, i:i + 1] - b[:, i]
+        out += np.abs(d) if metric == "manhattan" else d * d
+    return out if metric == "manhattan" else np.sqrt(out)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.values.to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _nearest(q_id, q, limit, b_id, b, k: int, metric: str, exclude_self: bool) -> pa.Table:
+    """The k nearest base rows of each query row, none beyond its limit; ties
+    go to the smaller base id."""
+    order = np.argsort(b_id, kind="stable")
+    b_id, b = b_id[order], b[order]
+    qs, bs, ds = [], [], []
+    for at in range(0, len(q) if len(b) else 0, TILE_ROWS):
+        d = distances(q[at:at + TILE_ROWS], b, metric)
+        if exclude_self:
+            d[q_id[at:at + TILE_ROWS][:, None] == b_id] = np.inf
+        m = min(k, d.shape[1])
+        kth = np.minimum(np.partition(d, m - 1, axis=1)[:, m - 1], limit[at:at + TILE_ROWS])
+        i, j = np.nonzero((d <= kth[:, None]) & (d < np.inf))
+        best = np.lexsort((j, d[i, j], i))              # columns are in order of base id
+        i, j = i[best], j[best]
+        first = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - first < k
+        i, j = i[keep], j[keep]
+        qs.append(q_id[at + i])
+        bs.append(b_id[j])
+        ds.append(d[i, j])
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return pa.table({"q_id": cat(qs, np.int64), "b_id": cat(bs, np.int64), "dist": cat(ds, np.float64)})
 
 
 def knn_join(query: DataFrame, base: DataFrame, k: int, cols=None, metric: str = "euclidean",
              q_id: str = "id", b_id: str = "id", exclude_self: bool = False, seed: int = C.SEED,
-             max_bands: int = MAX_BANDS, sub_rows: int = SUB_BAND_ROWS) -> DataFrame:
+             approx: bool = False, probes: int = 8, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(q_id, b_id, dist, rank) for the k nearest base rows of every query row.
 
-    Exact; ties in distance are broken by the base id.  ``exclude_self`` drops
-    pairs with equal ids (self-kNN).
+    Ties in distance are broken by the base id.  ``exclude_self`` drops pairs
+    with equal ids (self-kNN).
     """
     cols = list(cols or C.FEATURES)
     metric = "euclidean" if metric in ("minkowski", "euclidean") else metric
     if metric not in ("euclidean", "manhattan"):
         raise ValueError(f"unsupported metric {metric!r}")
-    r = _direction(len(cols), metric, seed)
-    # both sides are read by the pilot and the main pass: write them once to the
-    # checkpoint folder (this also keeps upstream expressions out of the
-    # distance filter, which the optimizer would otherwise inline and expand)
-    b = base.select(F.col(b_id).alias("b_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("bv"))
-    b = b.withColumn("b_s", _proj("bv", r)).checkpoint()
-    q = query.select(F.col(q_id).alias("q_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("qv"))
-    q = q.withColumn("q_s", _proj("qv", r)).checkpoint()
-
-    # --- bands: equal-count cuts of the projection (a bounded array of doubles)
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    b = reliable(base.select(F.col(b_id).cast("long").alias("b_id"), vec.alias("bv")))
     n_base = b.count()
     if n_base == 0:
-        return q.sparkSession.createDataFrame([], "q_id long, b_id long, dist double, rank int")
-    n_bands = int(max(1, min(max_bands, n_base // max(4 * k, 64))))
-    cuts = []
-    if n_bands > 1:
-        probs = [i / n_bands for i in range(1, n_bands)]
-        got = b.select(F.percentile_approx("b_s", probs, max(10000, 4 * n_bands)).alias("c"),
-                       F.min("b_s").alias("lo")).first()
-        # a cut at the minimum would leave band 0 empty: every band keeps rows
-        cuts = sorted(set(float(x) for x in got["c"] if x > got["lo"]))
-    splits = [-math.inf] + cuts + [math.inf]
-
-    def band_of(df, col, out):
-        if len(splits) < 3:  # one band: Bucketizer needs at least two buckets
-            return df.withColumn(out, F.lit(0))
-        return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df) \
-            .withColumn(out, F.col(out).cast("int"))
-    b = band_of(b, "b_s", "band")
-    sizes = b.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    # one row per band (<= max_bands): number of salted sub-bands
-    bands = sizes.select("band", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(sub_rows))).cast("int").alias("n_sub"))
-    bands = bands.checkpoint()
-    b = (b.join(F.broadcast(bands), "band")
-          .withColumn("sub", F.pmod(F.xxhash64("b_id"), F.col("n_sub")).cast("int"))
-          .drop("n_sub"))
-    q = band_of(q, "q_s", "band")
-
-    dist = distance(len(cols), metric)
-    keep_pair = (F.col("q_id") != F.col("b_id")) if exclude_self else F.lit(True)
-
-    # --- pilot: one sub-band of the query's own band (every band holds base rows)
-    pilot_q = (q.join(F.broadcast(bands), "band")
-                .withColumn("sub", F.pmod(F.xxhash64("q_id"), F.col("n_sub")).cast("int"))
-                .drop("n_sub"))
-    pilot = (pilot_q.join(b.drop("b_s"), ["band", "sub"])
-                    .where(keep_pair)
-                    .select("q_id", dist.alias("dist")))
-    w = Window.partitionBy("q_id").orderBy("dist")
-    bound = (pilot.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-                  .groupBy("q_id").agg(F.max("dist").alias("d_k"), F.count(F.lit(1)).alias("_c")))
-    # fewer than k pilot candidates: no finite bound, search every band
-    q2 = (q.join(bound, "q_id", "left")
-           .withColumn("d_k", F.when(F.col("_c") >= k, F.col("d_k")).otherwise(F.lit(math.inf)))
-           .drop("_c", "band"))
-    q2 = q2.withColumn("_lo", F.col("q_s") - F.col("d_k")).withColumn("_hi", F.col("q_s") + F.col("d_k"))
-    q2 = band_of(band_of(q2, "_lo", "_blo"), "_hi", "_bhi")
-    q2 = q2.withColumn("band", F.explode(F.sequence(F.col("_blo"), F.col("_bhi"))))
-    q2 = (q2.join(F.broadcast(bands), "band")
-            .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
-            .drop("n_sub", "_lo", "_hi", "_blo", "_bhi"))
-    cand = (q2.join(b, ["band", "sub"])
-              .where(keep_pair & (F.abs(F.col("q_s") - F.col("b_s")) <= F.col("d_k")))
-              .select("q_id", "b_id", "d_k", dist.alias("dist"))
-              .where(F.col("dist") <= F.col("d_k")))
-    ranked = cand.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "b_id")))
+        return b.sparkSession.createDataFrame([], PAIRS + ", rank int")
+    n_cells = int(max(1, min(MAX_CELLS, n_base // cell_rows)))
+    sample = b.orderBy(F.xxhash64("b_id", F.lit(seed)), "b_id").limit(n_cells).collect()      # at most MAX_CELLS rows
+    centres = np.array([r["bv"] for r in sample], dtype=float).reshape(len(sample), len(cols))
+
+    @F.arrow_udf("struct<cell:int,far:double>")
+    def place(v: pa.Array) -> pa.Array:
+        d = distances(_matrix(pa.chunked_array([v])), centres, metric)
+        cell = d.argmin(1)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["cell", "far"])
+
+    b = reliable(b.withColumn("p", place("bv")).select("b_id", "bv", "p.cell", "p.far"))
+    q = reliable(query.select(F.col(q_id).cast("long").alias("q_id"), vec.alias("qv")).withColumn("p", place("qv"))
+                 .select("q_id", "qv", "p.cell"))
+    cells = {r["cell"]: r for r in b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+    n_blocks = np.array([-(-cells[c]["n"] // block_rows) if c in cells else 0 for c in range(n_cells)])
+    radius = np.array([cells[c]["radius"] * (1 + 1e-9) + 1e-9 if c in cells else -np.inf for c in range(n_cells)])
+    blocks_of = F.array(*[F.lit(int(n)) for n in n_blocks])
+    b = b.withColumn("block", F.pmod(F.xxhash64("b_id"), F.greatest(F.lit(1), F.get(blocks_of, F.col("cell")))).cast("int"))
+
+    def task(key, left, right):
+        return _nearest(left["q_id"].to_numpy(), _matrix(left["qv"]), left["d_k"].to_numpy(), right["b_id"].to_numpy(), _matrix(right["bv"]),
+                        k, metric, exclude_self)
+
+    def meet(sent: DataFrame) -> DataFrame:
+        return sent.groupBy("cell", "block").cogroup(b.select("cell", "block", "b_id", "bv").groupBy("cell", "block")).applyInArrow(task, PAIRS)
+
+    infinite = F.lit(float("inf"))
+    if not approx:
+        own = q.withColumn("block", F.pmod(F.xxhash64("q_id"), F.greatest(F.lit(1), F.get(blocks_of, F.col("cell")))).cast("int"))
+        pilot = reliable(meet(own.withColumn("d_k", infinite)))
+        limit = pilot.groupBy("q_id").agg(F.max("dist").alias("d_k"), F.count(F.lit(1)).alias("_n"))
+        # fewer than k pilot candidates: no finite bound, every cell is searched
+        q = (own.withColumnsRenamed({"cell": "own_cell", "block": "own_block"}).join(limit, "q_id", "left")
+             .withColumn("d_k", F.when(F.col("_n") >= k, F.col("d_k")).otherwise(infinite)).drop("_n"))
+    else:
+        q = q.withColumnRenamed("cell", "own_cell").withColumn("own_block", F.lit(-1)).withColumn("d_k", infinite)
+
+    @F.arrow_udf("array<struct<cell:int,block:int>>")
+    def send(v: pa.Array, limit: pa.Array) -> pa.Array:
+        d = distances(_matrix(pa.chunked_array([v])), centres, metric)
+        if approx:
+            d[:, n_blocks == 0] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+            some = np.zeros(d.shape, bool)
+            np.put_along_axis(some, near, True, axis=1)
+        else:
+            some = d - radius <= limit.to_numpy(zero_copy_only=False)[:, None] * (1 + 1e-9) + 1e-9
+        return pa.array([[{"cell": int(c), "block": i} for c in np.flatnonzero(row) for i in range(n_blocks[c])] for row in some],
+                        pa.list_(pa.struct([("cell", pa.int32()), ("block", pa.int32())])))
+
+    sent = (q.withColumn("to", F.explode(send("qv", "d_k"))).where("not (to.cell = own_cell and to.block = own_block)")
+            .select("q_id", "qv", "d_k", "to.cell", "to.block"))
+    found = meet(sent) if approx else pilot.unionByName(meet(sent))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy("dist", "b_id")))
     return ranked.where(F.col("rank") <= k).select("q_id", "b_id", "dist", "rank")
 
 
@@ -151,8 +156,8 @@ def smote(df: DataFrame, k: int = 5, seed: int = C.SEED, id_col: str = "id", by:
     """Add n_majority - n_minority synthetic minority rows.
 
     Synthetic row i: base = minority row of rank floor(u_b * n_min) + 1 in
-    (md5, id) order; neighbour = its floor(u_n * k')-th nearest minority row
-    (k' = min(k, n_min - 1), self excluded); x = base + u_g * (nn - base) on
+    (md5, id) order; neighbour = its floor(u_n * k)-th nearest minority row
+    (self excluded); k or fewer minority rows raise an error; x = base + u_g * (nn - base) on
     every feature.  Synthetic ids are negative (-1 - i) so they never collide.
     Originals are kept unless ``synthetic_only``.
     """
@@ -163,9 +168,11 @@ def smote(df: DataFrame, k: int = 5, seed: int = C.SEED, id_col: str = "id", by:
     n_new = max(n_maj - n_min, 0)
     spark = df.sparkSession
     keep = [id_col, *cols, by]
-    if n_new == 0 or n_min < 2:
+    if n_new == 0:
         return df.select(*keep).limit(0) if synthetic_only else df.select(*keep)
-    kk = min(k, n_min - 1)
+    if n_min <= k:
+        raise ValueError(f"SMOTE with k={k} needs more than {k} rows of class {minority}, found {n_min}")
+    kk = k
     mino = df.where(F.col(by) == minority).select(id_col, *cols)
     ranked = uniform_rank(mino.withColumn("_u", md5_uniform(seed, F.col(id_col))), [], "_u", id_col, "_rk") \
         .select(F.col("_rk").alias("base_rank"), F.col(id_col).alias("base_id"))
@@ -239,5 +246,5 @@ class KNNClassifier:
         self.cols, self.label, self.id_col = list(feature_cols or C.FEATURES), label, id_col
 
     def fit(self, train: DataFrame) -> KNNModel:
-        rows = train.select(self.id_col, *self.cols, self.label).checkpoint()
+        rows = reliable(train.select(self.id_col, *self.cols, self.label))
         return KNNModel(rows, self.k, self.weights, self.metric, self.cols, self.label, self.id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dist import quantile_bucket, running_sums
 from ..functions.numeric import safe_ratio
+from ..session import reliable
 
 
 def confusion(df: DataFrame, label: str = "Class", pred: str = "prediction", by=()) -> DataFrame:
@@ -48,14 +49,14 @@ def threshold_metrics(cm: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def score_groups(df: DataFrame, label: str = "Class", score: str = "p", by=(),
-                 n_buckets: int = 64) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """Distinct scores per group with positive/negative counts and, in
     descending score order, the positives/negatives strictly above (tp_above,
     fp_above) and up to and including (tp_cum, fp_cum) each score."""
     g = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
                                    F.count_if(F.col(label) != 1).alias("neg"))
     # read three times (cut points, bucket totals, running sums): written once
-    g = g.checkpoint()
+    g = reliable(g)
     b = quantile_bucket(g, score, n_buckets, descending=True)
     r = running_sums(b, [F.col(score).desc()], {"tp_cum": F.col("pos"), "fp_cum": F.col("neg")},
                      partition_by=by)
@@ -71,10 +72,10 @@ def ranking_metrics(groups: DataFrame, by=()) -> DataFrame:
     A group with one class only gets 0 (undefined)."""
     agg = groups.groupBy(*by).agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-        F.sum(F.col("neg") * (F.col("tp_above") + F.col("pos") / 2.0)).alias("_pairs"),
+        F.sum(F.col("neg").cast("double") * (F.col("tp_above") + F.col("pos") / 2.0)).alias("_pairs"),
         F.sum(F.col("pos") * safe_ratio(F.col("tp_cum"), F.col("tp_cum") + F.col("fp_cum"))).alias("_ap"))
     return agg.select(*by,
-                      F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_pairs") / (F.col("P") * F.col("N")))
+                      F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_pairs") / (F.col("P").cast("double") * F.col("N")))
                        .otherwise(0.0).alias("auc_roc"),
                       F.when(F.col("P") > 0, F.col("_ap") / F.col("P")).otherwise(0.0).alias("auc_pr"))
 
@@ -86,7 +87,7 @@ def _with_total_pos(groups: DataFrame, by=()) -> tuple[DataFrame, list[str]]:
     if not keys:
         g, keys = g.withColumn("_g", F.lit(0)), ["_g"]
     tot = g.groupBy(*keys).agg(F.sum("pos").alias("_P"))
-    return g.join(F.broadcast(tot), keys), keys
+    return g.join(tot, keys), keys
 
 
 def pr_curve(groups: DataFrame, by=(), score: str = "p") -> DataFrame:
@@ -120,7 +121,7 @@ def pr_area(groups: DataFrame, by=(), score: str = "p") -> DataFrame:
 
 
 def evaluate(df: DataFrame, label: str = "Class", pred: str = "prediction", score: str | None = "p",
-             by=(), digits: int = 4, n_buckets: int = 64) -> DataFrame:
+             by=(), digits: int = 4, n_buckets: int | None = None) -> DataFrame:
     """One metrics row per group (accuracy .. auc_pr, auc 0.0 without a score)."""
     cm = threshold_metrics(confusion(df, label, pred, by), digits)
     if score is None:
@@ -183,6 +184,13 @@ def rank_models(table: DataFrame) -> DataFrame:
     return table.withColumn("rank", F.row_number().over(w))
 
 
+def sort_metric(table: DataFrame, metric: str) -> DataFrame:
+    """The table ascending by one metric, for charts (model, sampling break ties)."""
+    if metric not in METRIC_COLS:
+        raise ValueError(f"{metric!r} is not one of {METRIC_COLS}")
+    return table.orderBy(metric, "model", "sampling")
+
+
 def best_model(table: DataFrame) -> DataFrame:
     """The top-ranked row."""
     return table.orderBy(F.desc("f1_score"), F.desc("recall"), "model", "sampling").limit(1)

@@ -17,6 +17,7 @@ Training rows carry a ``weight`` column from ``prep.balanced_weights``.
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from dataclasses import dataclass, field
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .. import config as C
+from ..session import reliable
 from .prep import balanced_weights
 
 # ---- fixed values: default hyper-parameters of the original pipeline ---------
@@ -61,16 +63,14 @@ class ModelSpec:
 
 
 def make_model(name: str, params: dict | None = None) -> ModelSpec:
-    """Defaults <- overrides; an unknown name is an error.  An explicit
-    ``class_weight: None`` switches weighting off (T19)."""
-    if name not in DEFAULTS:
-        raise ValueError(f"Unknown model '{name}'. Choose from: {C.MODEL_NAMES}")
-    return ModelSpec(name, {**DEFAULTS[name], **(params or {})})
-
-
-def all_models(custom: dict | None = None) -> dict[str, ModelSpec]:
-    custom = custom or {}
-    return {n: make_model(n, custom.get(n)) for n in C.MODEL_NAMES}
+    """A named family with its defaults, changed by ``params``; a name
+    outside the table of defaults is an error.  An explicit ``class_weight: None`` switches weighting off (T19)."""
+    table = DEFAULTS.get(name)
+    if table is None:
+        raise ValueError(f"no model family {name!r}; there are {', '.join(DEFAULTS)}")
+    merged = dict(table)
+    merged.update(params or {})
+    return ModelSpec(name, merged)
 
 
 def translate(spec: ModelSpec, n_features: int = len(C.FEATURES)) -> dict[str, Any]:
@@ -230,7 +230,7 @@ def _fit_svm(spec, sp, d, wcol, cols, label, t0) -> Fitted:
     fmap = kernel_map_udf(sp["kernel"], n_in, gamma, sp["degree"], sp["n_components"], sp["seed"])
     n = d.count()
     z = d.withColumn("zfeat", array_to_vector(fmap(F.array(*[F.col(c).cast("double") for c in cols]))))
-    z = z.withColumn(label, F.col(label).cast("double")).checkpoint()
+    z = reliable(z.withColumn(label, F.col(label).cast("double")))
     svc = LinearSVC(featuresCol="zfeat", labelCol=label, predictionCol="_pred", rawPredictionCol="_raw",
                     regParam=1.0 / (sp["C"] * max(n, 1)), maxIter=200,
                     **({"weightCol": wcol} if wcol else {}))
@@ -274,7 +274,12 @@ def top_importance(imp: DataFrame, n: int = 20) -> DataFrame:
 
 
 def save_model(f: Fitted, path: str) -> None:
-    """Spark ML persistence (kNN keeps its training rows as parquet)."""
+    """Spark ML persistence (kNN keeps its training rows as parquet), and
+    the parameters it was fitted with as JSON."""
+    from pyspark.sql import SparkSession
+    fitted_with = json.dumps({"params": f.spec.params, "spark_params": f.spark_params, "cols": f.extra.get("cols", C.FEATURES)})
+    SparkSession.getActiveSession().createDataFrame([(fitted_with,)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path}_fitted_with")
     if f.spec.name == "knn":
         f.model.save(path)
     elif f.spec.name == "svm":
@@ -285,7 +290,11 @@ def save_model(f: Fitted, path: str) -> None:
 
 
 def load_model(spec: ModelSpec, path: str, spark_params: dict | None = None) -> Fitted:
-    """The inverse of :func:`save_model`."""
+    """The inverse of :func:`save_model`; parameters come from the saved
+    record, so a kernel map is rebuilt as it was fitted."""
+    from pyspark.sql import SparkSession
+    saved = json.loads(SparkSession.getActiveSession().read.text(f"{path}_fitted_with").first()[0])
+    spec, spark_params = ModelSpec(spec.name, saved["params"]), spark_params or saved["spark_params"]
     if spec.name == "knn":
         from .knn import KNNModel
         return Fitted(spec, KNNModel.load(path), spark_params or translate(spec), 0.0)
@@ -294,7 +303,7 @@ def load_model(spec: ModelSpec, path: str, spark_params: dict | None = None) ->
         sp = spark_params or translate(spec)
         svm = LinearSVCModel.load(f"{path}/svm")
         platt = LogisticRegressionModel.load(f"{path}/platt")
-        fmap = kernel_map_udf(sp["kernel"], len(C.FEATURES), sp.get("gamma_value", 1.0 / len(C.FEATURES)),
-                              sp["degree"], sp["n_components"], sp["seed"])
-        return Fitted(spec, svm, sp, 0.0, {"fmap": fmap, "platt": platt, "cols": list(C.FEATURES)})
+        cols = saved["cols"]
+        fmap = kernel_map_udf(sp["kernel"], len(cols), sp["gamma_value"], sp["degree"], sp["n_components"], sp["seed"])
+        return Fitted(spec, svm, sp, 0.0, {"fmap": fmap, "platt": platt, "cols": cols})
     return Fitted(spec, PipelineModel.load(path), spark_params or translate(spec), 0.0)

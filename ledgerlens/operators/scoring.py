@@ -71,12 +71,17 @@ def batch_flag(summary: DataFrame) -> DataFrame:
 
 
 def new_batch_id(source: Column, stamp: Column) -> Column:
-    """H7: 8 hex characters, constant per batch, repeatable for the same file."""
+    """H7: 8 hex characters, constant per batch.  ``source`` and ``stamp`` must
+    tell uploads apart: a file's path with its length and time of change (then
+    the id repeats for the same file), or any fresh unique text."""
     return F.substring(F.md5(F.concat_ws("|", source.cast("string"), stamp.cast("string"))), 1, 8)
 
 
 def row_numbers(df: DataFrame, order: str, out: str = "row") -> DataFrame:
-    """1-based row number in source order without a single-task window."""
+    """1-based row number in source order without a single-task window; ``out``
+    must not name a column of ``df`` in any case."""
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"column {out!r} exists already")
     from ..functions.dist import quantile_bucket, running_sums
-    b = quantile_bucket(df, order, 64)
+    b = quantile_bucket(df, order)
     return running_sums(b, [F.col(order)], {out: F.lit(1)}).drop("_b").withColumn(out, F.col(out).cast("long"))

@@ -49,18 +49,18 @@ def gen_fraud(ids: DataFrame, id_col: str = "id", seed: int = C.SEED) -> DataFra
         F.lit(1).alias("Class"))
 
 
-def running_balance(stmt: DataFrame, n_buckets: int = 64) -> DataFrame:
+def running_balance(stmt: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """K3: start balance + cumulative signed amount per account in (date, seq) order.
 
-    The running sum is split into buckets of the global order, so an account
-    holding a large share of all lines is spread over many tasks.
+    The running sum is split into buckets of the order, a day and a range of
+    sequence numbers each, so an account holding a large share of all lines,
+    even on one day, is spread over many tasks.
     """
     day = F.floor(F.unix_seconds(F.col("tx_date").cast("timestamp")) / 86400)
-    order_key = day.cast("double") * 1e10 + F.col("seq").cast("double")
-    d = stmt.withColumn("_ok", order_key)
-    b = quantile_bucket(d, "_ok", n_buckets)
+    b = quantile_bucket(stmt, "seq", n_buckets, out_col="_sb")
+    b = b.withColumn("_b", F.coalesce(day.cast("long"), F.lit(-2 ** 31)) * 2 ** 20 + F.col("_sb"))
     r = running_sums(b, [F.col("tx_date"), F.col("seq")], {"_cum": F.col("amount_vnd")}, partition_by=["account"])
-    return r.withColumn("balance", F.col("start_balance") + F.col("_cum")).drop("_cum", "_ok", "_b")
+    return r.withColumn("balance", F.col("start_balance") + F.col("_cum")).drop("_cum", "_sb", "_b")
 
 
 def statement_to_technical(lines: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def _memory_alerts(spark, d):
     return (r.where(F.col("value") > C.MEMORY_PCT_LIMIT)
              .select(F.lit("NodeHighMemory").alias("alertname"), F.lit("warning").alias("severity"),
                      F.col("series").alias("instance"), F.lit(None).cast("string").alias("pod"),
-                     F.lit("fraud-detection").alias("namespace"), "value",
+                     F.lit("prod").alias("namespace"), "value",
                      F.col("window_start").alias("ts")))
 
 
@@ -190,7 +190,7 @@ def q_stream_windows(spark, d):
 
 
 # ---- fixed values: labels of the derived container logs ------------------------
-LOG_PODS = ["fraud-guard-webapp-0", "fraud-guard-webapp-1", "postgresql-0"]
+LOG_PODS = ["app-0", "app-1", "postgresql-0"]
 
 
 def _write_logs(spark, d) -> str:
@@ -199,7 +199,7 @@ def _write_logs(spark, d) -> str:
     pods = F.array(*[F.lit(p) for p in LOG_PODS])
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.upper("event_type"), F.col("props"))
     logs = ev.select(F.element_at(pods, (F.pmod("user_id", F.lit(len(LOG_PODS))) + 1).cast("int")).alias("pod"),
-                     F.lit("fraud-detection").alias("namespace"), F.lit("app").alias("container"),
+                     F.lit("prod").alias("namespace"), F.lit("app").alias("container"),
                      line.alias("value"))
     path = shared_dir(spark, f"logs/containers-{__import__('uuid').uuid4().hex[:8]}")
     logs.write.partitionBy("pod", "namespace", "container").text(path)
@@ -209,7 +209,7 @@ def _write_logs(spark, d) -> str:
 @query("log_index_counts", "A19 A20",
        "SELECT 'filebeat-' || strftime(ts, '%Y.%m.%d') AS \"index\", "
        "list_extract([" + ", ".join(f"'{p}'" for p in LOG_PODS) + f"], CAST(user_id % {len(LOG_PODS)} AS INTEGER) + 1) AS pod, "
-       "'fraud-detection' AS namespace, 'app' AS container, count(*) AS n FROM events GROUP BY ALL")
+       "'prod' AS namespace, 'app' AS container, count(*) AS n FROM events GROUP BY ALL")
 def q_logs(spark, d):
     src = _write_logs(spark, d)
     out = shared_dir(spark, f"logs/index-{__import__('uuid').uuid4().hex[:8]}")

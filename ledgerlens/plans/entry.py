@@ -4,26 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog  # noqa: F401  (registers queries)
+from . import catalog, catalog_io, catalog_ml, catalog_reports, catalog_streams  # noqa: F401  (register queries)
 from .registry import REGISTRY
 
 
-def _load_all():
-    for mod in ("catalog_reports", "catalog_ml", "catalog_streams", "catalog_io"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
-
-
 def registered_queries():
-    _load_all()
     return {k: q.build for k, q in REGISTRY.items()}
 
 
 def registered_sql():
-    _load_all()
     return {k: q.sql for k, q in REGISTRY.items() if q.sql}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import clean, metrics as M, models, prep, scoring as S
-from ..session import cut_lineage, ensure_checkpoint_dir, shared_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, reliable
 from ..sources import fixtures as fx
 from ..sources import io
 
@@ -33,10 +33,10 @@ def prepared(spark: SparkSession, df: DataFrame, seed: int = C.SEED, fit_scope:
     original pipeline does (T4); ``'train'`` fits it on training rows only.
     """
     ensure_checkpoint_dir(spark)
-    split = prep.stratified_split(df, seed=seed).checkpoint()
+    split = reliable(prep.stratified_split(df, seed=seed))
     if scaler is None:
         basis = split if fit_scope == "all" else split.where(~F.col("is_test"))
-        scaler = prep.fit_robust_scaler(basis).checkpoint()
+        scaler = reliable(prep.fit_robust_scaler(basis))
     scaled = prep.apply_robust_scaler(split, scaler)
     return scaled.where(~F.col("is_test")).drop("is_test"), scaled.where("is_test").drop("is_test"), scaler
 
@@ -79,7 +79,7 @@ def train_job(spark: SparkSession, df: DataFrame, sampling: str = "smote", names
               out_dir: str | None = None, params: dict | None = None) -> DataFrame:
     """M3: resample, train with tuned (or default) parameters, evaluate, save."""
     train, test, scaler = prepared(spark, df)
-    res = prep.resample(train, sampling).checkpoint()
+    res = reliable(prep.resample(train, sampling))
     scored, fitted = run_models(res, test, names or C.MODEL_NAMES, sampling, params)
     table = comparison(scored)
     if out_dir:
@@ -117,7 +117,7 @@ def experiment_grid(spark: SparkSession, df: DataFrame, names=None) -> DataFrame
     tables = []
     for strategy, label in (("none", BASELINE_LABEL), ("undersample", "undersample"), ("smote", "smote")):
         res = prep.resample(train, strategy)
-        res = res.checkpoint() if strategy != "none" else res
+        res = reliable(res) if strategy != "none" else res
         scored, _ = run_models(res, test, names or C.MODEL_NAMES, label)
         tables.append(comparison(scored))
     out = tables[0]
@@ -131,7 +131,7 @@ def tune_job(spark: SparkSession, df: DataFrame, sampling: str = "smote", names=
     """M2: resample the training rows and tune each model by CV F1."""
     from ..operators import tuning
     train, _, _ = prepared(spark, df)
-    res = prep.resample(train, sampling).checkpoint()
+    res = reliable(prep.resample(train, sampling))
     best = tuning.tune_all(res, names or C.MODEL_NAMES, n_trials=n_trials)
     if out_dir:
         io.write_best_params(best, out_dir)
@@ -178,8 +178,3 @@ def flagship_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = S.batch_summary(verdicts).withColumn("_g", F.lit(0))
     m = M.evaluate(verdicts.withColumnRenamed("fraud_prob", "p")).withColumn("_g", F.lit(0))
     return summary.join(m, "_g").drop("_g")
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Job outputs that must survive executor loss live in the shared folder."""
-    return shared_dir(spark, name)

@@ -38,18 +38,27 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Only when the session has none (local tests) is a scratch folder set.
+    A scratch folder of this machine is set only where the session has none
+    and runs in one process; on a cluster that is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.sparkContext.setCheckpointDir(conf_dir)
     return spark.sparkContext.getCheckpointDir() or conf_dir
 
 
+def reliable(df):
+    """``df.checkpoint()`` into the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint location, for tables written to cut lineage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

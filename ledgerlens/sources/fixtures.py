@@ -3,7 +3,7 @@
 Each view exists twice: as a Spark DataFrame builder and as DuckDB SQL text
 (``SQL_VIEWS``) used by the oracle.  Both read whole tables; nothing is sampled.
 
-* ``tx``         embeddings joined with events: Time, V1..V28, Amount, Class
+* ``tx``         every event with the embedding of its id modulo their number: Time, V1..V28, Amount, Class
 * ``tx_events``  every event as a (long, imbalanced) transaction
 * ``scores``     ``tx_events`` with a repeatable score pulled towards Class
 * ``history``    scored rows as the scoring-history table
@@ -38,7 +38,9 @@ def _time_col(events: DataFrame) -> Column:
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     emb = table(spark, sf_dir, "embeddings")
-    joined = emb.join(ev, emb.vec_id == ev.event_id)
+    n = emb.count()
+    # every event takes the features of one embedding; many events share each
+    joined = ev.join(emb, emb.vec_id == F.pmod(ev.event_id, F.lit(n)))
     return joined.select(
         F.col("event_id").alias("id"),
         _time_col(ev).alias("Time"),
@@ -174,7 +176,7 @@ def metrics_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     d = ev.withColumn("_day", F.to_date(F.col("ts"))) \
           .withColumn("_ord", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
-    b = quantile_bucket(d, "_ord", 64)
+    b = quantile_bucket(d, "_ord")
     r = running_sums(b, [F.col("ts"), F.col("event_id")], {"_cnt": (F.col("event_type") == "error").cast("long")},
                      partition_by=["user_id", "_day"])
     return r.select(
@@ -198,7 +200,7 @@ SQL_VIEWS: dict[str, str] = {
     "tx": "SELECT e.event_id AS id, " + _TIME_SQL.replace("epoch_us(ts)", "epoch_us(e.ts)", 1) + ' AS "Time", '
           + ", ".join(f"CAST(m.embedding[{i + 1}] AS DOUBLE) AS V{i + 1}" for i in range(28))
           + ", e.value AS Amount, CAST(m.label = 0 AS INTEGER) AS Class "
-          "FROM embeddings m JOIN events e ON m.vec_id = e.event_id",
+          "FROM events e JOIN embeddings m ON m.vec_id = e.event_id % (SELECT count(*) FROM embeddings)",
     "tx_events": "SELECT event_id AS id, " + _TIME_SQL + ' AS "Time", value AS Amount, '
                  "CAST(event_type = 'error' AND value >= 150 AS INTEGER) AS Class FROM events",
     "scores": "SELECT *, CAST(p >= 0.5 AS INTEGER) AS prediction FROM ("

@@ -111,9 +111,10 @@ BEST_SCHEMA = "model string, best_f1 double, params map<string,string>"
 def read_best_params(spark: SparkSession, out_dir: str, models=None) -> DataFrame:
     """The tuned record of every model; a model without one gets an empty map."""
     wanted = spark.createDataFrame([(m,) for m in (models or C.MODEL_NAMES)], "model string")
-    try:
-        got = spark.read.schema(BEST_SCHEMA).json(f"{out_dir}/best_params")
-    except Exception:  # noqa: BLE001  (folder absent: nothing tuned yet)
+    path = f"{out_dir}/best_params"
+    if _exists(spark, path):
+        got = spark.read.schema(BEST_SCHEMA).json(path)
+    else:                                           # nothing tuned yet
         got = spark.createDataFrame([], BEST_SCHEMA)
     return (wanted.join(got, "model", "left")
                   .withColumn("params", F.coalesce("params", F.create_map().cast("map<string,string>"))))

@@ -49,7 +49,7 @@ def counter_increase(samples: DataFrame, window_s: int, series: str = "series",
     h = h.withColumn("_inc", inc)
     frame = Window.partitionBy(series, "_tb").orderBy("_ts_us").rangeBetween(-(window_s * US - 1), 0)
     h = (h.withColumn("_sum", F.sum("_inc").over(frame))
-          .withColumn("_first", F.first("_inc").over(frame)))
+          .withColumn("_first", F.min_by("_inc", F.struct("_ts_us", tie)).over(frame)))
     out = h.where(~F.col("_halo"))
     incr = F.col("_sum") - F.col("_first")
     return out.select(samples.columns + [incr.alias("increase"), (incr / F.lit(float(window_s))).alias("rate")]) \
@@ -88,7 +88,7 @@ def latest_below(samples: DataFrame, value: str, threshold: float, series: str =
 
 
 def sustained(samples: DataFrame, cond: Column, for_s: int, series: str = "series", ts: str = "ts",
-              tie: str = "sample_id", n_buckets: int = 64) -> DataFrame:
+              tie: str = "sample_id", n_buckets: int | None = None) -> DataFrame:
     """Islands of consecutive samples meeting ``cond``; an island fires
     once its span reaches ``for_s`` seconds.  Output: (series, island_start,
     island_end, samples, fired_at)."""
