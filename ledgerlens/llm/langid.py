@@ -101,12 +101,14 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 300, l2: fl
     return CodeModel(langs, code, w, trust / trust.sum())
 
 
-def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 256) -> CodeModel:
-    """Fit on rows (doc_id, text, lang) with a non-null text and lang."""
+def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 8000, max_langs: int = 256) -> CodeModel:
+    """Fit on rows (doc_id, text, lang) with a non-null text and lang: ``per_lang``
+    of each language, fewer if that would make more than ``max_rows`` in all."""
     rows = take(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
     found = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(max_langs + 1).collect()]
     if len(found) > max_langs:
         raise ValueError(f"more than {max_langs} languages to learn")
+    per_lang = min(per_lang, max_rows // max(len(found), 1))
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
 
     @F.arrow_udf("binary")
@@ -115,9 +117,9 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 256) -> CodeMod
 
     keys = (rows.select("doc_id", "lang", F.xxhash64("text").alias("key"), F.row_number().over(place).alias("n"))
             .where(F.col("n") <= per_lang).select("doc_id", "lang", "key").distinct())
-    # at most max_langs * per_lang rows
+    # at most max_rows rows
     sample = (rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "lang", "key"])
-              .select("lang", "doc_id", "key", shares("text").alias("f")).where("f is not null").toLocalIterator())
+              .select("lang", "doc_id", "key", shares("text").alias("f")).where("f is not null").collect())
     every = sorted((r.lang, str(r.doc_id), r.key, bytes(r.f)) for r in sample)
     langs = sorted({r[0] for r in every})
     if not every:

@@ -211,7 +211,7 @@ def candidates(chunks: DataFrame, p_min: float) -> tuple[Contexts, int]:
     total = chunks.agg(F.sum("train_tokens")).first()[0] or 0
     local = (chunks.select(F.explode(F.arrays_zip("level", "context", "suffix", "n")).alias("x")).select("x.*")
              .groupBy("level", "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= p_min * total / 2))
-    found = [(r.level, r.context, r.suffix) for r in local.toLocalIterator()]        # at most 2 / p_min of each level
+    found = [(r.level, r.context, r.suffix) for r in local.collect()]        # at most 2 / p_min of each level
     as_u64 = lambda x: np.array(x, np.int64).view(np.uint64)
     one = np.unique(as_u64([c for level, c, _ in found if level == 1]))
     twos = {c: s for level, c, s in found if level == 2}
@@ -233,7 +233,7 @@ def candidates(chunks: DataFrame, p_min: float) -> tuple[Contexts, int]:
     exact = (chunks.select("tokens", "vocabulary", "n_tokens", "train").mapInArrow(count, "context long, n long")
              .groupBy("context").agg(F.sum("n").alias("n")))
     counts = np.zeros(len(one) + len(two), np.int64)
-    for r in exact.toLocalIterator():                   # at most 4 / p_min
+    for r in exact.collect():                   # at most 4 / p_min
         counts[r.context] = r.n
     often = (counts >= p_min * total) & (counts > 0)
     o1, o2 = often[:len(one)], often[len(one):]
@@ -337,7 +337,7 @@ def keep(model: Contexts, stats: DataFrame, min_gain: float) -> np.ndarray:
     """Candidates that pass the divergence test, and the suffixes of those."""
     gain = np.zeros(len(model.count))
     summed = stats.select(F.explode(F.arrays_zip("context", "gain")).alias("x")).groupBy("x.context").agg(F.sum("x.gain").alias("gain"))
-    for r in summed.toLocalIterator():                  # at most 2 / p_min
+    for r in summed.collect():                  # at most 2 / p_min
         gain[r.context] = r.gain
     kept = gain > min_gain * model.count
     ones = kept[:len(model.one)]

@@ -168,7 +168,7 @@ def place(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.
     rows = (take(vectors, id_col, vec_col).where(F.col(id_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vec_col)).alias("v")).where("v is not null")
             .distinct())
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toLocalIterator()      # a bounded sample
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()      # a bounded sample
     points = stack([bytes(r.v) for r in sample])
     pivots = points[farthest_first(points, PIVOTS)] if len(points) else np.zeros((1, 0))
 

@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_doc
     # the sample has at most 2 * max_per_class rows, so it may be broadcast
     rows = (take(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-            .select("doc_id", "toxic", features("text").alias("f")).toLocalIterator())
+            .select("doc_id", "toxic", features("text").alias("f")).collect())
     every: dict = {}
     for _, y, ws in sorted(((r.doc_id, r.toxic, frozenset(map(bytes, r.f))) for r in rows), key=lambda r: r[0]):
         every.setdefault((mark(ws), y), ws)
