@@ -71,7 +71,8 @@ FRAUD_DRIVERS = {
     "V7": -3.5, "V16": -4.0, "V18": -2.8,
 }
 
-# ---- fixed values: alert rules ----------------------------------------------
+# ---- alert rules: names, severities, times and limits are fixed values, the
+# descriptions are our own ------------------------------------------------------
 ALERT_RULES = [
     # name, severity, for (seconds), description template
     ("PodCrashLooping", "critical", 120,

@@ -56,6 +56,12 @@ def top_correlations(corrs: DataFrame, n: int = 5) -> DataFrame:
     return pos.unionByName(neg)
 
 
+def strongest(df: DataFrame, cols, n: int = 10, target: str = C.TARGET) -> list[str]:
+    """Names of the n columns with the largest absolute correlation with the target."""
+    corrs = correlation_with_target(df, cols, target)
+    return [r["feature"] for r in corrs.orderBy(F.desc(F.abs("corr")), "feature").limit(n).collect()]
+
+
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Full Pearson matrix in one aggregate, long form (a, b, corr)."""
     cols = list(cols)

@@ -36,11 +36,13 @@ def shapley(df: DataFrame, model, cols=None, background: dict | None = None, n_p
     x = x.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(2 * n_perm - 1))))
     base_order = _order(seed, n, F.col("perm") % n_perm, id_col)
     x = x.withColumn("order", F.when(F.col("perm") < n_perm, base_order).otherwise(F.reverse(base_order)))
+    # place of each feature in the order, looked up for every step
+    x = x.withColumn("place", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_position("order", i)))
     x = x.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
     # the masked row of step s has the first s features of its order switched on:
     # its score counts for the feature switched on last and against the next one
     masked = x.select(id_col, "step", F.get("order", F.col("step") - 1).alias("on"), F.get("order", F.col("step")).alias("next"), *[
-        F.when(F.array_position(F.col("order"), i) <= F.col("step"), F.col(c))
+        F.when(F.get("place", F.lit(i)) <= F.col("step"), F.col(c))
          .otherwise(F.lit(float(bg.get(c, 0.0)))).alias(c)
         for i, c in enumerate(cols)])
     scored = model.predict(masked).select(id_col, "step", "on", "next", "p")

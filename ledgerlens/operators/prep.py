@@ -107,7 +107,7 @@ def resample(df: DataFrame, strategy: str, seed: int = C.SEED, id_col: str = "id
     if strategy == "smote":
         from .knn import smote
         return smote(df, seed=seed, id_col=id_col, **kw)
-    raise ValueError(f"Unknown sampling strategy '{strategy}'. Choose from: none, undersample, smote")
+    raise ValueError(f"no resampling named {strategy!r}: none, undersample and smote are there")
 
 
 def balanced_weights(df: DataFrame, by: str = C.TARGET, out: str = "weight") -> DataFrame:

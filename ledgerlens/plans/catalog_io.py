@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.numeric import sig_round, sql_sig_round
-from ..operators import clean, history as hist, models, prep
-from ..session import shared_dir
+from ..operators import clean, eda, history as hist, metrics as M, models, scoring as S
+from ..session import reliable, shared_dir
 from ..sources import fixtures as fx
 from ..sources import io
 from . import jobs
+from .catalog_ml import _grid_sql, _q, _sql_space, checked_grid
 from .catalog_reports import _COMP_SQL, _comparison
 from .registry import query
 
@@ -84,34 +85,114 @@ def q_registry(spark, d):
     return ok
 
 
-@query("list_inputs", "A4")
+@query("list_inputs", "A4", "SELECT * FROM (VALUES ('a.csv', TRUE), ('b.xlsx', TRUE)) v(name, sized)")
 def q_list_inputs(spark, d):
+    """Files of an upload folder; only .csv and .xlsx are listed."""
     out = _scratch(spark, "inputs")
-    io.write_metrics(_comparison(spark, d), out, "all")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
-                 .option("pathGlobFilter", "*.{csv,xlsx}").load(out).select("path", "length")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    rows = fx.table(spark, d, "nation").select(F.to_json(F.struct("*")).alias("content"))
+    data = rows.agg(F.concat_ws("\n", F.sort_array(F.collect_list("content")))).first()[0]      # 25 nations
+    jvm = spark._jvm
+    for name in ("a.csv", "b.xlsx", "c.txt"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
+        stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+        stream.write(bytearray(data.encode()))
+        stream.close()
+    return io.list_inputs(spark, out).select("name", (F.col("size") == len(data.encode())).alias("sized"))
 
 
-@query("best_params_roundtrip", "A7 E15")
+_BEST_SQL = " UNION ALL ".join(f"SELECT '{C.DISPLAY_NAMES[m]}' AS model, param, value FROM ({_sql_space(m, 1)})" for m in C.MODEL_NAMES)
+
+
+@query("best_params_roundtrip", "A7 E15", _BEST_SQL)
 def q_best_params(spark, d):
+    """Every model's first trial, with its F1 from the comparison table, written,
+    read and unpacked again."""
     from ..operators import tuning
     out = _scratch(spark, "params")
     comp = _comparison(spark, d).where(F.col("sampling") == "smote")
     f1 = {r["model"]: r["f1_score"] for r in comp.collect()}  # one row per model
-    rows = []
-    for m in C.MODEL_NAMES[:3]:  # the fourth model stays untuned: read back with an empty map
-        first = tuning.trial_params(tuning.search_space(spark, m, 1))[0]
-        rows.append((m, float(f1.get(C.DISPLAY_NAMES[m], 0.0)), io.encode_params(first)))
-    best = spark.createDataFrame(rows, "model string, best_f1 double, params map<string,string>")
-    io.write_best_params(best, out)
-    return tuning.tuning_summary(io.read_best_params(spark, out).where(F.col("best_f1").isNotNull()), spark)
+    rows = [(m, float(f1.get(C.DISPLAY_NAMES[m], 0.0)), io.encode_params(tuning.trial_params(tuning.search_space(spark, m, 1))[0]))
+            for m in C.MODEL_NAMES]
+    io.write_best_params(spark.createDataFrame(rows, "model string, best_f1 double, params map<string,string>"), out)
+    back = tuning.tuning_summary(io.read_best_params(spark, out), spark).where(~F.col("missing"))
+    return back.select("model", F.explode(F.from_json("params", "map<string,string>")).alias("param", "value"))
 
 
-@query("missing_columns", "B2")
+@query("missing_columns", "B2",
+       "SELECT * FROM (VALUES (1, 'Amount'), (2, 'V13')) v(position, \"column\")")
 def q_missing(spark, d):
     up = fx.dirty_upload(spark, d).drop("V13", "Amount")
-    return clean.missing_columns(spark, up)
+    return clean.missing_columns(spark, up).select(F.row_number().over(Window.orderBy("position")).alias("position"), "column")
+
+
+@query("sort_metric", "E14",
+       _COMP_SQL + "SELECT m.metric, c.model, c.sampling, row_number() OVER (PARTITION BY m.metric ORDER BY "
+       "CASE m.metric WHEN 'recall' THEN c.recall WHEN 'f1_score' THEN c.f1_score ELSE c.auc_roc END, c.model, c.sampling) AS place "
+       "FROM comp c, (VALUES ('recall'), ('f1_score'), ('auc_roc')) m(metric)")
+def q_sort_metric(spark, d):
+    """Place of each row when the table is sorted for the three charts."""
+    table = reliable(_comparison(spark, d))
+    out = None
+    for m in ("recall", "f1_score", "auc_roc"):
+        ordered = M.sort_metric(table, m).select(F.lit(m).alias("metric"), "model", "sampling", F.monotonically_increasing_id().alias("at"))
+        ordered = ordered.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy("at"))).drop("at")
+        out = ordered if out is None else out.unionByName(ordered)
+    return out
+
+
+@query("csv_load", "A1 A2 B1 B5",
+       W("tx") + "SELECT count(*) AS rows, sum(Class) AS frauds, round(100.0 * avg(Class), 3) AS fraud_pct, CAST(0 AS BIGINT) AS null_cells, "
+       "30 AS n_features, count(*) AS n_targets FROM tx")
+def q_csv_load(spark, d):
+    """The transactions written as CSV, loaded with the fixed schema and checked."""
+    out = _scratch(spark, "transactions.csv")
+    fx.tx(spark, d).select("Time", *C.V_COLS, "Amount", "Class").write.option("header", True).csv(out)
+    back = io.load_transactions(spark, out)
+    x, y = clean.split_xy(back)
+    return io.assert_loaded(back).withColumns({"n_features": F.lit(len(clean.feature_order(x).columns)), "n_targets": F.lit(y.count())})
+
+
+@query("upload_csv", "A3 B3",
+       W("dirty_upload") + "SELECT count(*) AS n_rows, count(DISTINCT \"Row\") AS n_ids FROM dirty_upload WHERE \"Row\" % 50 <> 0 OR Amount = ' 2.5 '")
+def q_upload_csv(spark, d):
+    """An upload with its columns in another order and one too many, as CSV."""
+    out = _scratch(spark, "upload.csv")
+    up = fx.dirty_upload(spark, d)
+    up.select(F.lit("x").alias("note"), *reversed(up.columns)).write.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        .option("ignoreTrailingWhiteSpace", False).csv(out)
+    back = clean.coerce_numeric(io.read_upload(spark, out))
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("Row").alias("n_ids"))
+
+
+@query("describe_export", "A18",
+       W("tx") + "SELECT feature, TRUE AS same FROM (UNPIVOT (SELECT " + ", ".join(f'max({_q(c)}) AS {_q(c)}' for c in C.FEATURES)
+       + " FROM tx) ON " + ", ".join(_q(c) for c in C.FEATURES) + " INTO NAME feature VALUE v)")
+def q_describe_export(spark, d):
+    summary = reliable(eda.describe(fx.tx(spark, d), C.FEATURES))
+    path = io.export_describe(summary, _scratch(spark, "eda"))
+    back = spark.read.option("header", True).schema(summary.schema).csv(path)
+    return back.join(summary.select("feature", F.col("mean").alias("_m"), F.col("max").alias("_x")), "feature") \
+        .select("feature", ((F.col("mean") == F.col("_m")) & (F.col("max") == F.col("_x"))).alias("same"))
+
+
+@query("history_ids", "A11 A12 A13 B8",
+       "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN lpad(CAST(c_custkey AS VARCHAR), 8, '0') "
+       "ELSE 'b/' || c_custkey || '=x' END AS batch_id FROM customer WHERE c_custkey % 4 <> 3 OR c_custkey <> (SELECT max(c_custkey) FROM customer WHERE c_custkey % 4 = 3)")
+def q_history_ids(spark, d):
+    """Empty, null, all-digit and odd batch ids come back as they were; one batch
+    with an id that a path would have to escape is deleted."""
+    path = _scratch(spark, "history-ids")
+    key = F.col("c_custkey")
+    kind = F.pmod(key, F.lit(4))
+    rows = fx.table(spark, d, "customer").select(
+        key.alias("id"), F.timestamp_seconds(key * 5000).alias("timestamp"),
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit("")).when(kind == 2, F.lpad(key.cast("string"), 8, "0"))
+         .otherwise(F.concat(F.lit("b/"), key.cast("string"), F.lit("=x"))).alias("batch_id"))
+    io.append_history(rows, path)
+    io.migrate_schema(spark, path)
+    last = rows.where(F.col("id") % 4 == 3).agg(F.max("id")).first()[0]
+    assert last is None or io.delete_batch(spark, path, f"b/{last}=x") == 1
+    return io.read_history(spark, path).select("id", "batch_id")
 
 
 _CTX_SQL = (W("history") + ", st AS (SELECT count_if(verdict = 'safe') AS safe_count, "
@@ -130,42 +211,59 @@ def q_ctx_text(spark, d):
     return hist.context_text(fx.history(spark, d))
 
 
-# ---- composed jobs (rows-only: they fit models) -----------------------------------
-
-def _lr(spark, d):
-    train, _, scaler = jobs.prepared(spark, fx.tx(spark, d))
-    return models.train_model("logistic_regression", train), scaler
+# ---- composed jobs: SQL knows their rows and what must hold of them ------------------
 
-
-@query("score_batch", "H5 M7 H6 H7 H8")
+@query("score_batch", "H5 M7 H6 H7 H8 A11",
+       W("dirty_upload") + 'SELECT "Row", row_number() OVER (ORDER BY "Row") AS row_no, CAST("Time" AS DOUBLE) AS time_val, '
+       "CASE WHEN \"Row\" % 50 = 0 THEN 2.5 ELSE CAST(Amount AS DOUBLE) END AS amount, 'line ' || CAST(\"Row\" AS VARCHAR) AS description, "
+       "TRUE AS p_in_range, TRUE AS verdict_follows, TRUE AS stored FROM dirty_upload WHERE \"Row\" % 50 <> 0 OR Amount = ' 2.5 '")
 def q_score_batch(spark, d):
-    model, scaler = _lr(spark, d)
+    """An upload with bad cells scored, joined to its statement lines by source
+    row, appended to the history table and read back from it."""
+    train, _, scaler = jobs.prepared(spark, fx.tx(spark, d))
+    model = models.train_model("logistic_regression", train)
     up = fx.dirty_upload(spark, d)
-    scored, summary = jobs.batch_import(spark, up, model, scaler, batch_id=None, source="dirty_upload")
-    del summary  # H8 of the same rows; the scored rows are the checked output
-    return scored.select("row", "Row", "fraud_prob", "verdict", "confidence", "batch_id")
-
-
-@query("baseline_job", "M1 D7")
+    lines = up.select(F.col("Row").alias("line_no"), F.concat(F.lit("line "), F.col("Row").cast("string")).alias("description"))
+    path = _scratch(spark, "import-history")
+    scored, summary = jobs.batch_import(spark, up, model, scaler, statement=lines, history=path, source=f"{d}/upload")
+    total = summary.first()["total"]
+    back = io.read_history(spark, path).select(F.col("tx_description").alias("description"), F.col("probability").alias("_p"),
+                                               (F.count(F.lit(1)).over(Window.partitionBy("batch_id")) == total).alias("whole"))
+    p = F.col("fraud_prob")
+    return scored.join(back, "description").select(
+        "Row", "row_no", "time_val", "amount", "description", p.between(0, 1).alias("p_in_range"), (F.col("verdict") == S.verdict(p)).alias("verdict_follows"),
+        (F.col("whole") & (F.abs(F.col("_p") - F.col("probability")) < 1e-12)).alias("stored"))
+
+
+@query("baseline_job", "M1 D7", _grid_sql(C.MODEL_NAMES, [jobs.BASELINE_LABEL]))
 def q_baseline(spark, d):
-    return jobs.baseline_job(spark, fx.tx(spark, d), out_dir=_scratch(spark, "baseline"))
+    return checked_grid(jobs.baseline_job(spark, fx.tx(spark, d), out_dir=_scratch(spark, "baseline")))
 
 
-@query("train_and_reevaluate", "M3 M4 A15 A16")
+@query("train_and_reevaluate", "M3 M4 A15 A16", _grid_sql(C.MODEL_NAMES, ["undersample_reeval"]))
 def q_train_eval(spark, d):
+    """All models trained and saved, then loaded and evaluated again: the metrics
+    must be those of the training run."""
     out = _scratch(spark, "models")
     t = fx.tx(spark, d)
-    jobs.train_job(spark, t, "undersample", ["logistic_regression", "random_forest"], out_dir=out,
-                   params={"random_forest": {"n_estimators": 20, "max_depth": 8}})
-    return jobs.evaluate_job(spark, t, out, "undersample", ["logistic_regression", "random_forest"])
+    first = reliable(jobs.train_job(spark, t, "undersample", out_dir=out))
+    again = jobs.evaluate_job(spark, t, out, "undersample")
+    kept = ["accuracy", "precision", "recall", "f1_score", "auc_roc", "auc_pr"]
+    same = F.lit(True)
+    for c in kept:
+        same = same & (F.abs(F.col(c) - F.col(f"_{c}")) <= 1e-9)
+    return (again.join(first.select("model", *[F.col(c).alias(f"_{c}") for c in kept]), "model")
+            .select("model", "sampling", F.col("accuracy").between(0, 1).alias("in_range"), same.alias("recomputed")))
 
 
-@query("experiment_grid", "M6 E10")
+@query("experiment_grid", "M6 E10", _grid_sql(C.MODEL_NAMES, [jobs.BASELINE_LABEL, "undersample", "smote"]))
 def q_grid(spark, d):
-    return jobs.experiment_grid(spark, fx.tx(spark, d), ["logistic_regression", "knn"])
+    return checked_grid(jobs.experiment_grid(spark, fx.tx(spark, d)))
 
 
-@query("tune_job", "M2 M5 F4 F5")
+@query("tune_job", "M2 F4 F5",
+       "SELECT 'knn' AS model, TRUE AS f1_in_range, v.param FROM (VALUES ('n_neighbors'), ('weights'), ('metric')) v(param)")
 def q_tune_job(spark, d):
-    return jobs.tune_job(spark, fx.tx(spark, d), "undersample", ["logistic_regression"], n_trials=2,
-                         out_dir=_scratch(spark, "tune"))
+    """The k-nearest-neighbour classifier tuned over all trials on undersampled rows."""
+    best = jobs.tune_job(spark, fx.tx(spark, d), "undersample", ["knn"], out_dir=_scratch(spark, "tune"))
+    return best.select("model", F.col("best_f1").between(0, 1).alias("f1_in_range"), F.explode(F.map_keys("params")).alias("param"))

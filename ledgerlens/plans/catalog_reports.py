@@ -217,9 +217,10 @@ def q_describe(spark, d):
 
 @query("duplicate_count", "G3",
        "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM "
-       "(SELECT count(*) AS n FROM events GROUP BY user_id, event_type)")
+       "(SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+       "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)")
 def q_dups(spark, d):
-    return eda.duplicate_count(fx.table(spark, d, "events").select("user_id", "event_type"))
+    return eda.duplicate_count(fx.table(spark, d, "lineitem"))
 
 
 @query("class_distribution", "G4",
@@ -247,15 +248,18 @@ def q_top_corr(spark, d):
     return c.select("feature", _sr("corr", 8), "side")
 
 
-MATRIX_COLS = [f"V{i}" for i in range(1, 11)] + ["Amount", "Class"]
+_LONG_SQL = ("lv AS (SELECT id, feature, value FROM (UNPIVOT (SELECT id, " + ", ".join(f"CAST({_q(c)} AS DOUBLE) AS {_q(c)}" for c in [*C.FEATURES, "Class"])
+             + " FROM tx) ON " + ", ".join(_q(c) for c in [*C.FEATURES, "Class"]) + " INTO NAME feature VALUE value))")
 
 
 @query("correlation_matrix", "G7",
-       W("tx") + "SELECT a, b, " + _ss("corr", "corr", 8) + " FROM (" + " UNION ALL ".join(
-           f"SELECT '{a}' AS a, '{b}' AS b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM tx"
-           for a in MATRIX_COLS for b in MATRIX_COLS) + ")")
+       _CORR_SQL + ", pick AS (SELECT feature FROM (SELECT feature FROM cr ORDER BY abs(corr) DESC, feature LIMIT 10) UNION ALL SELECT 'Class'), "
+       + _LONG_SQL + ", s AS (SELECT lv.* FROM lv JOIN pick USING (feature)) SELECT a.feature AS a, b.feature AS b, "
+       + _ss("corr(a.value, b.value)", "corr", 8) + " FROM s a JOIN s b ON a.id = b.id GROUP BY 1, 2")
 def q_corr_matrix(spark, d):
-    return eda.correlation_matrix(fx.tx(spark, d), MATRIX_COLS).select("a", "b", _sr("corr", 8))
+    """The ten features with the largest absolute correlation with Class, and Class."""
+    t = fx.tx(spark, d)
+    return eda.correlation_matrix(t, [*eda.strongest(t, C.FEATURES), C.TARGET]).select("a", "b", _sr("corr", 8))
 
 
 def _sql_hist(src: str, col: str, by: list[str], bins: int = 50) -> str:

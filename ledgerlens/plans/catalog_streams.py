@@ -182,11 +182,39 @@ def q_stream_windows(spark, d):
     out = shared_dir(spark, f"streams/windows-{__import__('uuid').uuid4().hex[:8]}")
     ev = _events_stream(spark, d).withColumn("series", F.col("user_id").cast("string"))
     c = SJ.windowed_counts(ev, "1 day", "1 day", cond=F.col("event_type") == "error")
-    SJ.run_available(c, "windows", SJ.idempotent_sink(out), output_mode="complete")
-    res = spark.read.parquet(out)
-    last = res.agg(F.max("batch")).first()[0]  # complete mode: the last batch holds every window
-    return res.where(F.col("batch") == last).select(
-        "series", F.unix_seconds(F.col("window.start")).alias("window_start"), "n")
+    SJ.run_available(c, "windows", SJ.idempotent_sink(out), out, output_mode="update")
+    res = spark.read.parquet(out)       # a window's last update holds its count
+    return res.groupBy("series", F.unix_seconds(F.col("window.start")).alias("window_start")).agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("stream_scored_history", "H10 A11",
+       "SELECT event_id AS id, value AS amount, TRUE AS p_in_range, TRUE AS verdict_follows FROM events")
+def q_stream_history(spark, d):
+    """Arriving events scored by a fitted model on scaled features and appended
+    to a history folder, one batch folder for each micro-batch."""
+    from ..operators import models, prep
+    from . import jobs
+    train, _, scaler = jobs.prepared(spark, fx.tx(spark, d))
+    model = models.train_model("logistic_regression", train)
+    emb = fx.table(spark, d, "embeddings")
+    first = fx.table(spark, d, "events").agg(F.min("ts")).first()[0]
+    n = emb.count()
+
+    def score(ev):
+        x = ev.join(emb, F.pmod("event_id", F.lit(n)) == F.col("vec_id"))
+        micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))
+        raw = x.select(F.col("event_id").alias("id"), "ts", (micros.cast("double") / 1e6).alias("Time"),
+                       *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(28)],
+                       F.col("value").alias("Amount"), F.col("value").alias("raw_amount"))
+        p = model.predict(prep.apply_robust_scaler(raw, scaler))
+        p = p.withColumn("fraud_prob", S.normalise_proba(F.array(1 - F.col("p"), F.col("p"))))
+        return S.add_verdict(p, "fraud_prob", clip=False).select("id", "ts", "raw_amount", "fraud_prob", "verdict", "confidence")
+
+    out = shared_dir(spark, f"streams/history-{__import__('uuid').uuid4().hex[:8]}")
+    SJ.score_stream(_events_stream(spark, d), score, out)
+    p = F.col("fraud_prob")
+    return spark.read.parquet(out).select("id", F.col("raw_amount").alias("amount"), p.between(0, 1).alias("p_in_range"),
+                                          (F.col("verdict") == S.verdict(p)).alias("verdict_follows"))
 
 
 # ---- fixed values: labels of the derived container logs ------------------------
@@ -194,15 +222,14 @@ LOG_PODS = ["app-0", "app-1", "postgresql-0"]
 
 
 def _write_logs(spark, d) -> str:
-    """Container log files derived from the events table, one folder per pod."""
+    """Container logs derived from the events table, one log per pod."""
     ev = fx.table(spark, d, "events")
     pods = F.array(*[F.lit(p) for p in LOG_PODS])
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.upper("event_type"), F.col("props"))
-    logs = ev.select(F.element_at(pods, (F.pmod("user_id", F.lit(len(LOG_PODS))) + 1).cast("int")).alias("pod"),
-                     F.lit("prod").alias("namespace"), F.lit("app").alias("container"),
-                     line.alias("value"))
+    logs = ev.select(F.element_at(pods, (F.pmod("user_id", F.lit(len(LOG_PODS))) + 1).cast("int")).alias("pod"), line.alias("value"))
     path = shared_dir(spark, f"logs/containers-{__import__('uuid').uuid4().hex[:8]}")
-    logs.write.partitionBy("pod", "namespace", "container").text(path)
+    for pod in LOG_PODS:
+        logs.where(F.col("pod") == pod).select("value").write.text(f"{path}/{pod}_prod_app-0a1b2c.log")
     return path
 
 
@@ -214,6 +241,6 @@ def q_logs(spark, d):
     src = _write_logs(spark, d)
     out = shared_dir(spark, f"logs/index-{__import__('uuid').uuid4().hex[:8]}")
     logs = SJ.log_index(SJ.ingest_logs(spark, src))
-    SJ.run_available(logs, "logs", SJ.idempotent_sink(out, ["index"]))
+    SJ.run_available(logs, "logs", SJ.idempotent_sink(out, ["index"]), out)
     res = spark.read.parquet(out)
     return res.groupBy("index", "pod", "namespace", "container").agg(F.count(F.lit(1)).alias("n"))

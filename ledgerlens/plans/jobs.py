@@ -149,24 +149,53 @@ def all_job(spark: SparkSession, df: DataFrame, out_dir: str, sampling: str = "s
 
 
 def batch_import(spark: SparkSession, upload: DataFrame, model: "models.Fitted", scaler: DataFrame,
-                 statement: DataFrame | None = None, batch_id: str | None = None,
-                 source: str = "upload") -> tuple[DataFrame, DataFrame]:
-    """M7: check, coerce, scale, score, attach statement lines; returns
-    (scored rows ready for the history table, H8 summary)."""
+                 statement: DataFrame | None = None, batch_id: str | None = None, source: str | None = None,
+                 align: str = "row", history: str | None = None, model_id: str = C.DEFAULT_MODEL_ID,
+                 customer: str | None = None, bank: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M7: check (B2), coerce (B3), scale (C2), score (D8, H2-H4), attach statement
+    lines (H6) and append to the history table (A11); returns the scored rows and
+    their summary (H8).
+
+    Scored rows hold the source's ``Row``, ``row_no`` (1-based among valid rows),
+    the raw ``time_val``, ``amount`` and ``v_features``, and ``probability``, the
+    confidence in the verdict.  Statement lines (``line_no``, ...) join on ``Row``, or with
+    ``align='survivor'`` on ``row_no``, as the original did.  ``source`` names the
+    upload (a path with length and time of change); without it the batch id is new.
+    """
+    absent = [c for c in C.REQUIRED_UPLOAD if c not in upload.columns]
+    if absent:
+        raise ValueError(clean.missing_message(absent))
     # the validated rows are read by the row-number passes and the scoring:
     # cut them from the upload's lineage once
     valid = cut_lineage(clean.coerce_numeric(upload), "upload")
-    valid = S.row_numbers(valid, "Row", "row")
+    valid = S.row_numbers(valid, "Row", "row_no").withColumns({
+        "time_val": F.col("Time"), "amount_raw": F.col("Amount"), "v_features": clean.pack_features(valid)})
+    bid = batch_id or batch_id_of(source)
     scaled = prep.apply_robust_scaler(valid.withColumn("id", F.col("Row").cast("long")), scaler)
-    scored = model.predict(scaled).withColumnRenamed("p", "fraud_prob")
-    scored = S.add_verdict(scored, "fraud_prob")
-    bid = F.lit(batch_id) if batch_id else S.new_batch_id(F.lit(source), F.current_date())
-    scored = scored.withColumn("batch_id", bid)
+    scored = S.add_verdict(model.predict(scaled).withColumnRenamed("p", "fraud_prob"), "fraud_prob")
+    name = F.lit(C.SERVING_MODELS.get(model_id, model_id))
+    scored = scored.select(
+        "Row", "row_no", "time_val", F.col("amount_raw").alias("amount"), "v_features", F.col("prediction").cast("int").alias("prediction"),
+        "fraud_prob", F.col("confidence").alias("probability"), "verdict", F.lit(bid).alias("batch_id"), F.lit(model_id).alias("model_id"),
+        name.alias("model_used"), F.lit(customer).cast("string").alias("customer_name"), F.lit(bank).cast("string").alias("bank_name"))
     if statement is not None:
-        scored = scored.join(statement.withColumnRenamed("line_no", "row"), "row", "left")
+        key = {"row": "Row", "survivor": "row_no"}[align]
+        lines = statement.withColumnRenamed("line_no", "_line")
+        scored = scored.join(lines, F.col(key).cast("long") == F.col("_line").cast("long"), "left").drop("_line")
+    scored = cut_lineage(scored, "scored-batch")
+    if history is not None:
+        described = scored.withColumn("tx_description", F.col("description") if "description" in scored.columns else F.lit(None).cast("string"))
+        io.append_history(described.withColumns({"id": F.xxhash64("batch_id", "Row"), "timestamp": F.current_timestamp()}), history)
     return scored, S.batch_summary(scored)
 
 
+def batch_id_of(source: str | None) -> str:
+    """H7 for a whole upload: from what tells the file apart, or fresh."""
+    import hashlib
+    import uuid
+    return hashlib.md5(source.encode()).hexdigest()[:8] if source else uuid.uuid4().hex[:8]
+
+
 def flagship_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale, split, weight and fit a logistic regression on the transactions,
     score the held-out rows and summarise verdicts next to the test metrics."""

@@ -1,22 +1,21 @@
 """Sources and sinks (A1-A18): files, reports, tables and the history store.
 
 Tables are plain parquet directories (a catalog is optional): the history
-table is partitioned by ``batch_id`` so per-batch reads prune to one folder
-and a batch delete is a partition drop.  Writes that replace data go to a
-new location first and are swapped in, because Spark cannot overwrite a
-path it is reading from.
+table is partitioned by day and a hash bucket of the batch id, so a delete
+reads and rewrites few of them.  Rows that replace data are written aside
+first, because Spark cannot overwrite a path it is reading from.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..session import cut_lineage
 
 TX_SCHEMA = T.StructType(
     [T.StructField("Time", T.DoubleType())]
@@ -173,32 +172,53 @@ def load_metrics_csv_into_table(spark: SparkSession, csv_path: str, root: str) -
 
 
 # ---- A11 - A14 history store ----------------------------------------------------
+# Partitions are (day of the timestamp, hash bucket of the batch id): their number
+# follows time, not batches, and all rows of a batch lie in one bucket of each of
+# its days.  batch_id itself is a column, so '' , NULL and all-digit ids stay apart.
+
+HISTORY_BUCKETS = 16
+_LAYOUT = T.StructType([T.StructField("day", T.StringType()), T.StructField("bucket", T.IntegerType())])
+
+
+def _bucket(batch_id) -> F.Column:
+    """Bucket of a batch id; rows without one are dealt by their own id."""
+    return F.pmod(F.xxhash64(F.coalesce(batch_id, F.concat(F.lit("row "), F.col("id").cast("string")))), F.lit(HISTORY_BUCKETS)).cast("int")
+
 
 def append_history(scored: DataFrame, path: str) -> None:
-    """Append scored rows, partitioned by batch id (null = single scoring)."""
-    cols = [f.name for f in HISTORY_SCHEMA.fields]
+    """Append scored rows (a null batch id means single scoring)."""
     d = scored
     for f in HISTORY_SCHEMA.fields:
         if f.name not in d.columns:
             d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
-    d.select(*[F.col(c).cast(HISTORY_SCHEMA[c].dataType) for c in cols]) \
-     .write.mode("append").partitionBy("batch_id").parquet(path)
+    d = d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA.fields])
+    d = d.withColumns({"day": F.coalesce(F.date_format("timestamp", "yyyyMMdd"), F.lit("none")), "bucket": _bucket(F.col("batch_id"))})
+    d.hint("rebalance", "day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
+    return spark.read.schema(T.StructType(schema.fields + _LAYOUT.fields)).parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
+    """History rows in a fixed schema; columns that older files lack are NULL."""
+    return _stored(spark, path, schema).drop("day", "bucket")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History rows; columns added later read as NULL in older files."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+def _file_schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.option("mergeSchema", True).parquet(path).drop("day", "bucket").schema
 
 
 def migrate_schema(spark: SparkSession, path: str, needed: T.StructType = HISTORY_SCHEMA) -> list[str]:
     """Add missing columns (existing ones kept).  Parquet files carry their
     own schema, so adding a column is writing one empty file with the wider
     schema; readers merge schemas and fill NULL."""
-    current = read_history(spark, path).schema if _exists(spark, path) else T.StructType([])
+    current = _file_schema(spark, path) if _exists(spark, path) else T.StructType([])
     missing = [f for f in needed.fields if f.name not in current.fieldNames()]
     if missing:
-        wide = T.StructType(list(current.fields) + missing)
-        spark.createDataFrame([], wide).write.mode("append").parquet(path)
+        # an empty file that carries the wider schema
+        spark.createDataFrame([], T.StructType(list(current.fields) + missing)).coalesce(1) \
+            .write.mode("append").parquet(f"{path}/day=none/bucket=0")
     return [f.name for f in missing]
 
 
@@ -209,46 +229,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _swap(spark: SparkSession, src: str, dst: str) -> None:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
-    fs = d.getFileSystem(conf)
-    fs.delete(d, True)
-    fs.rename(s, d)
-
+def _remove(spark: SparkSession, path: str, where: F.Column, hit: F.Column) -> int:
+    """Delete the rows ``hit`` among those ``where`` prunes to; returns their number.
 
-def _partition_path(path: str, batch_id: str | None) -> str:
-    return f"{path}/batch_id=__HIVE_DEFAULT_PARTITION__" if batch_id is None else f"{path}/batch_id={batch_id}"
+    Survivors of the touched partitions are written aside first and then replace
+    them in one dynamic overwrite, whose files appear when the job commits;
+    partitions without survivors are removed last.
+    """
+    rows = _stored(spark, path).where(where)
+    touched = {(r["day"], r["bucket"]): r["n"] for r in
+               rows.where(hit).groupBy("day", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}     # days of a batch
+    if not touched:
+        return 0
+    days, buckets = sorted({k[0] for k in touched}), sorted({k[1] for k in touched})
+    part = F.struct(F.col("day"), F.col("bucket"))
+    same = F.col("day").isin(days) & F.col("bucket").isin(buckets) & part.isin(*[F.struct(F.lit(k[0]), F.lit(k[1])) for k in sorted(touched)])
+    rest = cut_lineage(_stored(spark, path).where(same & ~F.coalesce(hit, F.lit(False))), "history-rest")
+    left = {(r["day"], r["bucket"]) for r in rest.select("day", "bucket").distinct().collect()}
+    if left:
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "bucket").parquet(path)
+    jvm = spark._jvm
+    for day, bucket in set(touched) - left:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/bucket={bucket}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return sum(touched.values())
 
 
 def delete_by_id(spark: SparkSession, path: str, row_id: int) -> int:
     """Delete one row; only its partition is rewritten.  Returns rows deleted
     (0 = not found)."""
-    h = read_history(spark, path)
-    hit = h.where(F.col("id") == row_id).select("batch_id").distinct().collect()  # <= 1 row
-    if not hit:
-        return 0
-    bid = hit[0]["batch_id"]
-    part = _partition_path(path, bid)
-    rows = spark.read.parquet(part)
-    n = rows.where(F.col("id") == row_id).count()
-    tmp = f"{path}/_tmp_{uuid.uuid4().hex}"
-    rows.where(F.col("id") != row_id).write.mode("overwrite").parquet(tmp)
-    _swap(spark, tmp, part)
-    return n
+    return _remove(spark, path, F.lit(True), F.col("id") == row_id)
 
 
 def delete_batch(spark: SparkSession, path: str, batch_id: str) -> int:
-    """Drop every row of a batch (a partition drop); returns the count."""
-    part = _partition_path(path, batch_id)
-    if not _exists(spark, part):
-        return 0
-    n = spark.read.parquet(part).count()
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(part)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+    """Delete every row of a batch; reads and rewrites its bucket only."""
+    return _remove(spark, path, F.col("bucket") == _bucket(F.lit(batch_id)), F.col("batch_id") == batch_id)
 
 
 # ---- A16 / A17 / A18 --------------------------------------------------------------
@@ -262,7 +277,7 @@ def load_scaler(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out_dir}/scaler")
 
 
-# ---- fixed values: production models offered for scoring ------------------------
+# ---- production models offered for scoring, with descriptions of our own ---------
 MODEL_REGISTRY = [
     ("random_forest_smote", "Random Forest", "Ensemble of decision trees, SMOTE-trained"),
     ("logistic_regression_smote", "Logistic Regression", "Linear baseline, SMOTE-trained"),

@@ -11,7 +11,7 @@ service would use a processing-time trigger instead.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +38,14 @@ def idempotent_sink(out_dir: str, partition_by: list[str] | None = None) -> Call
     return write
 
 
-def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None],
+def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], out_dir: str,
                   output_mode: str = "append") -> str:
-    """Run a stream over everything available now; returns the checkpoint path."""
+    """Run a stream over everything available now; returns the checkpoint path.
+
+    The checkpoint belongs to the query's name and its output folder, so a
+    restart goes on where the last run stopped instead of at batch 0."""
     spark = df.sparkSession
-    ckpt = shared_dir(spark, f"streams/{name}-{uuid.uuid4().hex[:8]}/checkpoint")
+    ckpt = shared_dir(spark, f"streams/{name}-{hashlib.md5(out_dir.encode()).hexdigest()[:16]}/checkpoint")
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -53,19 +56,20 @@ def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], out
     """Score each arriving row with the same DataFrame functions as the
     batch path and append it to the history folder, replay-safe."""
     scored = score(events)
-    return run_available(scored, "score", idempotent_sink(out_dir))
+    return run_available(scored, "score", idempotent_sink(out_dir), out_dir)
 
 
 def ingest_logs(spark: SparkSession, log_dir: str) -> DataFrame:
-    """Tail log files; pod, namespace and container come from the path
-    (``.../pod=<p>/namespace=<n>/container=<c>/...``), time from the line."""
-    lines = spark.readStream.text(f"{log_dir.rstrip('/')}/*/*/*")
-    path = F.input_file_name()
+    """Tail container log files ``<pod>_<namespace>_<container>-<id>.log``
+    (files, or folders of files); pod, namespace and container come from the
+    name, time from the line."""
+    lines = spark.readStream.text(f"{log_dir.rstrip('/')}/*.log")
+    path = F.regexp_extract(F.input_file_name(), r"([^/]+)\.log(/|$)", 1)
     ts = F.to_timestamp(F.regexp_extract("value", r"^(\S+ \S+)", 1), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return lines.select(
-        F.regexp_extract(path, r"pod=([^/]+)", 1).alias("pod"),
-        F.regexp_extract(path, r"namespace=([^/]+)", 1).alias("namespace"),
-        F.regexp_extract(path, r"container=([^/]+)", 1).alias("container"),
+        F.regexp_extract(path, r"^([^_]+)_", 1).alias("pod"),
+        F.regexp_extract(path, r"^[^_]+_([^_]+)_", 1).alias("namespace"),
+        F.regexp_extract(path, r"^[^_]+_[^_]+_(.+)-[^-]+$", 1).alias("container"),
         ts.alias("ts"), F.col("value").alias("message"))
 
 
