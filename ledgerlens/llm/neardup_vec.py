@@ -32,8 +32,8 @@ from .common import components, take
 
 BLOCK_DIMS = 16     # coordinates of a block
 GRID_DIMS = 2       # of them in the grid
-TILE = 1500         # vectors of a cell's part, about
-SLICE = 512         # rows of a distance matrix at a time
+TILE = 16384        # vectors of a cell's part, about
+SLICE = 256         # rows of a distance matrix at a time
 SEEN = "a long, b long, n long"
 
 
