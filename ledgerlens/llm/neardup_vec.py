@@ -92,28 +92,35 @@ def tile_links(x: np.ndarray, guest: np.ndarray, part: np.ndarray, same: bool, b
     starts, room = block_starts(d), budget(threshold, d)
     u = unit(x)
     r = u @ rotation(d)
-    s = r[:, starts[block]:starts[block] + BLOCK_DIMS]
-    left = np.flatnonzero(part == 0) if not same else np.arange(len(x))
-    right = np.flatnonzero(part == 1) if not same else np.arange(len(x))
+    s = r[:, starts[block]:starts[block] + BLOCK_DIMS].astype(np.float32)
+    # |s - t|^2 <= room as one product: s.t - |s|^2 / 2 - |t|^2 / 2 >= -room / 2, with room for single precision
+    half, one = -(s * s).sum(1, keepdims=True) / 2, np.ones((len(s), 1), np.float32)
+    a_side, b_side, least = np.hstack([s, half, one]), np.hstack([s, one, half]), np.float32(-room / 2 - 1e-5)
+    index = np.arange(len(x))
+    if same:
+        hosts = index[~guest]
+        meetings = [(hosts, np.concatenate([hosts, index[guest]]), True)]
+    else:
+        first, other = part == 0, part == 1
+        meetings = [(index[first & ~guest], index[other], False), (index[first & guest], index[other & ~guest], False)]
     out = []
-    sq = (s * s).sum(1)
-    for at in range(0, len(left), SLICE):
-        rows = left[at:at + SLICE]
-        near = sq[rows][:, None] + sq[right] - 2 * (s[rows] @ s[right].T) <= room
-        near &= ~(guest[rows][:, None] & guest[right])
-        if same:
-            near &= rows[:, None] < right
-        i, j = np.nonzero(near)
-        i, j = rows[i], right[j]
-        for lo in range(0, len(i), 200_000):
-            a, b = i[lo:lo + 200_000], j[lo:lo + 200_000]
-            linked = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
-            a, b = a[linked], b[linked]
-            first = np.ones(len(a), bool)
-            for e in starts[:block]:
-                first &= ((r[a, e:e + BLOCK_DIMS] - r[b, e:e + BLOCK_DIMS]) ** 2).sum(1) > room
-            if first.any():
-                out.append(np.column_stack([a[first], b[first]]))
+    for left, right, triangle in meetings:
+        for at in range(0, len(left), SLICE):
+            rows, columns = left[at:at + SLICE], right[at if triangle else 0:]
+            i, j = np.nonzero(a_side[rows] @ b_side[columns].T >= least)
+            if triangle:
+                i, j = i[j > i], j[j > i]
+            i, j = rows[i], columns[j]
+            for lo in range(0, len(i), 200_000):
+                a, b = i[lo:lo + 200_000], j[lo:lo + 200_000]
+                linked = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
+                a, b = a[linked], b[linked]
+                here = np.ones(len(a), bool)
+                for e in starts[:block + 1]:
+                    inside = ((r[a, e:e + BLOCK_DIMS] - r[b, e:e + BLOCK_DIMS]) ** 2).sum(1) <= room
+                    here &= inside if e == starts[block] else ~inside
+                if here.any():
+                    out.append(np.column_stack([a[here], b[here]]))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
