@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import aside, take, words
 
 GRADES = 3
@@ -56,23 +57,27 @@ class SeverityModel:
         return [float(1 / (1 + np.exp(min(t - z, 700.0)))) if np.isfinite(t) else 0.0 for t in self.thresholds]
 
 
-def select_words(texts: list[set[bytes]], toxic: np.ndarray, min_docs: int, min_g: float, min_lift: float) -> list[bytes]:
-    """Words whose presence tells toxic from clean texts: found in at least
-    ``min_docs`` toxic ones, ``min_lift`` times as often as in clean ones (so
-    longer toxic texts alone select nothing), G-test at least ``min_g``."""
-    counts: dict[bytes, list[int]] = {}
-    for ws, y in zip(texts, toxic):
-        for w in ws:
-            counts.setdefault(w, [0, 0])[int(y)] += 1
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+def mark(ws: set[bytes]) -> int:
+    """Equal for copies and nearly always for near copies, so that a group of
+    them counts as one text in training: the smallest hash of a long word, or
+    for a text without long words a hash of all its words."""
+    long = [crc32(w) for w in ws if len(w) >= 8]
+    return min(long) if long else (1 << 32) + crc32(b" ".join(sorted(ws)))
+
+
+def select_words(texts: DataFrame, n1: int, n0: int, min_docs: int, min_g: float, min_lift: float) -> list[bytes]:
+    """Words whose presence tells the n1 toxic from the n0 clean texts: found in
+    at least ``min_docs`` toxic ones, ``min_lift`` times as often as in clean
+    ones (so longer toxic texts alone select nothing), G-test at least ``min_g``."""
+    counts = (texts.select("toxic", F.explode("words").alias("word")).groupBy("word")
+              .agg(F.count_if(F.col("toxic")).alias("c1"), F.count_if(~F.col("toxic")).alias("c0"))
+              .where((F.col("c1") >= min_docs) & (F.col("c1") * n0 >= min_lift * (F.col("c0") + 0.5) * n1)))
     out = []
-    for w, (c0, c1) in counts.items():
-        if c1 >= min_docs and c1 * n0 >= min_lift * (c0 + 0.5) * n1:
-            seen = np.array([[c1, n1 - c1], [c0, n0 - c0]], float)
-            mean = seen.sum(1, keepdims=True) * seen.sum(0, keepdims=True) / seen.sum()
-            g = 2 * np.sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / mean), 0.0))
-            if g >= min_g:
-                out.append(w)
+    for r in counts.collect():          # few of the words of a bounded sample
+        seen = np.array([[r.c1, n1 - r.c1], [r.c0, n0 - r.c0]], float)
+        mean = seen.sum(1, keepdims=True) * seen.sum(0, keepdims=True) / seen.sum()
+        if 2 * np.sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / mean), 0.0)) >= min_g:
+            out.append(bytes(r.word))
     return sorted(out)
 
 
@@ -110,27 +115,24 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_doc
     sample = reduce(DataFrame.unionByName, [
         graded.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (True, False)])
 
-    @F.arrow_udf("array<binary>")
+    @F.arrow_udf("struct<words:array<binary>,mark:long>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(word_set(t.as_py())) for t in texts], pa.list_(pa.binary()))
+        sets = [word_set(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([sorted(s) for s in sets], pa.list_(pa.binary())), pa.array(map(mark, sets), pa.int64())], ["words", "mark"])
 
     # the sample has at most 2 * max_per_class rows, so it may be broadcast
-    rows = (take(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-            .select("doc_id", "toxic", features("text").alias("f")).collect())
-    every: dict = {}
-    for _, y, ws in sorted(((r.doc_id, r.toxic, frozenset(map(bytes, r.f))) for r in rows), key=lambda r: r[0]):
-        every.setdefault((mark(ws), y), ws)
-    texts, toxic = list(every.values()), np.array([y for _, y in every], bool)
-    if not toxic.any() or toxic.all():
+    texts = cut_lineage(take(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+                        .select("doc_id", "toxic", features("text").alias("f")).groupBy("f.mark", "toxic")
+                        .agg(F.min_by("f.words", F.struct("doc_id", "f.words")).alias("words")), "toxicity-sample")
+    sizes = texts.agg(F.count_if(F.col("toxic")).alias("n1"), F.count_if(~F.col("toxic")).alias("n0")).first()
+    if not sizes["n1"] or not sizes["n0"]:
         return SeverityModel()
-    return fit(texts, toxic, select_words(texts, toxic, min_docs, min_g, min_lift))
-
-
-def mark(ws: frozenset[bytes]):
-    """Equal for copies and nearly always for near copies, so that a group of
-    them counts as one text in training: the smallest hash of a long word."""
-    return min((crc32(w) for w in ws if len(w) >= 8), default=ws)
+    chosen = select_words(texts, sizes["n1"], sizes["n0"], min_docs, min_g, min_lift)
+    if not chosen:
+        return SeverityModel()
+    held = F.array_intersect("words", F.array(*[F.lit(bytearray(w)) for w in chosen]))
+    rows = texts.select("mark", "toxic", held.alias("held")).orderBy("mark", "toxic").collect()
+    return fit([frozenset(map(bytes, r.held)) for r in rows], np.array([r.toxic for r in rows], bool), chosen)
 
 
 def fit(texts: list[frozenset[bytes]], toxic: np.ndarray, chosen: list[bytes], min_weight: float = 0.3, rounds: int = 3) -> SeverityModel:
