@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from . import bpe, langid, line_dedup, lm, mixing, neardup_vec, secrets, simhash, topk, toxicity
 from .common import fold
+from .oracle import SQL  # noqa: F401  (registered with the queries)
 
 QUERIES = {}
-SQL = {}
 
 
 def registered(fn):

@@ -101,3 +101,16 @@ def test_stages_on_edges(spark, documents, edge, name, stage):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(__spark_entry__.LLM_SQL))
+def test_matches_duckdb(spark, name):
+    import duckdb
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(__spark_entry__.LLM_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = __spark_entry__.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
