@@ -1,26 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of no, one or two preceding words.  A context is a
-candidate if it makes up a share ``p_min`` of all training positions, so there
-are at most 1 / p_min of each length, whatever the corpus size.  A divergence
-test keeps a candidate if its own next-word distribution, each occurrence left
-out in turn, predicts the training text better than its suffix does by at
-least ``min_gain`` nats per occurrence; suffixes of kept contexts are kept.
-Next-word counts are smoothed with the suffix's distribution, with the weight
-of ``prior`` occurrences; the root is the additively smoothed word
-distribution.  A token is scored in the longest kept suffix of its past.
+States are contexts of preceding words.  A context is a candidate if it comes
+before ``min_count`` training tokens, so the tree grows with the corpus; in a
+corpus so small that the share ``SMALL`` of its training tokens is less, that
+share is enough.  (``p_min`` sets a share for any size instead.)  The longest
+context grows too: two words up to a million training tokens, and one word more
+for each further factor of ten.  A divergence test keeps a candidate if its own
+next-word distribution, each occurrence left out in turn, predicts the training
+text better than its suffix does by at least ``min_gain`` nats per occurrence;
+suffixes of kept contexts are kept.  Next-word counts are smoothed with the
+suffix's distribution, with the weight of ``prior`` occurrences; the root is
+the additively smoothed word distribution.  A token is scored in the longest
+kept suffix of its past.
 
 How it runs.  Each task packs its documents into chunks: word ids, numbered by
-word hash, and the hashes.  Chunks ask for the counts of their distinct words,
-and of words after candidate contexts, in rows dealt by word hash; the counts
-of all orders of a word meet in one place, are summed there and answered to
-each chunk that asked.  So what moves is distinct words and pairs of a chunk,
-not tokens, and no word, however frequent, gives one task more than a row for
-each chunk and context.
-
-A context's local shares pick the candidates: one is counted if the chunks in
-which it has the share ``p_min`` hold at least half that share of all
-positions.
+word hash, and the hashes.  Chunks ask for the training counts of their
+distinct grams (words, pairs, then longer ones), in rows dealt by gram hash;
+the counts of a gram meet in one place, are summed there and answered to each
+chunk that asked.  A longer gram is asked for only if the pairs of its context
+are frequent enough, and not if one of its pairs is in this chunk alone.  From
+the counts each chunk sums its part of the gain of its contexts; these sums and
+the kept contexts are dealt by hash as well.  So what moves is distinct grams
+of a chunk, not tokens; no gram, however frequent, gives one task more than a
+row for each chunk; and no table of contexts is collected or broadcast.
 
 Defined cases: a null text is the empty text, whose only token is its end.
 Rows with a null id are in fold 0.  Repeated rows count and are scored as often
@@ -43,8 +45,10 @@ from .common import take, words
 
 END = b""                       # no word is empty
 CODEC = pa.Codec("zstd", compression_level=1)
+SMALL = 5e-5                    # share of the training tokens that makes a candidate of a small corpus
+WORD, PAIR, LONGER, KEPT = range(4)
 PACKED = ("chunk long, doc_id array<long>, train array<boolean>, n_tokens array<int>, train_tokens long, "
-          "tokens binary, vocabulary binary, level array<int>, context array<long>, suffix array<long>, n array<long>")
+          "tokens binary, vocabulary binary")
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -83,49 +87,48 @@ class Chunk:
     train: np.ndarray           # of each document
 
     def __post_init__(self):
-        first = np.cumsum(self.n_tokens) - self.n_tokens
-        at = np.arange(len(self.tokens)) - np.repeat(first, self.n_tokens)
-        self.has1, self.has2 = at > 0, at > 1
+        self.first = np.cumsum(self.n_tokens) - self.n_tokens
+        self.at = np.arange(len(self.tokens)) - np.repeat(self.first, self.n_tokens)
         self.learn = np.repeat(self.train, self.n_tokens)
-        self.first = first
-
-    def before(self, n: int) -> np.ndarray:
-        """The token n places before each token (any where there is none)."""
-        return np.concatenate((self.tokens[:1].repeat(n), self.tokens))[:len(self.tokens)]
-
-    def contexts(self, model: "Contexts") -> tuple[np.ndarray, np.ndarray]:
-        """Number of each position's candidate context of one and of two words, or -1."""
-        of_word = model.find(model.one, self.vocabulary)
-        one = np.where(self.has1, of_word[self.before(1)], -1)
-        two = np.full(len(self.tokens), -1)
-        can = np.flatnonzero(self.has2 & (one >= 0))
-        if len(can) and len(model.two):
-            u, w = self.before(2)[can].astype(np.int64), self.before(1)[can].astype(np.int64)
-            keys, back = np.unique(u * len(self.vocabulary) + w, return_inverse=True)
-            v = len(self.vocabulary)
-            found = model.find(model.two, pair_hash(self.vocabulary[keys // v], self.vocabulary[keys % v]))
-            two[can] = np.where(found >= 0, found + len(model.one), -1)[back]
-        return one, two
 
 
 @dataclass
-class Contexts:
-    """Candidates: hashes of one-word and two-word contexts, sorted; numbered
-    first the ones, then the twos.  ``suffix``: the one-word context in which
-    each two-word context ends.  ``count``: training positions after each."""
-
-    one: np.ndarray
-    two: np.ndarray
+class Grams:
+    """Distinct grams of one length in a chunk; ``at``: number of the gram that
+    ends at each position, or -1.  ``prefix`` and ``suffix``: numbers of the
+    grams one word shorter.  ``n``: training occurrences in the whole corpus,
+    ``here``: the gram is known to be in this chunk alone."""
+
+    at: np.ndarray
+    hash: np.ndarray
+    own: np.ndarray             # training occurrences in the chunk
+    prefix: np.ndarray
+    word: np.ndarray
     suffix: np.ndarray
-    count: np.ndarray
-    kept: np.ndarray
+    n: np.ndarray | None = None
+    here: np.ndarray | None = None
+
 
-    @staticmethod
-    def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(keys), -1)
-        i = np.searchsorted(table, keys)
-        return np.where(table[np.minimum(i, len(table) - 1)] == keys, i, -1)
+def single(c: Chunk) -> Grams:
+    v = np.arange(len(c.vocabulary))
+    return Grams(c.tokens.astype(np.int32), c.vocabulary, np.bincount(c.tokens[c.learn], minlength=len(v)), v, v, v)
+
+
+def longer(c: Chunk, low: Grams, size: int, often: np.ndarray | None = None) -> Grams:
+    """Grams of size + 1 words from those of ``size``; ``often``: positions at
+    which a context may end."""
+    before = np.concatenate((np.full(1, -1, np.int32), low.at[:-1]))
+    ok = (c.at >= size) & (before >= 0)
+    if often is not None:
+        ok[1:] &= often[:-1]
+    ok = np.flatnonzero(ok)
+    v = len(c.vocabulary)
+    keys, back = np.unique(before[ok].astype(np.int64) * v + c.tokens[ok], return_inverse=True)
+    at, suffix = np.full(len(c.tokens), -1, np.int32), np.zeros(len(keys), np.int64)
+    at[ok] = back
+    suffix[back] = low.at[ok]
+    prefix, word = keys // v, keys % v
+    return Grams(at, pair_hash(low.hash[prefix], c.vocabulary[word]), np.bincount(back[c.learn[ok]], minlength=len(keys)), prefix, word, suffix)
 
 
 def make_chunk(texts, train) -> Chunk:
@@ -144,40 +147,20 @@ def make_chunk(texts, train) -> Chunk:
     return Chunk(place[np.concatenate(parts)], hashes[order], np.array(n, np.int64), np.array(train, bool))
 
 
-def frequent(c: Chunk, p_min: float) -> tuple[list, list, list, list]:
-    """(level, context, suffix, n) of the contexts with a share p_min of the
-    chunk's training positions."""
-    least, v = p_min * c.learn.sum(), len(c.vocabulary)
-    one = np.bincount(c.before(1)[c.learn & c.has1], minlength=v)
-    often = (one >= least) & (one > 0)
-    ok = c.learn & c.has2
-    u, w = c.before(2)[ok].astype(np.int64), c.before(1)[ok].astype(np.int64)
-    both = often[u] & often[w]
-    keys, n = np.unique(u[both] * v + w[both], return_counts=True)
-    keys, n = keys[n >= least], n[n >= least]
-    h = c.vocabulary
-    singles = np.flatnonzero(often)
-    two = pair_hash(h[keys // v], h[keys % v]) if len(keys) else np.zeros(0, np.uint64)
-    return ([1] * len(singles) + [2] * len(keys), np.concatenate((h[singles], two)).view(np.int64).tolist(),
-            np.concatenate((h[singles], h[keys % v] if len(keys) else two)).view(np.int64).tolist(), one[singles].tolist() + n.tolist())
-
-
-def packed_chunks(docs: DataFrame, p_min: float, chunk_chars: int) -> DataFrame:
+def packed_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
     """Documents (doc_id, text, train) packed into chunks of about chunk_chars."""
     def run(batches):
         ids, texts, train, size = [], [], [], 0
 
         def flush():
             c = make_chunk(texts, train)
-            level, context, suffix, n = frequent(c, p_min)
             name = xxhash.xxh64(repr((ids[0], len(ids), ids[-1])).encode() + c.tokens.tobytes()).intdigest() >> 1
             return pa.RecordBatch.from_pylist([{
                 "chunk": name, "doc_id": ids, "train": train, "n_tokens": c.n_tokens.tolist(), "train_tokens": int(c.learn.sum()),
-                "tokens": pack(c.tokens), "vocabulary": pack(c.vocabulary), "level": level, "context": context, "suffix": suffix, "n": n}],
+                "tokens": pack(c.tokens), "vocabulary": pack(c.vocabulary)}],
                 schema=pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())),
                                   ("n_tokens", pa.list_(pa.int32())), ("train_tokens", pa.int64()), ("tokens", pa.binary()),
-                                  ("vocabulary", pa.binary()), ("level", pa.list_(pa.int32())), ("context", pa.list_(pa.int64())),
-                                  ("suffix", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]))
+                                  ("vocabulary", pa.binary())]))
 
         for b in batches:
             for i, t, y in zip(b.column(0), b.column(1), b.column(2)):
@@ -206,190 +189,224 @@ def rows_of(batch):
         yield {n: batch.column(n)[i] for n in batch.schema.names}
 
 
-def candidates(chunks: DataFrame, p_min: float) -> tuple[Contexts, int]:
-    """Contexts with a share p_min of the N training positions, and N."""
-    total = chunks.agg(F.sum("train_tokens")).first()[0] or 0
-    local = (chunks.select(F.explode(F.arrays_zip("level", "context", "suffix", "n")).alias("x")).select("x.*")
-             .groupBy("level", "context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= p_min * total / 2))
-    found = [(r.level, r.context, r.suffix) for r in local.collect()]        # at most 2 / p_min of each level
-    as_u64 = lambda x: np.array(x, np.int64).view(np.uint64)
-    one = np.unique(as_u64([c for level, c, _ in found if level == 1]))
-    twos = {c: s for level, c, s in found if level == 2}
-    two = np.unique(as_u64(list(twos)))
-    suffix = Contexts.find(one, as_u64([twos[c] for c in two.view(np.int64).tolist()]))
-    two, suffix = two[suffix >= 0], suffix[suffix >= 0]
-    model = Contexts(one, two, suffix, np.zeros(0), np.zeros(0))
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
-
-    def count(batches):
-        for b in batches:
-            for row in rows_of(b):
-                c = load(row)
-                n = sum(np.bincount(x[c.learn & (x >= 0)], minlength=len(shared.value.one) + len(shared.value.two))
-                        for x in c.contexts(shared.value))
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["context", "n"])
-
-    exact = (chunks.select("tokens", "vocabulary", "n_tokens", "train").mapInArrow(count, "context long, n long")
-             .groupBy("context").agg(F.sum("n").alias("n")))
-    counts = np.zeros(len(one) + len(two), np.int64)
-    for r in exact.collect():                   # at most 4 / p_min
-        counts[r.context] = r.n
-    often = (counts >= p_min * total) & (counts > 0)
-    o1, o2 = often[:len(one)], often[len(one):]
-    o2 = o2 & o1[suffix] if len(two) else o2
-    renumber = np.cumsum(o1) - 1
-    return Contexts(one[o1], two[o2], renumber[suffix[o2]], np.concatenate((counts[:len(one)][o1], counts[len(one):][o2])),
-                    np.zeros(0, bool)), total
-
-
-def asked(c: Chunk, model: Contexts) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word, context) pairs of a chunk as word * (contexts + 1) +
-    context, and each pair's training occurrences.  Context 0 is no context."""
-    width = len(model.count) + 1
-    keys, learn = [], []
-    for x in c.contexts(model):
-        ok = x >= 0
-        keys.append(c.tokens[ok].astype(np.int64) * width + x[ok] + 1)
-        learn.append(c.learn[ok])
-    keys.append(c.tokens.astype(np.int64) * width)
-    learn.append(c.learn)
-    pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return pairs, np.bincount(back[np.concatenate(learn)], minlength=len(pairs))
-
-
-def bucket_edges(vocabulary: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Word ids at which each bucket, a range of hashes, begins; and the end."""
+def buckets(h: np.ndarray, n_buckets: int):
+    """(bucket, its places in h in order of hash) of the buckets, ranges of hashes, that are not empty."""
+    order = np.argsort(h)
     step = (1 << 64) // n_buckets
-    return np.searchsorted(vocabulary, np.array([i * step for i in range(n_buckets)], np.uint64)).tolist() + [len(vocabulary)]
-
-
-REQUEST = "bucket int, chunk long, words binary, word binary, context binary, n binary"
-REPLY = "chunk long, bucket int, n binary, distinct long, context array<int>, gain array<double>"
-
-
-def replies(chunks: DataFrame, model: Contexts, total: int, prior: float, n_buckets: int) -> DataFrame:
-    """For each chunk and bucket the training counts of the pairs asked for, in
-    the order asked; for each bucket its distinct training words and the
-    gain of each candidate context over its suffix, summed over its words."""
-    shared = chunks.sparkSession.sparkContext.broadcast(model)      # at most 2 / p_min contexts
-
-    def ask(batches):
-        width = len(shared.value.count) + 1
-        for b in batches:
-            for row in rows_of(b):
-                c = load(row)
-                pairs, n = asked(c, shared.value)
-                edges = bucket_edges(c.vocabulary, n_buckets)
-                cut = np.searchsorted(pairs, np.array(edges, np.int64) * width)
-                out = {k: [] for k in ("bucket", "chunk", "words", "word", "context", "n")}
-                for i in range(n_buckets):
-                    mine = pairs[cut[i]:cut[i + 1]]
-                    if len(mine):
-                        for k, v in (("bucket", i), ("chunk", row["chunk"].as_py()), ("words", pack(c.vocabulary[edges[i]:edges[i + 1]])),
-                                     ("word", pack((mine // width - edges[i]).astype(np.uint32))), ("context", pack((mine % width).astype(np.uint32))),
-                                     ("n", pack(n[cut[i]:cut[i + 1]].astype(np.uint32)))):
-                            out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("words", "word", "context", "n")]]))
-
-    def answer(key, t):
-        m, width = shared.value, len(shared.value.count) + 1
-        words_of = [unpack(x.as_py(), np.uint64) for x in t["words"]]
-        vocabulary = np.unique(np.concatenate(words_of))
-        keys = [np.searchsorted(vocabulary, w)[unpack(x.as_py(), np.uint32)] * width + unpack(y.as_py(), np.uint32)
-                for w, x, y in zip(words_of, t["word"], t["context"])]
-        pairs, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(back, np.concatenate([unpack(x.as_py(), np.uint32) for x in t["n"]]), minlength=len(pairs)).astype(np.int64)
-        told = [pack(x.astype(np.uint64)) for x in np.split(n[back], np.cumsum([len(k) for k in keys])[:-1])]
-        gain = gains(pairs // width, pairs % width - 1, n, m, total, prior)
-        some = np.flatnonzero(gain)
-        rows = len(told)
-        return pa.table({"chunk": t["chunk"], "bucket": t["bucket"], "n": pa.array(told, pa.binary()),
-                         "distinct": pa.array([int(((pairs % width == 0) & (n > 0)).sum())] + [0] * (rows - 1), pa.int64()),
-                         "context": pa.array([some.tolist()] + [[]] * (rows - 1), pa.list_(pa.int32())),
-                         "gain": pa.array([gain[some].tolist()] + [[]] * (rows - 1), pa.list_(pa.float64()))})
-
-    requests = chunks.select("chunk", "tokens", "vocabulary", "n_tokens", "train").mapInArrow(ask, REQUEST)
-    return cut_lineage(requests.groupBy("bucket").applyInArrow(answer, REPLY), "lm-replies")
-
-
-def gains(word: np.ndarray, context: np.ndarray, n: np.ndarray, m: Contexts, total: int, prior: float) -> np.ndarray:
-    """Each context's gain in nats over its suffix from these words: leave-one-out
-    log-likelihood of its occurrences minus that of the suffix's distribution."""
-    out = np.zeros(len(m.count))
-    root = np.zeros(int(word.max(initial=-1)) + 1)
-    root[word[context < 0]] = n[context < 0]
-    seen = (n > 0) & (context >= 0)
-    word, context, n = word[seen], context[seen], n[seen].astype(float)
-    q = root[word] / max(total, 1)
-    width, c = len(m.count) + 1, m.count[context]
-    lookup, one = word * width + context, context < len(m.one)
-    parent = q.copy()
-    if (~one).any():
-        above = m.suffix[context[~one] - len(m.one)]
-        held = n[np.minimum(np.searchsorted(lookup, word[~one] * width + above), len(n) - 1)]
-        parent[~one] = (held + prior * q[~one]) / (m.count[above] + prior)
-    np.add.at(out, context, n * np.log((n - 1 + prior * parent) / (c - 1 + prior) / parent))
+    cut = [*np.searchsorted(h[order], np.array([i * step for i in range(n_buckets)], np.uint64)).tolist(), len(h)]
+    for i in range(n_buckets):
+        if cut[i] < cut[i + 1]:
+            yield i, order[cut[i]:cut[i + 1]]
+
+
+REQUEST = "bucket int, chunk long, kind int, gram binary, n binary"
+REPLY = "bucket int, chunk long, kind int, n binary, distinct long"
+CONTEXT = "bucket int, chunk long, gram binary, level binary, n binary, gain binary, suffix binary"
+REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.binary()), ("n", pa.binary())])
+CONTEXT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("gram", "level", "n", "gain", "suffix")]])
+
+
+def requests(chunk: int, kind: int, h: np.ndarray, own: np.ndarray, n_buckets: int) -> list[dict]:
+    return [{"bucket": i, "chunk": chunk, "kind": kind, "gram": pack(h[at]), "n": pack(own[at].astype(np.uint32))} for i, at in buckets(h, n_buckets)]
+
+
+def answers(told: pa.Table, kind: int, h: np.ndarray) -> np.ndarray:
+    """What was answered about each of the hashes asked for."""
+    rows = {b: x for b, k, x in zip(told["bucket"].to_pylist(), told["kind"].to_pylist(), told["n"]) if k == kind}      # equal chunks get equal answers
+    out = np.zeros(len(h), np.uint64)
+    if rows:
+        out[np.argsort(h)] = np.concatenate([unpack(rows[b].as_py(), np.uint64) for b in sorted(rows)])
+    return out.astype(np.int64)
+
+
+def summed(key, t):
+    """Answers to the requests of one bucket: twice the count of each gram, and
+    one more if only one chunk asked for it; and the bucket's distinct training words."""
+    asked = [unpack(x.as_py(), np.uint64) for x in t["gram"]]
+    grams, back = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(back, np.concatenate([unpack(x.as_py(), np.uint32) for x in t["n"]]), minlength=len(grams)).astype(np.uint64)
+    alone = np.bincount(back, minlength=len(grams)) == 1
+    each = np.split(back, np.cumsum([len(x) for x in asked])[:-1])
+    is_word = np.zeros(len(grams), bool)
+    for at, k in zip(each, t["kind"].to_pylist()):
+        if k == WORD:
+            is_word[at] = True
+    value = n * np.uint64(2) + alone
+    return pa.table({"bucket": t["bucket"], "chunk": t["chunk"], "kind": t["kind"], "n": pa.array([pack(value[at]) for at in each], pa.binary()),
+                     "distinct": pa.array([int((is_word & (n > 0)).sum())] + [0] * (len(each) - 1), pa.int64())})
+
+
+def short_grams(c: Chunk, told: pa.Table | None = None) -> list[Grams]:
+    out = [single(c)]
+    out.append(longer(c, out[0], 1))
+    for kind, g in zip((WORD, PAIR), out if told is not None else ()):
+        value = answers(told, kind, g.hash)
+        g.n, g.here = value >> 1, value % 2 == 1
     return out
 
 
-def keep(model: Contexts, stats: DataFrame, min_gain: float) -> np.ndarray:
-    """Candidates that pass the divergence test, and the suffixes of those."""
-    gain = np.zeros(len(model.count))
-    summed = stats.select(F.explode(F.arrays_zip("context", "gain")).alias("x")).groupBy("x.context").agg(F.sum("x.gain").alias("gain"))
-    for r in summed.collect():                  # at most 2 / p_min
-        gain[r.context] = r.gain
-    kept = gain > min_gain * model.count
-    ones = kept[:len(model.one)]
-    ones[model.suffix[kept[len(model.one):]]] = True
-    return kept
+def long_grams(c: Chunk, short: list[Grams], depth: int, least: float, told: pa.Table | None = None) -> list[Grams]:
+    """Grams of 1 to depth + 1 words.  Those of three and more whose contexts
+    have frequent pairs only are candidates or not by their counts."""
+    out, pairs = list(short), short[1]
+    often = (pairs.at >= 0) & (pairs.n >= least)[pairs.at] if len(pairs.n) else np.zeros(len(c.tokens), bool)
+    for size in range(2, depth + 1):
+        g = longer(c, out[-1], size, often)
+        g.here = out[-1].here[g.prefix] | out[-1].here[g.suffix]
+        out.append(g)
+    if told is not None:
+        n = answers(told, LONGER, unsure(out))
+        for g in out[2:]:
+            g.n, take = g.own.copy(), int((~g.here).sum())
+            g.n[~g.here], n = n[:take] >> 1, n[take:]
+    return out
 
 
-def token_scores(c: Chunk, n: np.ndarray, model: Contexts, total: int, distinct: int, prior: float):
+def unsure(grams: list[Grams]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[g.hash[~g.here] for g in grams[2:]]])
+
+
+def contexts(grams: list[Grams], least: float) -> list[np.ndarray]:
+    """Numbers of the candidates of each length."""
+    return [np.flatnonzero((g.n >= least) & (g.n > 0)) for g in grams[:-1]]
+
+
+def gains(grams: list[Grams], size: int, total: int, prior: float) -> np.ndarray:
+    """The chunk's part of the gain in nats of each context of ``size`` words over
+    its suffix: leave-one-out log-likelihood of its occurrences minus that of the
+    suffix's distribution."""
+    low, g = grams[size - 1], grams[size]
+    use = np.flatnonzero((g.own > 0) & (low.n[g.prefix] > 0))
+    n, c = g.n[use].astype(float), low.n[g.prefix[use]].astype(float)
+    q = grams[0].n[g.word[use]] / max(total, 1)
+    parent = q
+    if size > 1:
+        above = g.suffix[use]
+        parent = (low.n[above] + prior * q) / (grams[size - 2].n[low.prefix[above]] + prior)
+    own = g.own[use] * np.log((n - 1 + prior * parent) / (c - 1 + prior) / parent)
+    return np.bincount(g.prefix[use], own, minlength=len(low.hash))
+
+
+def kept_contexts(parts: DataFrame, depth: int, min_gain: float, n_buckets: int) -> DataFrame:
+    """(bucket, h) of the candidates that pass the divergence test, and of all
+    suffixes of those."""
+    def test(key, t):
+        cat = lambda name, dtype: np.concatenate([unpack(x.as_py(), dtype) for x in t[name]])
+        h, at, back = np.unique(cat("gram", np.uint64), return_index=True, return_inverse=True)
+        passed = np.bincount(back, cat("gain", np.float64), minlength=len(h)) > min_gain * cat("n", np.uint64)[at]
+        return pa.table({"h": h.view(np.int64), "level": cat("level", np.uint8)[at].astype(np.int32),
+                         "suffix": cat("suffix", np.uint64)[at].view(np.int64), "passed": passed})
+
+    tested = cut_lineage(parts.groupBy("bucket").applyInArrow(test, "h long, level int, suffix long, passed boolean"), "lm-contexts")
+    above, out = None, None
+    for size in range(depth, 0, -1):
+        now = tested.where(F.col("level") == size)
+        if above is None:
+            now = now.where("passed")
+        else:
+            now = now.join(above.select(F.col("suffix").alias("h"), F.lit(True).alias("_under")).distinct(), "h", "left").where("passed or _under")
+        above = cut_lineage(now.select("h", "suffix"), "lm-kept")
+        out = above if out is None else out.unionByName(above)
+    return out.select(F.shiftrightunsigned("h", 65 - n_buckets.bit_length()).cast("int").alias("bucket"), "h")
+
+
+def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: int, distinct: int, prior: float):
     """(known, log10 root probability, log10 model probability) of each token;
-    n: counts of the pairs the chunk asked for."""
-    pairs, _ = asked(c, model)
-    width, word = len(model.count) + 1, c.tokens.astype(np.int64) * (len(model.count) + 1)
-    root_n = n[np.searchsorted(pairs, word)].astype(float)
+    kept: of each length, whether each gram is a kept context."""
+    root_n = grams[0].n[c.tokens].astype(float)
     root = (root_n + 0.5) / (total + 0.5 * (distinct + 1))
     p = root.copy()
-    for x in c.contexts(model):
-        at = np.flatnonzero((x >= 0) & model.kept[np.maximum(x, 0)]) if len(model.kept) else []
-        if len(at):
-            own = n[np.searchsorted(pairs, word[at] + x[at] + 1)]
-            p[at] = (own + prior * p[at]) / (model.count[x[at]] + prior)
+    for size, keep in enumerate(kept, 1):
+        at = np.flatnonzero((c.at >= size) & np.concatenate((np.zeros(1, bool), (grams[size - 1].at >= 0)[:-1])))
+        context = grams[size - 1].at[at - 1]
+        at, context = at[keep[context]], context[keep[context]]
+        p[at] = (grams[size].n[grams[size].at[at]] + prior * p[at]) / (grams[size - 1].n[context] + prior)
     return root_n > 0, np.log10(root), np.log10(p)
 
 
+def depth_for(total: int) -> int:
+    """Words of the longest context: 2, and one more for each factor of ten from a million training tokens on."""
+    return max(2, len(str(total)) - 4)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, train, p_min: float = 5e-5, min_gain: float = 0.02, prior: float = 10.0,
-          chunk_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train, p_min: float | None = None, min_gain: float = 0.02, prior: float = 10.0,
+          chunk_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", min_count: int = 20,
+          depth: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
     rows = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), p_min, chunk_chars)
-    model, total = candidates(chunks, p_min)
-    n_buckets = max(8, 1 << int(chunks.count()).bit_length())
-    told = replies(chunks, model, total, prior, n_buckets)
-    distinct = told.agg(F.sum("distinct")).first()[0] or 0
-    model.kept = keep(model, told, min_gain)
-    shared = chunks.sparkSession.sparkContext.broadcast(model)
-
-    def run(key, left, right):
-        _, order = np.unique(right["bucket"].to_numpy(), return_index=True)      # equal chunks get equal answers
-        blobs = right["n"].to_pylist()
-        n = np.concatenate([unpack(blobs[i], np.uint64) for i in order]).astype(np.int64)
-        out = []
-        for row in rows_of(left.combine_chunks().to_batches()[0]):
-            c = load(row)
-            known, base, own = token_scores(c, n, shared.value, total, distinct, prior)
-            add = lambda v: np.add.reduceat(v, c.first)
-            out.append(pa.table({"doc_id": row["doc_id"].values, "held_out": pa.array(~c.train), "n_tokens": pa.array(c.n_tokens),
-                                 "n_known": pa.array(add(known.astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(own))}))
-        return pa.concat_tables(out)
-
+    chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), chunk_chars)
+    total, n_chunks = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
+    n_buckets = max(8, 1 << int(n_chunks).bit_length())
+    least = p_min * total if p_min is not None else min(SMALL * total, min_count)
+    depth = depth or depth_for(total)
     slim = chunks.select("chunk", "doc_id", "train", "n_tokens", "tokens", "vocabulary")
-    scored = slim.groupBy("chunk").cogroup(told.select("chunk", "bucket", "n").groupBy("chunk")).applyInArrow(run, SCORES)
+
+    def ask_short(batches):
+        for b in batches:
+            for row in rows_of(b):
+                for kind, g in zip((WORD, PAIR), short_grams(load(row))):
+                    yield pa.RecordBatch.from_pylist(requests(row["chunk"].as_py(), kind, g.hash, g.own, n_buckets), schema=REQUEST_ARROW)
+
+    def each(f, empty):
+        """``f`` for each row of a group of equal chunks, with what was answered to it."""
+        def run(key, left, right):
+            return pa.concat_tables([empty, *[f(row, load(row), right) for row in rows_of(left.combine_chunks().to_batches()[0])]]) if left.num_rows else empty
+        return run
+
+    def with_answers(told):
+        return slim.groupBy("chunk").cogroup(told.groupBy("chunk"))
+
+    def ask_long(row, c, told):
+        grams = long_grams(c, short_grams(c, told), depth, least)
+        own = np.concatenate([np.zeros(0, np.int64), *[g.own[~g.here] for g in grams[2:]]])
+        return pa.Table.from_pylist(requests(row["chunk"].as_py(), LONGER, unsure(grams), own, n_buckets), schema=REQUEST_ARROW)
+
+    def parts(row, c, told):
+        grams = long_grams(c, short_grams(c, told), depth, least, told)
+        cands = contexts(grams, least)
+        join = lambda f, dtype: np.concatenate([np.asarray(f(k, at), dtype) for k, at in enumerate(cands)])
+        h, level, n = join(lambda k, at: grams[k].hash[at], np.uint64), join(lambda k, at: np.full(len(at), k + 1), np.uint8), join(lambda k, at: grams[k].n[at], np.uint64)
+        gain = join(lambda k, at: gains(grams, k + 1, total, prior)[at], np.float64)
+        suffix = join(lambda k, at: grams[k - 1].hash[grams[k].suffix[at]] if k else np.zeros(len(at)), np.uint64)
+        out = [{"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "level": pack(level[at]), "n": pack(n[at]), "gain": pack(gain[at]), "suffix": pack(suffix[at])}
+               for i, at in buckets(h, n_buckets)]
+        return pa.Table.from_pylist(out, schema=CONTEXT_ARROW)
+
+    def tell_kept(key, left, right):
+        kept = np.sort(right["h"].to_numpy().view(np.uint64))
+        told = [pack(np.isin(unpack(x.as_py(), np.uint64), kept).astype(np.uint64)) for x in left["gram"]]
+        return pa.table({"bucket": left["bucket"], "chunk": left["chunk"], "kind": pa.array([KEPT] * len(told), pa.int32()), "n": pa.array(told, pa.binary()),
+                         "distinct": pa.array([0] * len(told), pa.int64())})
+
+    def run(row, c, told):
+        grams = long_grams(c, short_grams(c, told), depth, least, told)
+        cands = contexts(grams, least)
+        flags = answers(told, KEPT, np.concatenate([grams[k].hash[at] for k, at in enumerate(cands)])) == 1
+        kept = []
+        for g, at in zip(grams, cands):
+            mine = np.zeros(len(g.hash), bool)
+            mine[at], flags = flags[:len(at)], flags[len(at):]
+            kept.append(mine)
+        known, base, own = token_scores(c, grams, kept, total, distinct, prior)
+        add = lambda v: np.add.reduceat(v, c.first)
+        return pa.table({"doc_id": row["doc_id"].values, "held_out": pa.array(~c.train), "n_tokens": pa.array(c.n_tokens),
+                         "n_known": pa.array(add(known.astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(own))})
+
+    def summed_up(asked, name):
+        return cut_lineage(asked.groupBy("bucket").applyInArrow(summed, REPLY), name)
+
+    told = summed_up(slim.mapInArrow(ask_short, REQUEST), "lm-short")
+    distinct = told.agg(F.sum("distinct")).first()[0] or 0
+    if depth > 1:
+        told = told.unionByName(summed_up(with_answers(told).applyInArrow(each(ask_long, REQUEST_ARROW.empty_table()), REQUEST), "lm-longer"))
+    found = cut_lineage(with_answers(told).applyInArrow(each(parts, CONTEXT_ARROW.empty_table()), CONTEXT), "lm-gains")
+    kept = kept_contexts(found, depth, min_gain, n_buckets)
+    told = told.unionByName(found.select("bucket", "chunk", "gram").groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(tell_kept, REPLY))
+    none = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                      ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
+    scored = with_answers(told).applyInArrow(each(run, none), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

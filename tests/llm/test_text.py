@@ -98,6 +98,66 @@ def test_lm_chunks_and_edges(spark, edge, empty):
     assert len(none) == len(EDGE) and all(r.score == r.base_score == 0 and r.n_known == 0 for r in none)
 
 
+def grown_scores(rows, train, least, depth, min_gain, prior):
+    """As slow_scores, for candidates that stand before ``least`` tokens, of up to ``depth`` words."""
+    docs = [(i, tokens(t)) for i, t in rows]
+    grams = [Counter() for _ in range(depth + 2)]
+    for i, d in docs:
+        if train(i):
+            for k in range(1, depth + 2):
+                grams[k].update(zip(*[d[j:len(d) - k + 1 + j] for j in range(k)]))
+    total, after = sum(grams[1].values()), defaultdict(list)
+    for k in range(2, depth + 2):
+        for g in grams[k]:
+            after[g[:-1]].append(g)
+    n = lambda g: grams[len(g)][g]
+    kept, passed = set(), set()
+    for s, gs in after.items():
+        if n(s) >= least:
+            gain = 0.0
+            for g in gs:
+                q = n(g[-1:]) / total
+                parent = q if len(s) == 1 else (n(g[1:]) + prior * q) / (n(s[1:]) + prior)
+                gain += n(g) * math.log((n(g) - 1 + prior * parent) / (n(s) - 1 + prior) / parent)
+            if gain > min_gain * n(s):
+                passed.add(s)
+                kept |= {s[j:] for j in range(len(s))}
+    out = []
+    for i, d in docs:
+        base = own = 0.0
+        for at, w in enumerate(d):
+            p = (n((w,)) + 0.5) / (total + 0.5 * (len(grams[1]) + 1))
+            base += math.log10(p)
+            for k in range(1, min(at, depth) + 1):
+                s = tuple(d[at - k:at])
+                if s in kept:
+                    p = (n((*s, w)) + prior * p) / (n(s) + prior)
+            own += math.log10(p)
+        out.append((i, not train(i), len(d), sum(n((w,)) > 0 for w in d), total, base, own))
+    return out, kept
+
+
+def test_lm_grows_with_the_corpus(spark):
+    """Rare phrases, seen 20 times and more but far under a fixed share, and contexts of three words are learnt."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(2600):
+        w = [f"w{int(x)}" for x in rng.zipf(1.5, 480) % 3000]
+        for j in (i % 100, (i * 7 + 3) % 100):
+            w[100:100] = [f"a{j % 10}", "of", f"b{j}", f"c{j}", "of", "the", f"d{j}"]
+            w[300:300] = ["in", f"a{j % 10}", "of", "the", f"e{j % 10}", f"f{j}"]
+        rows.append((i, " ".join(w)))
+    total = sum(len(tokens(t)) for i, t in rows if in_train(i))
+    assert total * 5e-5 > 50 and total >= 1_000_000
+    want, kept = grown_scores(rows, in_train, 20, 3, 0.02, 10.0)
+    assert {len(s) for s in kept} == {1, 2, 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same_scores(lm.score(df, fold("doc_id") != 1, chunk_chars=400_000).collect(), want)
+    few, held = slow_scores(rows, in_train, 5e-5, 0.02, 10.0)
+    assert len(kept) > 2 * len(held)
+    assert sum(r[6] for r in want if r[1]) > sum(r[6] for r in few if r[1])
+
+
 # ----------------------------------------------------------- secret scan
 def slow_base(text):
     text = text or ""
