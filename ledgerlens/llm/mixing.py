@@ -3,7 +3,12 @@
 Token weights of the cells (source, language, topic) are raked until their
 sums match the target share of every source, language and topic.  Documents
 are then sampled with a probability proportional to their cell's raked weight
-per token, so the expected tokens of the sample have the target shares.
+per token.  No cell can give more tokens than it has: raking keeps each weight
+under that bound (``rake_within``), and what a full cell cannot give the others
+of its class give, so the expected tokens of the sample have the target shares.
+A class that has too few tokens for its share of the budget gives all it has,
+and the other classes of its dimension share the rest by their targets;
+``marginals`` tells both shares of every class.
 
 The cell table stays distributed: one row for each combination found,
 pre-aggregated before its shuffle, so a hot source or language is a few rows.
@@ -92,6 +97,81 @@ def rake(cells: DataFrame, targets: DataFrame, sweeps: int = 12) -> DataFrame:
     return now.drop(*[f"_share_{d}" for d in DIMENSIONS]).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
+def filled(want: str, most: str, total, key: str):
+    """Factor f for which the sum over ``key`` of min(most, f * want) is ``total``.
+
+    With the rows in order of most / want, the f that fills the rows before one
+    and scales the others is never too large, and it is right for one row."""
+    order = F.when(F.col(want) > 0, F.col(most) / F.col(want)).otherwise(F.lit(float("inf")))
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.coalesce(F.sum(most).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(want).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.try_divide(total - before, rest)
+
+
+def shares_within(full: DataFrame, targets: DataFrame, budget: float) -> DataFrame:
+    """(dim, value, target, share, most) of every class that has tokens: its target,
+    scaled to the classes present (its observed share if it has none), the share it
+    gets, and the share it would have if it gave all its tokens."""
+    out = None
+    for d in DIMENSIONS:
+        own = full.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("_t"))
+        out = own if out is None else out.unionByName(own)
+    each = Window.partitionBy("dim")
+    over = lambda c: F.coalesce(F.sum(c).over(each), F.lit(0.0))
+    named = out.join(targets.select("dim", "value", F.col("share").alias("_asked")), ["dim", "value"], "left")
+    free = F.when(F.col("_asked").isNull(), F.col("_t"))
+    wanted = named.withColumns({"_all": over("_t"), "_free": over(free), "_named": over("_asked")}).select(
+        "dim", "value", (F.col("_t") / F.col("_all") / F.lit(budget)).alias("most"),
+        F.when(F.col("_asked").isNull(), F.col("_t") / F.col("_all"))
+        .otherwise(F.coalesce(F.try_divide("_asked", "_named"), F.lit(0.0)) * (1 - F.col("_free") / F.col("_all"))).alias("target"))
+    scaled = wanted.withColumn("_f", filled("target", "most", F.lit(1.0), "dim")).withColumn("_f", F.max("_f").over(each))
+    return scaled.select("dim", "value", "target", F.least("most", F.col("_f") * F.col("target")).alias("share"), "most")
+
+
+def rake_within(cells: DataFrame, targets: DataFrame, budget: float, sweeps: int = 60, tolerance: float = 1e-5) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``, no more than the
+    cell's part of the sample if it gave all its tokens.  The weights of a class
+    sum to its share in ``shares_within``, to ``tolerance`` or, where the bounds
+    of the cells leave no such weights, as near as ``sweeps`` sweeps come."""
+    full = cells.where("tokens > 0")
+    shares = cut_lineage(shares_within(full, targets, budget), "shares")
+    now = full.withColumn("_w", F.col("tokens").cast("double"))
+    now = now.crossJoin(F.broadcast(full.agg(F.sum("tokens").alias("_all")))).withColumn("_most", F.col("tokens") / F.col("_all") / F.lit(budget)).drop("_all")      # one row
+    for d in DIMENSIONS:
+        now = now.join(shares.where(F.col("dim") == d).select(F.col("value").alias("_value"), F.col("share").alias(f"_share_{d}")), F.col(d) == F.col("_value")).drop("_value")
+    now = cut_lineage(now, "cells")
+    weight = F.least("_w", "_most")
+    for i in range(sweeps):
+        for d in DIMENSIONS:
+            now = now.withColumn("_f", filled("_w", "_most", F.col(f"_share_{d}"), d)).withColumn("_f", F.max("_f").over(Window.partitionBy(d)))
+            now = now.withColumn("_w", F.coalesce(F.least(F.col("_w") * F.col("_f"), F.lit(1e100)), F.lit(0.0))).drop("_f")
+        if i % 2:
+            now = cut_lineage(now, "cells")
+            off = [now.groupBy(d).agg(F.abs(F.sum(weight) - F.first(f"_share_{d}")).alias("off")).select("off") for d in DIMENSIONS]
+            worst = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0]
+            if worst is None or worst <= tolerance:
+                break
+    return now.withColumn("weight", weight).drop("_w", "_most", *[f"_share_{d}" for d in DIMENSIONS])
+
+
+def marginals(rows: DataFrame, names: list[str], targets: DataFrame | None = None, alpha: float = 0.7, budget: float = 0.5) -> DataFrame:
+    """(dim, value, target, share, most, expected) of every class with tokens for
+    the rows that ``calibrated`` returns: target, the share that the class's own
+    tokens allow, and its share of the sample's expected tokens.  Where share is
+    less than target the class gives all it has."""
+    _, _, lang, source = names
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cells = cut_lineage(rows.groupBy(text_of(source).alias("source"), text_of(lang).alias("lang"), F.col("_topic").alias("topic"))
+                        .agg(F.sum("_n_words").alias("tokens"), F.sum(F.col("_n_words") * F.col("_prob")).alias("_given")).where("tokens > 0"), "cells")
+    given = None
+    for d in DIMENSIONS:
+        own = cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("value")).agg(F.sum("_given").alias("_given"))
+        given = own if given is None else given.unionByName(own)
+    given = given.select("dim", "value", (F.col("_given") / F.sum("_given").over(Window.partitionBy("dim"))).alias("expected"))
+    return shares_within(cells, targets if targets is not None else tempered(cells, alpha), budget).join(given, ["dim", "value"])
+
+
 def scale_to_budget(rate: DataFrame, budget: float, rounds: int = 3, points: int = 16) -> float:
     """Factor s for which sum(tokens * min(1, s * _rate)) comes nearest to
     ``budget`` of all tokens from below, to half a hundredth: each round sums
@@ -108,13 +188,14 @@ def scale_to_budget(rate: DataFrame, budget: float, rounds: int = 3, points: int
 
 
 def calibrated(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.7, sweeps: int = 12,
-               budget: float = 0.5) -> tuple[DataFrame, list[str]]:
+               budget: float = 0.5, bounded: bool = True) -> tuple[DataFrame, list[str]]:
     """(all rows under safe names plus _n_words, _topic, _prob; the safe names of
     doc_id, text, lang, source).
 
     A document's probability is its cell's raked weight per token, scaled so
-    that the expected sample holds ``budget`` of all tokens, and one at most:
-    a cell asked for more than it has gives all it has.
+    that the expected sample holds ``budget`` of all tokens, and one at most.
+    ``bounded``: rake under that bound; otherwise ``sweeps`` sweeps rake without
+    it, and what is cut off at one is missing from the target shares.
     """
     safe, (doc_id, text, lang, source) = aside(docs, "doc_id", "text", "lang", "source")
     facts = (safe.withColumn("_f", text_facts(F.col(text)))
@@ -123,7 +204,8 @@ def calibrated(docs: DataFrame, targets: DataFrame | None = None, alpha: float =
                            "_lang": F.coalesce(F.col(lang).cast("string"), F.lit(""))}).drop("_f"))
     cells = cut_lineage(facts.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"))
                         .agg(F.sum("_n_words").alias("tokens"), F.count("*").alias("n_docs")), "cells")
-    raked = rake(cells, targets if targets is not None else tempered(cells, alpha), sweeps)
+    targets = targets if targets is not None else tempered(cells, alpha)
+    raked = rake_within(cells, targets, budget) if bounded else rake(cells, targets, sweeps)
     total = cells.agg(F.sum("tokens").alias("_total"))
     rate = cut_lineage(raked.crossJoin(F.broadcast(total))          # one row
                        .withColumn("_rate", F.col("weight") / F.col("tokens") * F.col("_total")).drop("_total"), "rates")
@@ -143,8 +225,8 @@ def draw(id_col, seed: int = 8) -> F.Column:
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.7, sweeps: int = 12, budget: float = 0.5,
-        seed: int = 8) -> DataFrame:
+        seed: int = 8, bounded: bool = True) -> DataFrame:
     """The sampled documents, with the columns of ``docs``."""
-    rows, (doc_id, *_) = calibrated(docs, targets, alpha, sweeps, budget)
+    rows, (doc_id, *_) = calibrated(docs, targets, alpha, sweeps, budget, bounded)
     kept = rows.where(draw(F.col(doc_id), seed) < F.col("_prob"))
     return kept.select(*[f"_in{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -322,6 +322,23 @@ def test_mixing_query_and_edges(spark, documents, edge, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_targets(spark):
+    """Expected token shares of the sample of op8: the targets, or all that a class has."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows, names = mixing.calibrated(docs)
+    told = mixing.marginals(rows, names).collect()
+    assert {r.dim for r in told} == set(mixing.DIMENSIONS)
+    for dim in mixing.DIMENSIONS:
+        mine = [r for r in told if r.dim == dim]
+        assert sum(r.target for r in mine) == pytest.approx(1) and sum(r.share for r in mine) == pytest.approx(1)
+        scale = max(r.share / r.target for r in mine)
+        for r in mine:
+            assert r.share == pytest.approx(min(r.most, scale * r.target))
+            assert r.expected == pytest.approx(r.share, abs=2e-3), r
+    got = queries.op8_mixing(spark, "/root/testdata/sf0.01")
+    assert got.agg(F.max("probability")).first()[0] <= 1
+
+
 # ------------------------------------------------------------------ BPE
 @pytest.fixture(scope="module")
 def coder():
