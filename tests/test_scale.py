@@ -138,3 +138,13 @@ def test_counter_rate_on_a_stream_equals_the_batch(spark):
 
 def test_cut_lineage_keeps_rows(spark):
     assert cut_lineage(spark.range(10), "t").count() == 10
+
+
+def test_knn_join_searches_the_majority_class(spark):
+    from conftest import SMALL
+    from ledgerlens.plans.entry import registered_queries
+    from ledgerlens.sources import fixtures as fx
+    t = fx.tx(spark, SMALL)
+    got = registered_queries()["knn_join"](spark, SMALL).join(t.select(F.col("id").alias("b_id"), "Class"), "b_id")
+    assert got.count() == 5 * t.count()
+    assert [r.Class for r in got.select("Class").distinct().collect()] == [0]
