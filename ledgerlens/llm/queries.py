@@ -60,8 +60,9 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = line_dedup.keep_bitmaps(docs, min_chars=10)
-    return (docs.withColumn("row_key", F.xxhash64("text")).join(bitmaps, ["doc_id", "row_key"])
-            .select("doc_id", "n_lines", "n_dropped", sha256_text(line_dedup.kept_text("text", "keep")).alias("kept_sha256")))
+    own_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")     # of rows without an id, which keep all
+    return (docs.withColumn("row_key", F.xxhash64("text")).join(bitmaps, ["doc_id", "row_key"], "left")
+            .select("doc_id", F.coalesce("n_lines", own_lines).alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), sha256_text(line_dedup.kept_text("text", "keep")).alias("kept_sha256")))
 
 
 @registered

@@ -178,3 +178,10 @@ def test_local_groups(n, data):
     want = union_find(range(n), links)
     got = neardup_vec.local_groups(np.array(links, np.int64).reshape(-1, 2), n)
     assert got.tolist() == [want[i] for i in range(n)]
+
+
+def test_line_query_keeps_rows_without_an_id(spark, tmp_path):
+    rows = [(1, "a line that both of them have\nown"), (None, "a line that both of them have\nother"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(i, len((t or "").split("\n")), 0, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
