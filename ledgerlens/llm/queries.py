@@ -4,13 +4,15 @@ production parameters to its whole table."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, langid, line_dedup, lm, mixing, neardup_vec, secrets, simhash, topk, toxicity
+from ..session import shared_dir
+from . import bpe, langid, line_dedup, lm, mixing, neardup_vec, prefix_trie, secrets, simhash, topk, toxicity, warc, whitening
 from .common import fold
 from .oracle import SQL  # noqa: F401  (registered with the queries)
 
@@ -107,3 +109,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(docs).select("doc_id", "token_ids"))
     return (coded.select("doc_id", digest("token_ids").alias("d"), sha256_text("decoded").alias("decoded_sha256"))
             .select("doc_id", "d.n_tokens", F.col("d.sha").alias("ids_sha256"), "decoded_sha256"))
+
+
+@registered
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_dir(spark, f"warc/{uuid.uuid4().hex}")
+    warc.write_archives(table(spark, sf_dir, "pages"), archives, min_bytes=100)
+    records = warc.read_archives(spark, archives)
+    return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.page_of("refers_to").alias("refers_to"))
+
+
+@registered
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+@registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), group=20, most=4)
