@@ -91,7 +91,7 @@ def test_stream_replay_adds_no_rows(spark, tmp_path):
     out = str(tmp_path / "out")
     ev = SJ.stream_table(spark, SMALL, "events").select(F.col("event_id").alias("id"))
     sink = SJ.idempotent_sink(out)
-    ckpt = SJ.run_available(ev, "replay", sink)
+    ckpt = SJ.run_available(ev, "replay", sink, out)
     first = spark.read.parquet(out).count()
     # a replayed micro-batch (same id) replaces its folder
     sink(fx.table(spark, SMALL, "events").select(F.col("event_id").alias("id")), 0)
