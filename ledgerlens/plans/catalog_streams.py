@@ -4,6 +4,8 @@ print them the same way whatever the session time zone."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -12,6 +14,8 @@ from ..operators import scoring as S
 from ..sources import fixtures as fx
 from ..session import shared_dir
 from ..streaming import jobs as SJ
+from ..streaming import retention
+from ..streaming import rules as R
 from ..streaming import signals as L
 from .registry import query
 
@@ -153,6 +157,121 @@ def q_retain(spark, d):
     return L.retain(fx.metrics_ts(spark, d)).select("sample_id")
 
 
+# ---------------------------------------------------------------- rules on streams
+# ``arrivals`` come in four deliveries, each a micro-batch; a tenth of the samples
+# comes with the next one.  Results are those of the batch rules.
+
+def _rule_root(spark, name):
+    return shared_dir(spark, f"rules/{name}-{uuid.uuid4().hex[:8]}")
+
+
+def _deliveries(spark, d, root):
+    """The stream of deliveries, and twice a delivery's span of time in seconds."""
+    stream = fx.sample_stream(spark, d, f"{root}/in")
+    lo, hi = spark.read.schema(stream.schema).parquet(f"{root}/in").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    return stream, 2 * ((hi - lo) // fx.SLICES // 1_000_000 + 1)
+
+
+RATE_RULE = R.Rule(lambda d: L.counter_increase(d, RATE_WINDOW_S), ("series", "sample_id"), "ts", before_s=RATE_WINDOW_S)
+CPU_RULE = R.Rule(lambda d: L.cpu_busy(L.counter_increase(d, RATE_WINDOW_S), DAY), ("series", "window_start"), "window_start", before_s=RATE_WINDOW_S, after_s=DAY)
+
+
+@query("stream_counter_rate", "L1",
+       _L1_SQL + f"SELECT sample_id, series, increase, {sql_sig_round(f'increase / {float(RATE_WINDOW_S)!r}')} AS rate, "
+       "increase > 0 AS firing FROM w")
+def q_stream_rate(spark, d):
+    root = _rule_root(spark, "rate")
+    stream, delay = _deliveries(spark, d, root)
+    R.rule_stream(stream, RATE_RULE, delay, f"{root}/out")
+    return R.current_results(spark, f"{root}/out", RATE_RULE).select("sample_id", "series", "increase", sig_round(F.col("rate")).alias("rate"), "firing")
+
+
+@query("stream_cpu_pct", "L3",
+       _L1_SQL + "SELECT series, window_start, " + sql_sig_round("value") + f" AS value, value > {C.CPU_PCT_LIMIT} AS firing FROM ("
+       f"SELECT series, CAST(floor(epoch(ts) / {DAY}) * {DAY} AS BIGINT) AS window_start, "
+       f"100.0 - avg(increase / {float(RATE_WINDOW_S)!r}) * 100.0 AS value FROM w GROUP BY 1, 2)")
+def q_stream_cpu(spark, d):
+    root = _rule_root(spark, "cpu")
+    stream, delay = _deliveries(spark, d, root)
+    R.rule_stream(stream, CPU_RULE, delay, f"{root}/out")
+    return _window_out(R.current_results(spark, f"{root}/out", CPU_RULE), C.CPU_PCT_LIMIT)
+
+
+LATE_S = 3600
+
+
+@query("stream_late_rows", "L1",
+       W("arrivals") + ", d AS (SELECT slice, max(epoch_us(ts)) AS hi FROM arrivals GROUP BY slice) "
+       f"SELECT sample_id, slice AS batch FROM arrivals a WHERE epoch_us(ts) < (SELECT max(hi) FROM d WHERE d.slice < a.slice) - {LATE_S * 1_000_000}")
+def q_stream_late(spark, d):
+    """Samples that come more than an hour behind the latest one of the deliveries before."""
+    root = _rule_root(spark, "late")
+    stream, _ = _deliveries(spark, d, root)
+    R.rule_stream(stream, RATE_RULE, LATE_S, f"{root}/out")
+    return R.late_rows(spark, f"{root}/out", stream.schema).select("sample_id", F.col("batch").cast("int").alias("batch"))
+
+
+@query("stream_retain", "L10",
+       W("metrics_ts") + "SELECT sample_id FROM metrics_ts WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM metrics_ts) - INTERVAL 7 DAY")
+def q_stream_retain(spark, d):
+    """Samples left in a rule's store after the retention job has dropped its old days."""
+    root = _rule_root(spark, "retain")
+    stream, delay = _deliveries(spark, d, root)
+    R.rule_stream(stream, RATE_RULE, delay, f"{root}/out")
+    retention.drop_days(spark, f"{root}/out/samples")
+    return retention.samples(spark, f"{root}/out/samples", stream.schema).select("sample_id")
+
+
+def _closed(sql: str, kind: str) -> str:
+    """Windows that the watermark of both streams has passed at the end."""
+    return (f"SELECT * FROM ({sql}) WHERE (window_start + {DAY}) * 1000 <= (SELECT least(max(epoch_ms(ts)), max(CASE WHEN event_type = '{kind}' THEN epoch_ms(ts) END)) "
+            f"FROM metrics_ts) - {5 * DAY * 1000}")
+
+
+def _ratio(spark, d, name, kind, complement, limit):
+    root = _rule_root(spark, name)
+    stream, _ = _deliveries(spark, d, root)
+    other = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").where(F.col("event_type") == kind)
+    R.ratio_stream(stream, other, F.max("gauge"), F.avg("gauge"), "1 day", "5 days", f"{root}/out", complement=complement)
+    return _window_out(spark.read.parquet(f"{root}/out"), limit)
+
+
+@query("stream_memory_pct", "L2",
+       W("metrics_ts") + "SELECT series, window_start, " + sql_sig_round("value") + f" AS value, value > {C.MEMORY_PCT_LIMIT} AS firing FROM ("
+       + _closed(_win_sql("(1.0 - avg(CASE WHEN event_type = 'view' THEN gauge END) / nullif(max(gauge), 0)) * 100.0"), "view") + ")")
+def q_stream_memory(spark, d):
+    """Windows that the watermark has closed, of two metric streams joined as streams."""
+    return _ratio(spark, d, "memory", "view", True, C.MEMORY_PCT_LIMIT)
+
+
+@query("stream_connection_pct", "L4",
+       W("metrics_ts") + "SELECT series, window_start, " + sql_sig_round("value") + f" AS value, value > {C.CONNECTION_PCT_LIMIT} AS firing FROM ("
+       + _closed(_win_sql("avg(CASE WHEN event_type = 'click' THEN gauge END) / nullif(max(gauge), 0) * 100.0"), "click") + ")")
+def q_stream_connections(spark, d):
+    return _ratio(spark, d, "connections", "click", False, C.CONNECTION_PCT_LIMIT)
+
+
+@query("stream_latest_below", "L5",
+       W("metrics_ts") + "SELECT series, gauge AS value, epoch_us(ts) AS ts, gauge < " + str(float(C.MIN_REPLICAS) * 10)
+       + " AS firing FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC, sample_id DESC) AS rn "
+       "FROM metrics_ts WHERE event_type = 'purchase') WHERE rn = 1")
+def q_stream_latest(spark, d):
+    root = _rule_root(spark, "latest")
+    stream, _ = _deliveries(spark, d, root)
+    R.latest_stream(stream.where(F.col("event_type") == "purchase"), "gauge", float(C.MIN_REPLICAS) * 10, f"{root}/out")
+    return R.current_latest(spark, f"{root}/out").select("series", "value", _us("ts"), "firing")
+
+
+@query("stream_sustained", "L6",
+       _L6_SQL + "SELECT f.series, epoch_us(island_start) AS island_start, epoch_us(island_end) AS island_end, "
+       "samples, epoch_us(fired_at) AS fired_at FROM f JOIN ff USING (series, isl)")
+def q_stream_sustained(spark, d):
+    root = _rule_root(spark, "sustained")
+    stream, delay = _deliveries(spark, d, root)
+    R.sustained_stream(stream, F.col("gauge") > SUSTAIN_LIMIT, SUSTAIN_S, f"{delay} seconds", f"{root}/out")
+    return R.current_islands(spark, f"{root}/out").select("series", _us("island_start"), _us("island_end"), "samples", _us("fired_at"))
+
+
 # ---------------------------------------------------------------- streams
 def _events_stream(spark, d):
     s = SJ.stream_table(spark, d, "events")
@@ -164,7 +283,7 @@ def _events_stream(spark, d):
        f"{C.SUSPECT_THRESHOLD} THEN 'suspect' ELSE 'safe' END AS verdict, round(CASE WHEN p >= {C.SUSPECT_THRESHOLD} "
        "THEN p ELSE 1.0 - p END, 4) AS confidence FROM scores")
 def q_stream_verdicts(spark, d):
-    out = shared_dir(spark, f"streams/verdicts-{abs(hash(d)) % 10**8}-{__import__('uuid').uuid4().hex[:6]}")
+    out = shared_dir(spark, f"streams/verdicts-{abs(hash(d)) % 10**8}-{uuid.uuid4().hex[:6]}")
 
     def score(ev):
         cls = ((F.col("event_type") == "error") & (F.col("value") >= 150)).cast("int")
@@ -179,7 +298,7 @@ def q_stream_verdicts(spark, d):
        "SELECT CAST(user_id AS VARCHAR) AS series, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, "
        "count_if(event_type = 'error') AS n FROM events GROUP BY 1, 2")
 def q_stream_windows(spark, d):
-    out = shared_dir(spark, f"streams/windows-{__import__('uuid').uuid4().hex[:8]}")
+    out = shared_dir(spark, f"streams/windows-{uuid.uuid4().hex[:8]}")
     ev = _events_stream(spark, d).withColumn("series", F.col("user_id").cast("string"))
     c = SJ.windowed_counts(ev, "1 day", "1 day", cond=F.col("event_type") == "error")
     SJ.run_available(c, "windows", SJ.idempotent_sink(out), out, output_mode="update")
@@ -210,7 +329,7 @@ def q_stream_history(spark, d):
         p = p.withColumn("fraud_prob", S.normalise_proba(F.array(1 - F.col("p"), F.col("p"))))
         return S.add_verdict(p, "fraud_prob", clip=False).select("id", "ts", "raw_amount", "fraud_prob", "verdict", "confidence")
 
-    out = shared_dir(spark, f"streams/history-{__import__('uuid').uuid4().hex[:8]}")
+    out = shared_dir(spark, f"streams/history-{uuid.uuid4().hex[:8]}")
     SJ.score_stream(_events_stream(spark, d), score, out)
     p = F.col("fraud_prob")
     return spark.read.parquet(out).select("id", F.col("raw_amount").alias("amount"), p.between(0, 1).alias("p_in_range"),
@@ -227,7 +346,7 @@ def _write_logs(spark, d) -> str:
     pods = F.array(*[F.lit(p) for p in LOG_PODS])
     line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.upper("event_type"), F.col("props"))
     logs = ev.select(F.element_at(pods, (F.pmod("user_id", F.lit(len(LOG_PODS))) + 1).cast("int")).alias("pod"), line.alias("value"))
-    path = shared_dir(spark, f"logs/containers-{__import__('uuid').uuid4().hex[:8]}")
+    path = shared_dir(spark, f"logs/containers-{uuid.uuid4().hex[:8]}")
     for pod in LOG_PODS:
         logs.where(F.col("pod") == pod).select("value").write.text(f"{path}/{pod}_prod_app-0a1b2c.log")
     return path
@@ -239,7 +358,7 @@ def _write_logs(spark, d) -> str:
        "'prod' AS namespace, 'app' AS container, count(*) AS n FROM events GROUP BY ALL")
 def q_logs(spark, d):
     src = _write_logs(spark, d)
-    out = shared_dir(spark, f"logs/index-{__import__('uuid').uuid4().hex[:8]}")
+    out = shared_dir(spark, f"logs/index-{uuid.uuid4().hex[:8]}")
     logs = SJ.log_index(SJ.ingest_logs(spark, src))
     SJ.run_available(logs, "logs", SJ.idempotent_sink(out, ["index"]), out)
     res = spark.read.parquet(out)

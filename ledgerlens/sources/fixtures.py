@@ -11,6 +11,7 @@ Each view exists twice: as a Spark DataFrame builder and as DuckDB SQL text
 * ``sheet_rows`` a statement sheet (metadata, header, body) per customer
 * ``dirty_upload`` ``tx`` as text with unparseable cells planted
 * ``metrics_ts`` events as metric samples (counter + gauge per user series)
+* ``arrivals``   ``metrics_ts`` in four deliveries, a tenth of them late by one
 """
 
 from __future__ import annotations
@@ -189,6 +190,27 @@ def metrics_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SLICES = 4
+
+
+def arrivals(samples: DataFrame, spark: SparkSession) -> DataFrame:
+    """``samples`` with ``slice``, the delivery they come with: equal spans of
+    time, but every tenth sample comes with the next delivery."""
+    us = F.unix_micros("ts")
+    lo, hi = samples.agg(F.min(us), F.max(us)).first()
+    width = (hi - lo) // SLICES + 1
+    return samples.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((us - F.lit(lo)) / F.lit(width)) + F.when(F.pmod("sample_id", F.lit(10)) == 3, 1).otherwise(0)).cast("int"))
+
+
+def sample_stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """``metrics_ts`` as a stream of deliveries: a file for each, one to a micro-batch."""
+    from ..session import reliable
+    told = reliable(arrivals(metrics_ts(spark, sf_dir), spark))
+    for i in range(SLICES):
+        told.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(told.drop("slice").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views (the oracle side)
 # ---------------------------------------------------------------------------
@@ -230,11 +252,14 @@ SQL_VIEWS: dict[str, str] = {
         "CAST(sum(CAST(event_type = 'error' AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) "
         "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS counter, "
         "value AS gauge, event_type FROM events"),
+    "arrivals": (
+        "SELECT m.*, CAST(least(3, (epoch_us(ts) - lo) // ((hi - lo) // 4 + 1) + CASE WHEN sample_id % 10 = 3 THEN 1 ELSE 0 END) AS INTEGER) AS slice "
+        "FROM metrics_ts m, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM metrics_ts)"),
 }
 
 # which views each view needs first (for assembling WITH clauses)
 SQL_DEPS = {"tx": [], "tx_events": [], "scores": ["tx_events"], "history": ["scores"],
-            "statement": [], "metrics_ts": []}
+            "statement": [], "metrics_ts": [], "arrivals": ["metrics_ts"]}
 
 
 def sql_with(*views: str) -> str:

@@ -16,7 +16,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -39,17 +38,30 @@ def idempotent_sink(out_dir: str, partition_by: list[str] | None = None) -> Call
     return write
 
 
+def checkpoint_of(spark: SparkSession, name: str, out_dir: str) -> str:
+    """The checkpoint belongs to the query's name and its output folder, so a
+    restart goes on where the last run stopped instead of at batch 0."""
+    return shared_dir(spark, f"streams/{name}-{hashlib.md5(out_dir.encode()).hexdigest()[:16]}/checkpoint")
+
+
 def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], out_dir: str,
-                  output_mode: str = "append") -> str:
+                  output_mode: str = "append", dropped: str | None = None) -> str:
     """Run a stream over everything available now; returns the checkpoint path.
 
-    The checkpoint belongs to the query's name and its output folder, so a
-    restart goes on where the last run stopped instead of at batch 0."""
+    ``dropped``: folder for the number of rows that Spark dropped behind the
+    watermark and of rows left in state, by micro-batch."""
     spark = df.sparkSession
-    ckpt = shared_dir(spark, f"streams/{name}-{hashlib.md5(out_dir.encode()).hexdigest()[:16]}/checkpoint")
+    ckpt = checkpoint_of(spark, name, out_dir)
+    if dropped:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
     q = (df.writeStream.outputMode(output_mode).foreachBatch(sink)
            .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    if dropped:
+        rows = {p.batchId: (sum(o.numRowsDroppedByWatermark for o in p.stateOperators), sum(o.numRowsTotal for o in p.stateOperators))
+                for p in q.recentProgress if p.stateOperators}
+        counts = spark.createDataFrame([(b, *r) for b, r in sorted(rows.items())], "batch long, dropped long, state long")
+        counts.coalesce(1).write.mode("append").parquet(dropped)
     return ckpt
 
 
@@ -86,34 +98,3 @@ def windowed_counts(samples: DataFrame, window: str, watermark: str, key: str =
     s = samples.withWatermark("ts", watermark)
     c = F.count_if(cond) if cond is not None else F.count(F.lit(1))
     return s.groupBy(key, F.window("ts", window)).agg(c.alias("n"))
-
-
-#: Partition columns of a sample store.
-PLACE = T.StructType([T.StructField("batch", T.LongType()), T.StructField("day", T.StringType())])
-
-
-def rule_stream(samples: DataFrame, rule: Callable[[DataFrame], DataFrame], lookback_s: int, store: str, out_dir: str,
-                ts: str = "ts", keep_days: int | None = None) -> str:
-    """A metric rule (L1, L2, L5 and the like) on a stream.
-
-    Each micro-batch is kept in ``store`` by day, joined by the stored samples
-    of the last ``lookback_s`` seconds before its first one, and put through
-    the batch form of the rule; results for its own samples go to ``out_dir``.
-    Samples may arrive late by what the lookback covers; with ``keep_days`` days
-    further behind the batch's first sample are not read again (L10).
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        day = F.date_format(ts, "yyyyMMdd")
-        batch.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={batch_id}")
-        span = batch.agg(F.min(ts).alias("lo")).first()
-        if span["lo"] is None:
-            return
-        known = spark.read.schema(T.StructType([*batch.schema.fields, *PLACE.fields])).parquet(store)
-        since = F.lit(span["lo"]) - F.make_dt_interval(secs=F.lit(float(lookback_s)))
-        known = known.where((F.col("batch") <= batch_id) & (F.col("day") >= F.date_format(since, "yyyyMMdd")) & (F.col(ts) >= since))
-        if keep_days is not None:
-            known = known.where(F.col("day") >= F.date_format(F.lit(span["lo"]) - F.make_dt_interval(days=F.lit(keep_days)), "yyyyMMdd"))
-        told = rule(known.drop("day"))
-        told.where(F.col("batch") == batch_id).drop("batch").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-    return run_available(samples, "rule", write, out_dir)

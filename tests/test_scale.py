@@ -119,23 +119,6 @@ def test_stream_goes_on_after_a_restart(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{root}/out").collect()) == list(range(80))
 
 
-def test_counter_rate_on_a_stream_equals_the_batch(spark):
-    import uuid
-    from ledgerlens.sources import fixtures as fx
-    root = shared_dir(spark, f"tests/{uuid.uuid4().hex}")
-    m = fx.metrics_ts(spark, "/root/testdata/sf0.001")
-    cuts = m.selectExpr("unix_micros(ts) * 1.0 AS e").approxQuantile("e", [0.3, 0.6], 0.01)
-    e = F.unix_micros("ts")
-    rule = lambda d: L.counter_increase(d, 86400)
-    for lo, hi in zip([0, *cuts], [*cuts, 9e18]):
-        m.where((e > lo) & (e <= hi)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(m.schema).parquet(f"{root}/in")
-        SJ.rule_stream(stream, rule, 2 * 86400, f"{root}/store", f"{root}/out", keep_days=7)
-    cols = ["sample_id", "increase", "firing"]
-    got = spark.read.parquet(f"{root}/out").select(*cols).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, rule(m).select(*cols).collect()))
-
-
 def test_cut_lineage_keeps_rows(spark):
     assert cut_lineage(spark.range(10), "t").count() == 10
 
