@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators import clean, eda, history as hist, metrics as M, models, scoring as S
@@ -195,6 +196,27 @@ def q_history_ids(spark, d):
     return io.read_history(spark, path).select("id", "batch_id")
 
 
+#: The history schema with a column more and a wider prediction.
+WIDER_HISTORY = T.StructType([T.StructField("prediction", T.LongType()) if f.name == "prediction" else f for f in io.HISTORY_SCHEMA.fields]
+                             + [T.StructField("note", T.StringType())])
+
+
+@query("history_migration", "A11 A12",
+       "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 7 ELSE 1099511627776 + c_custkey END AS prediction, "
+       "CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS note, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 7 AS INTEGER) END AS old_prediction FROM customer")
+def q_history_migration(spark, d):
+    """Rows of both parities of key, written before and after a column was added
+    and a type widened, read by the new schema and by the old one."""
+    path = _scratch(spark, "history-migration")
+    key = F.col("c_custkey")
+    rows = fx.table(spark, d, "customer").select(key.alias("id"), F.timestamp_seconds(key * 5000).alias("timestamp"), F.col("c_mktsegment").alias("note"))
+    io.append_history(rows.where(F.col("id") % 2 == 0).withColumn("prediction", F.col("id") % 7).drop("note"), path)
+    io.migrate_schema(spark, path, WIDER_HISTORY)
+    io.append_history(rows.where(F.col("id") % 2 == 1).withColumn("prediction", F.lit(2 ** 40) + F.col("id")), path)
+    new = io.read_history(spark, path, WIDER_HISTORY).select("id", "prediction", "note")
+    return new.join(io.read_history(spark, path).select("id", F.col("prediction").alias("old_prediction")), "id")
+
+
 _CTX_SQL = (W("history") + ", st AS (SELECT count_if(verdict = 'safe') AS safe_count, "
             "coalesce(avg(CASE WHEN verdict = 'safe' THEN amount END), 0.0) AS avg_safe, count_if(verdict = 'fraud') AS fraud_count "
             "FROM history WHERE batch_id IS NULL), top AS (SELECT *, row_number() OVER (ORDER BY \"timestamp\" DESC, id DESC) AS pos "

@@ -12,6 +12,7 @@ from .. import config as C
 from ..functions.numeric import sig_round, sql_sig_round
 from ..operators import scoring as S
 from ..sources import fixtures as fx
+from ..sources import io
 from ..session import shared_dir
 from ..streaming import jobs as SJ
 from ..streaming import retention
@@ -307,10 +308,11 @@ def q_stream_windows(spark, d):
 
 
 @query("stream_scored_history", "H10 A11",
-       "SELECT event_id AS id, value AS amount, TRUE AS p_in_range, TRUE AS verdict_follows FROM events")
+       "SELECT event_id AS id, value AS amount, TRUE AS p_in_range, TRUE AS verdict_follows, TRUE AS as_batch FROM events")
 def q_stream_history(spark, d):
     """Arriving events scored by a fitted model on scaled features and appended
-    to a history folder, one batch folder for each micro-batch."""
+    to the history store, each micro-batch once; ``as_batch``: the score stored is
+    the one that the same model gives the row in a batch."""
     from ..operators import models, prep
     from . import jobs
     train, _, scaler = jobs.prepared(spark, fx.tx(spark, d))
@@ -327,13 +329,17 @@ def q_stream_history(spark, d):
                        F.col("value").alias("Amount"), F.col("value").alias("raw_amount"))
         p = model.predict(prep.apply_robust_scaler(raw, scaler))
         p = p.withColumn("fraud_prob", S.normalise_proba(F.array(1 - F.col("p"), F.col("p"))))
-        return S.add_verdict(p, "fraud_prob", clip=False).select("id", "ts", "raw_amount", "fraud_prob", "verdict", "confidence")
-
-    out = shared_dir(spark, f"streams/history-{uuid.uuid4().hex[:8]}")
-    SJ.score_stream(_events_stream(spark, d), score, out)
-    p = F.col("fraud_prob")
-    return spark.read.parquet(out).select("id", F.col("raw_amount").alias("amount"), p.between(0, 1).alias("p_in_range"),
-                                          (F.col("verdict") == S.verdict(p)).alias("verdict_follows"))
+        p = S.add_verdict(p, "fraud_prob", clip=False)
+        return p.select("id", F.col("ts").alias("timestamp"), F.col("raw_amount").alias("amount"), F.col("prediction").cast("int").alias("prediction"),
+                        F.col("fraud_prob").alias("probability"), "verdict", F.lit("logistic_regression").alias("model_id"))
+
+    store = shared_dir(spark, f"streams/history-{uuid.uuid4().hex[:8]}")
+    SJ.score_into_history(_events_stream(spark, d), score, store)
+    told = io.read_history(spark, store)
+    batch = score(fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("id", F.col("probability").alias("_p"))
+    p = F.col("probability")
+    return told.join(batch, "id").select("id", "amount", p.between(0, 1).alias("p_in_range"), (F.col("verdict") == S.verdict(p)).alias("verdict_follows"),
+                                         (F.abs(p - F.col("_p")) < 1e-12).alias("as_batch"))
 
 
 # ---- fixed values: labels of the derived container logs ------------------------

@@ -24,6 +24,17 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern."""
+    fs, p = _at(spark, pattern)
+    return [str(s.getPath()) for s in fs.globStatus(p) or []]
+
+
+def partition_name(spark: SparkSession, column: str, value: str) -> str:
+    """Folder of a partition value, escaped as Spark's writers do."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _at(spark, path)
     fs.delete(p, True)

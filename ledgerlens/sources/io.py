@@ -8,6 +8,7 @@ first, because Spark cannot overwrite a path it is reading from.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..session import cut_lineage
+from . import files
 
 TX_SCHEMA = T.StructType(
     [T.StructField("Time", T.DoubleType())]
@@ -172,12 +174,18 @@ def load_metrics_csv_into_table(spark: SparkSession, csv_path: str, root: str) -
 
 
 # ---- A11 - A14 history store ----------------------------------------------------
-# Partitions are (day of the timestamp, hash bucket of the batch id): their number
-# follows time, not batches, and all rows of a batch lie in one bucket of each of
-# its days.  batch_id itself is a column, so '' , NULL and all-digit ids stay apart.
+# Partitions are (day of the timestamp, hash bucket of the batch id, writer, micro-batch):
+# their number follows time and micro-batches, not batch ids, and all rows of a batch
+# lie in one bucket of each of its days.  batch_id itself is a column, so '', NULL and
+# all-digit ids stay apart.  Rows of a stream's micro-batch are seen once its number is
+# committed in ``_commits``; what a writer that died has left is not seen, and the replay
+# removes it.  ``_schema`` holds the store's schema once it was changed.
 
 HISTORY_BUCKETS = 16
-_LAYOUT = T.StructType([T.StructField("day", T.StringType()), T.StructField("bucket", T.IntegerType())])
+DIRECT = "direct"               # the writer of rows that no stream appended
+_PARTS = ["day", "bucket", "writer", "batch"]
+_LAYOUT = T.StructType([T.StructField("day", T.StringType()), T.StructField("bucket", T.IntegerType()),
+                        T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())])
 
 
 def _bucket(batch_id) -> F.Column:
@@ -185,48 +193,109 @@ def _bucket(batch_id) -> F.Column:
     return F.pmod(F.xxhash64(F.coalesce(batch_id, F.concat(F.lit("row "), F.col("id").cast("string")))), F.lit(HISTORY_BUCKETS)).cast("int")
 
 
-def append_history(scored: DataFrame, path: str) -> None:
-    """Append scored rows (a null batch id means single scoring)."""
+def _placed(scored: DataFrame, path: str, writer: str, batch: int) -> DataFrame:
+    """Rows in the store's schema, with their partitions."""
     d = scored
-    for f in HISTORY_SCHEMA.fields:
+    fields = store_schema(scored.sparkSession, path).fields
+    for f in fields:
         if f.name not in d.columns:
             d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
-    d = d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA.fields])
-    d = d.withColumns({"day": F.coalesce(F.date_format("timestamp", "yyyyMMdd"), F.lit("none")), "bucket": _bucket(F.col("batch_id"))})
-    d.hint("rebalance", "day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(path)
+    d = d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    d = d.withColumns({"day": F.coalesce(F.date_format("timestamp", "yyyyMMdd"), F.lit("none")), "bucket": _bucket(F.col("batch_id")),
+                       "writer": F.lit(writer), "batch": F.lit(batch).cast("long")})
+    return d.hint("rebalance", "day", "bucket")
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
-    return spark.read.schema(T.StructType(schema.fields + _LAYOUT.fields)).parquet(path)
+def append_history(scored: DataFrame, path: str) -> None:
+    """Append scored rows (a null batch id means single scoring)."""
+    _placed(scored, path, DIRECT, 0).write.mode("append").partitionBy(*_PARTS).parquet(path)
+
+
+def committed(spark: SparkSession, path: str) -> dict[str, int]:
+    """The last committed micro-batch of each stream that writes to the store."""
+    told = {}
+    for name in files.children(spark, f"{path}/_commits"):
+        if name.endswith(".json"):
+            entry = json.loads(files.read_text(spark, f"{path}/_commits/{name}"))
+            told[entry["writer"]] = entry["batch"]
+    return told
+
+
+def append_once(scored: DataFrame, path: str, writer: str, batch_id: int) -> bool:
+    """A11 for a stream: append micro-batch ``batch_id`` of ``writer`` exactly once.
+
+    Micro-batches of a stream come in order.  One that is committed already is
+    left alone (False); files that an attempt left without a commit are removed;
+    then the rows are written and the commit renamed into its place."""
+    spark = scored.sparkSession
+    if writer == DIRECT:
+        raise ValueError(f"'{DIRECT}' is no name for a stream")
+    if batch_id <= committed(spark, path).get(writer, -1):
+        return False
+    label = files.partition_name(spark, "writer", writer)
+    for left in files.matching(spark, f"{path}/day=*/bucket=*/{label}/batch={batch_id}"):
+        files.delete(spark, left)
+    _placed(scored, path, writer, batch_id).write.mode("append").partitionBy(*_PARTS).parquet(path)
+    name = hashlib.md5(writer.encode()).hexdigest()
+    files.commit_text(spark, f"{path}/_commits/{name}.json", json.dumps({"writer": writer, "batch": batch_id}))
+    return True
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """Committed rows in the store's schema, with their partitions."""
+    seen = F.col("writer") == DIRECT
+    for writer, batch in sorted(committed(spark, path).items()):
+        seen = seen | ((F.col("writer") == writer) & (F.col("batch") <= batch))
+    return spark.read.schema(T.StructType(store_schema(spark, path).fields + _LAYOUT.fields)).parquet(path).where(seen)
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA) -> DataFrame:
-    """History rows in a fixed schema; columns that older files lack are NULL."""
-    return _stored(spark, path, schema).drop("day", "bucket")
+    """History rows in a fixed schema, older or newer than the store's: columns
+    that the store or older files lack are NULL, and a value that a narrower type
+    cannot hold is NULL (A12)."""
+    rows = _stored(spark, path)
+    return rows.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
+#: Types that hold all values of another and that Parquet files of that one are read as.
+WIDER = {("int", "bigint"), ("int", "double"), ("float", "double"), ("smallint", "int"), ("smallint", "bigint"), ("tinyint", "int"), ("tinyint", "bigint")}
 
 
-def _file_schema(spark: SparkSession, path: str) -> T.StructType:
-    return spark.read.option("mergeSchema", True).parquet(path).drop("day", "bucket").schema
+def store_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema that the store was last migrated to."""
+    told = files.read_text(spark, f"{path}/_schema/current.json")
+    return T.StructType.fromJson(json.loads(told)) if told else HISTORY_SCHEMA
 
 
 def migrate_schema(spark: SparkSession, path: str, needed: T.StructType = HISTORY_SCHEMA) -> list[str]:
-    """Add missing columns (existing ones kept).  Parquet files carry their
-    own schema, so adding a column is writing one empty file with the wider
-    schema; readers merge schemas and fill NULL."""
-    current = _file_schema(spark, path) if _exists(spark, path) else T.StructType([])
-    missing = [f for f in needed.fields if f.name not in current.fieldNames()]
-    if missing:
-        # an empty file that carries the wider schema
-        spark.createDataFrame([], T.StructType(list(current.fields) + missing)).coalesce(1) \
-            .write.mode("append").parquet(f"{path}/day=none/bucket=0")
-    return [f.name for f in missing]
+    """Add the columns that the store lacks and widen types; returns the changes.
+
+    No row is rewritten: files keep the columns and types they were written with,
+    and the store's schema, committed as one small file, says how they are read.
+    A change that is no widening raises and changes nothing."""
+    current = store_schema(spark, path)
+    fields, changes = {f.name: f for f in current.fields}, []
+    for f in needed.fields:
+        old = fields.get(f.name)
+        if old is None:
+            changes.append(f.name)
+        elif old.dataType != f.dataType:
+            pair = (old.dataType.simpleString(), f.dataType.simpleString())
+            if pair[::-1] in WIDER:
+                continue                                # the store is wider already
+            if pair not in WIDER:
+                raise ValueError(f"column {f.name} cannot change from {pair[0]} to {pair[1]}")
+            changes.append(f"{f.name}: {pair[0]} to {pair[1]}")
+        else:
+            continue
+        fields[f.name] = T.StructField(f.name, f.dataType)
+    if changes:
+        files.commit_text(spark, f"{path}/_schema/current.json", T.StructType(list(fields.values())).json())
+    return changes
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm  # Hadoop FileSystem of the path (works for any cluster file system)
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    return files.exists(spark, path)
 
 
 def _remove(spark: SparkSession, path: str, where: F.Column, hit: F.Column) -> int:
@@ -237,21 +306,20 @@ def _remove(spark: SparkSession, path: str, where: F.Column, hit: F.Column) -> i
     partitions without survivors are removed last.
     """
     rows = _stored(spark, path).where(where)
-    touched = {(r["day"], r["bucket"]): r["n"] for r in
-               rows.where(hit).groupBy("day", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}     # days of a batch
+    touched = {tuple(r[c] for c in _PARTS): r["n"] for r in
+               rows.where(hit).groupBy(*_PARTS).agg(F.count(F.lit(1)).alias("n")).collect()}     # partitions of a batch
     if not touched:
         return 0
-    days, buckets = sorted({k[0] for k in touched}), sorted({k[1] for k in touched})
-    part = F.struct(F.col("day"), F.col("bucket"))
-    same = F.col("day").isin(days) & F.col("bucket").isin(buckets) & part.isin(*[F.struct(F.lit(k[0]), F.lit(k[1])) for k in sorted(touched)])
+    part = F.struct(*_PARTS)
+    same = part.isin(*[F.struct(F.lit(k[0]), F.lit(k[1]).cast("int"), F.lit(k[2]), F.lit(k[3]).cast("long")) for k in sorted(touched)])
+    for i, c in enumerate(_PARTS):
+        same = F.col(c).isin(sorted({k[i] for k in touched})) & same
     rest = cut_lineage(_stored(spark, path).where(same & ~F.coalesce(hit, F.lit(False))), "history-rest")
-    left = {(r["day"], r["bucket"]) for r in rest.select("day", "bucket").distinct().collect()}
+    left = {tuple(r) for r in rest.select(*_PARTS).distinct().collect()}
     if left:
-        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "bucket").parquet(path)
-    jvm = spark._jvm
-    for day, bucket in set(touched) - left:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/bucket={bucket}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PARTS).parquet(path)
+    for day, bucket, writer, batch in set(touched) - left:
+        files.delete(spark, f"{path}/day={day}/bucket={bucket}/{files.partition_name(spark, 'writer', writer)}/batch={batch}")
     return sum(touched.values())
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources import io
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
@@ -67,11 +68,19 @@ def run_available(df: DataFrame, name: str, sink: Callable[[DataFrame, int], Non
 
 def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], out_dir: str) -> str:
     """Score each arriving row with the same DataFrame functions as the
-    batch path and append it to the history folder, replay-safe."""
+    batch path and append it to a folder, replay-safe."""
     scored = score(events)
     return run_available(scored, "score", idempotent_sink(out_dir), out_dir)
 
 
+def score_into_history(events: DataFrame, score: Callable[[DataFrame], DataFrame], store: str, writer: str = "score") -> str:
+    """H10 into A11: score arriving rows and append them to the history store,
+    each micro-batch exactly once (see ``io.append_once``)."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        io.append_once(batch, store, writer, batch_id)
+    return run_available(score(events), writer, write, store)
+
+
 def ingest_logs(spark: SparkSession, log_dir: str) -> DataFrame:
     """Tail container log files ``<pod>_<namespace>_<container>-<id>.log``
     (files, or folders of files); pod, namespace and container come from the
