@@ -3,19 +3,22 @@
 Sampling Shapley values (Strumbelj & Kononenko 2014): for every row and each
 of ``n_perm`` seeded feature orders (and their reverses, which lowers the
 variance), the features are switched from the background value to the row's
-value one at a time.  All masked rows of all orders go through the model in
-one ``predict``; a feature's contribution is the change of P(fraud) when it
-is switched on, averaged over orders: every score is added for one feature and
-taken off the next, so one sum per row and feature gives them all.  Per order the contributions sum to f(x) - f(background) exactly.
+value one at a time; a feature's contribution is the change of P(fraud) when it
+is switched on, averaged over orders.  Per order the contributions sum to
+f(x) - f(background) exactly.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.rand import md5_uniform
+from .arrays import scorer
 
 
 def _order(seed: int, n: int, perm: Column, id_col: str) -> Column:
@@ -25,10 +28,72 @@ def _order(seed: int, n: int, perm: Column, id_col: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: s["i"])
 
 
+def matrix_scorer(spark, model, cols):
+    """P(class 1) of a matrix of rows with columns ``cols`` as a function for tasks,
+    if the model is one that arrays can hold; else None."""
+    if hasattr(model, "of_matrix"):
+        return lambda x: model.of_matrix(x, cols)
+    if not hasattr(model, "spec") or model.spec.name == "knn":
+        return None
+    fitted = model.extra["cols"] if model.spec.name == "svm" else model.model.stages[0].getInputCols()
+    return scorer(spark, model) if list(fitted) == list(cols) else None
+
+
+CHUNK = 256                     # rows whose masked copies are scored together
+
+
+def _contributions(score, x, background, orders):
+    """Sums over the orders and their reverses: contributions (rows x features),
+    the score of the background and the score of the rows."""
+    n, d = x.shape
+    shap, every = np.zeros((n, d)), np.arange(n)[:, None]
+    base, fx = np.zeros(n), np.zeros(n)
+    for order in [o for i in range(orders.shape[1]) for o in (orders[:, i], orders[:, i, ::-1])]:
+        place = np.argsort(order, axis=1)
+        masked = np.where(place[None] < np.arange(d + 1)[:, None, None], x[None], background)       # step, row, feature
+        p = score(masked.reshape(-1, d)).reshape(d + 1, n)
+        shap[every, order] += (p[1:] - p[:-1]).T
+        base, fx = base + p[0], fx + p[-1]
+    return shap, base, fx
+
+
 def shapley(df: DataFrame, model, cols=None, background: dict | None = None, n_perm: int = 4,
             seed: int = C.SEED, id_col: str = "id") -> DataFrame:
-    """(id, feature, shap, base, fx) with ``model.predict`` adding ``p``."""
+    """(id, feature, shap, base, fx).
+
+    A model that arrays can hold scores a row's masked copies inside the Arrow
+    batch that holds the row; they never become rows of a table.  Any other model
+    scores them by ``model.predict``, which adds ``p``."""
     cols = list(cols or C.FEATURES)
+    score = matrix_scorer(df.sparkSession, model, cols)
+    if score is None:
+        return _shapley_by_rows(df, model, cols, background, n_perm, seed, id_col)
+    n = len(cols)
+    bg = np.array([float((background or {}).get(c, 0.0)) for c in cols])
+    orders = F.array(*[_order(seed, n, F.lit(i), id_col) for i in range(n_perm)])
+    # the work of a row is far beyond its bytes, by which partitions are joined otherwise
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.select(id_col, F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).repartition(parts).withColumn("orders", orders)
+    names = pa.array(cols)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                m = part.num_rows
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(m, n)
+                order = part.column("orders").flatten().flatten().to_numpy().reshape(m, n_perm, n)
+                shap, base, fx = (v / (2 * n_perm) for v in _contributions(score, x, bg, order))
+                yield pa.RecordBatch.from_arrays([part.column(id_col).take(np.repeat(np.arange(m), n)), names.take(np.tile(np.arange(n), m)),
+                                                  pa.array(shap.ravel()), pa.array(np.repeat(base, n)), pa.array(np.repeat(fx, n))], [id_col, "feature", "shap", "base", "fx"])
+
+    told = T.StructType([df.schema[id_col], T.StructField("feature", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("shap", "base", "fx")]])
+    return rows.mapInArrow(run, told)
+
+
+def _shapley_by_rows(df: DataFrame, model, cols, background, n_perm, seed, id_col) -> DataFrame:
+    """All masked copies as rows of one table, scored by one ``predict``."""
     n = len(cols)
     bg = background or {}
     # dealt by id before the rows multiply: the sums below need no other shuffle
@@ -94,6 +159,9 @@ class LinearScore:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
+    def of_matrix(self, x: np.ndarray, cols) -> np.ndarray:
+        return x @ np.array([self.weights.get(c, 0.0) for c in cols])
+
     def predict(self, df: DataFrame) -> DataFrame:
         p = sum((F.col(c) * F.lit(w) for c, w in self.weights.items()), F.lit(0.0))
         return df.withColumn("p", p)

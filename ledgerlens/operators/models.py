@@ -102,34 +102,36 @@ def assembler(cols=None, out: str = "features") -> VectorAssembler:
 
 # ---- kernel feature maps (D5) --------------------------------------------------
 
-def kernel_map_udf(kernel: str, n_in: int, gamma: float, degree: int, n_components: int, seed: int):
-    """A pandas UDF array<double> -> array<double> applying a fixed random map.
+def kernel_matrix(kernel: str, n_in: int, gamma: float, degree: int, n_components: int, seed: int):
+    """The fixed random map of a kernel, from a matrix of rows to one of features.
 
-    The projection matrix (n_components x n_in doubles) is drawn on the driver
-    from ``seed`` and shipped with the function; each task maps its Arrow
-    batches with one matrix product.
-    """
+    The projection (n_components x n_in doubles) is drawn from ``seed`` and
+    shipped with the function."""
     rng = np.random.default_rng(seed)
     if kernel == "rbf":
         W = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(n_in, n_components))
         b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
         scale = math.sqrt(2.0 / n_components)
-
-        def fmap(X):
-            return scale * np.cos(X @ W + b)
-    elif kernel == "poly":
-        # random Maclaurin features of (gamma <x, y>)^degree: product of `degree`
-        # Rademacher projections (Kar & Karnick 2012)
-        Ws = [rng.choice([-1.0, 1.0], size=(n_in, n_components)) for _ in range(degree)]
-        scale = math.sqrt(gamma ** degree / n_components)
-
-        def fmap(X):
-            out = np.ones((X.shape[0], n_components))
-            for w in Ws:
-                out *= X @ w
-            return scale * out
-    else:
+        return lambda X: scale * np.cos(X @ W + b)
+    if kernel != "poly":
         raise ValueError(f"unsupported kernel {kernel!r}")
+    # random Maclaurin features of (gamma <x, y>)^degree: product of `degree`
+    # Rademacher projections (Kar & Karnick 2012)
+    Ws = [rng.choice([-1.0, 1.0], size=(n_in, n_components)) for _ in range(degree)]
+    scale = math.sqrt(gamma ** degree / n_components)
+
+    def fmap(X):
+        out = np.ones((X.shape[0], n_components))
+        for w in Ws:
+            out *= X @ w
+        return scale * out
+    return fmap
+
+
+def kernel_map_udf(kernel: str, n_in: int, gamma: float, degree: int, n_components: int, seed: int):
+    """:func:`kernel_matrix` as a pandas UDF array<double> -> array<double>: one
+    matrix product for an Arrow batch."""
+    fmap = kernel_matrix(kernel, n_in, gamma, degree, n_components, seed)
 
     @pandas_udf("array<double>")
     def mapped(xs: pd.Series) -> pd.Series:
@@ -141,6 +143,15 @@ def kernel_map_udf(kernel: str, n_in: int, gamma: float, degree: int, n_componen
     return mapped
 
 
+def kernel_gamma(value, n_in: int, variance: float) -> float:
+    """The kernel width that 'auto', 'scale' or a number stands for."""
+    if value == "auto":
+        return 1.0 / n_in
+    if value == "scale":
+        return 1.0 / (n_in * variance) if variance > 0 else 1.0
+    return float(value)
+
+
 def feature_variance(df: DataFrame, cols) -> float:
     """Variance of all feature values pooled (the 'scale' gamma uses it)."""
     cols = list(cols)
@@ -219,13 +230,7 @@ def train_model(spec: ModelSpec | str, train: DataFrame, label: str = C.TARGET,
 
 def _fit_svm(spec, sp, d, wcol, cols, label, t0) -> Fitted:
     n_in = len(cols)
-    if sp["gamma"] == "auto":
-        gamma = 1.0 / n_in
-    elif sp["gamma"] == "scale":
-        var = feature_variance(d, cols)
-        gamma = 1.0 / (n_in * var) if var > 0 else 1.0
-    else:
-        gamma = float(sp["gamma"])
+    gamma = kernel_gamma(sp["gamma"], n_in, feature_variance(d, cols) if sp["gamma"] == "scale" else 0.0)
     sp["gamma_value"] = gamma
     fmap = kernel_map_udf(sp["kernel"], n_in, gamma, sp["degree"], sp["n_components"], sp["seed"])
     n = d.count()

@@ -283,9 +283,40 @@ def q_grid(spark, d):
     return checked_grid(jobs.experiment_grid(spark, fx.tx(spark, d)))
 
 
-@query("tune_job", "M2 F4 F5",
-       "SELECT 'knn' AS model, TRUE AS f1_in_range, v.param FROM (VALUES ('n_neighbors'), ('weights'), ('metric')) v(param)")
+@query("tune_job", "M2 F4 F5 A7",
+       "SELECT model, TRUE AS f1_in_range, TRUE AS in_space, TRUE AS better_than_median FROM (VALUES " + ", ".join(f"('{m}')" for m in C.MODEL_NAMES) + ") m(model)")
 def q_tune_job(spark, d):
-    """The k-nearest-neighbour classifier tuned over all trials on undersampled rows."""
-    best = jobs.tune_job(spark, fx.tx(spark, d), "undersample", ["knn"], out_dir=_scratch(spark, "tune"))
-    return best.select("model", F.col("best_f1").between(0, 1).alias("f1_in_range"), F.explode(F.map_keys("params")).alias("param"))
+    """All four families tuned over all trials on undersampled rows, read back
+    from the saved record: ``in_space``, the parameters are one of the trials;
+    ``better_than_median``, no less than half of the trials do worse."""
+    out, tables = _scratch(spark, "tune"), {}
+    jobs.tune_job(spark, fx.tx(spark, d), "undersample", out_dir=out, trials=tables)
+    best = io.read_best_params(spark, out)
+    every = None
+    for t in tables.values():
+        every = t if every is None else every.unionByName(t)
+    told = every.groupBy("model").agg(F.percentile("cv_f1", 0.5).alias("_m"), F.collect_set("params").alias("_all"))     # fifty trials of a model
+    fits = F.exists("_all", lambda t: F.size(F.map_filter(F.from_json(t, T.MapType(T.StringType(), T.StringType())),
+                                                          lambda k, v: ~F.coalesce(F.trim(F.col("params")[k], F.lit('"')) == F.coalesce(v, F.lit("null")), F.lit(False)))) == 0)
+    return best.join(told, "model").select("model", F.col("best_f1").between(0, 1).alias("f1_in_range"), fits.alias("in_space"), (F.col("best_f1") >= F.col("_m")).alias("better_than_median"))
+
+
+@query("all_job", "M5 D7 A9",
+       "SELECT m.model, TRUE AS tuned, TRUE AS in_range, TRUE AS recorded "
+       "FROM (VALUES " + ", ".join(f"('{C.DISPLAY_NAMES[m]}')" for m in C.MODEL_NAMES) + ") m(model)")
+def q_all_job(spark, d):
+    """Baseline, tuning and training with the tuned record in one job.  ``tuned``:
+    the saved model has the record's parameters; ``recorded``: the run tables hold
+    the returned metrics and one logged prediction for every test row."""
+    out = _scratch(spark, "all")
+    t = fx.tx(spark, d)
+    table = reliable(jobs.all_job(spark, t, out, "undersample"))
+    tuned = jobs.tuned_params(spark, out)
+    kept = {m: models.load_model(models.make_model(m), f"{out}/models/{m}_undersample").spec.params for m in C.MODEL_NAMES}
+    same = spark.createDataFrame([(C.DISPLAY_NAMES[m], all(kept[m].get(k) == v for k, v in tuned[m].items()) and bool(tuned[m])) for m in C.MODEL_NAMES], "model string, tuned boolean")
+    run = spark.read.parquet(f"{out}/tables/model_metrics").select(F.col("model_name").alias("model"), F.col("f1_score").alias("_f1"), F.col("accuracy").alias("_acc"))
+    n_test = prep.stratified_split(t).where("is_test").count()
+    logged = spark.read.parquet(f"{out}/tables/predictions_log").groupBy(clean.display_name(F.col("model_name")).alias("model")).agg((F.count("*") == n_test).alias("_all"))
+    ok = F.col("accuracy").between(0, 1) & F.col("f1_score").between(0, 1) & F.col("auc_roc").between(0, 1)
+    return (table.join(same, "model").join(run, "model").join(logged, "model")
+            .select("model", "tuned", ok.alias("in_range"), (F.col("_all") & (F.abs(F.col("_f1") - F.col("f1_score")) < 1e-9) & (F.abs(F.col("_acc") - F.col("accuracy")) < 1e-9)).alias("recorded")))

@@ -42,15 +42,16 @@ def prepared(spark: SparkSession, df: DataFrame, seed: int = C.SEED, fit_scope:
 
 
 def run_models(train: DataFrame, test: DataFrame, names, sampling_label: str,
-               params: dict | None = None) -> tuple[DataFrame, dict]:
-    """Fit each model on ``train`` and score ``test``: (long scored table, fitted)."""
+               params: dict | None = None, keep=()) -> tuple[DataFrame, dict]:
+    """Fit each model on ``train`` and score ``test``: (long scored table, fitted).
+    ``keep``: further columns of ``test`` that the table holds."""
     params = params or {}
     fitted, parts = {}, []
     for name in names:
         f = models.train_model(models.make_model(name, params.get(name)), train)
         log.info("trained %s (%s) in %.1fs", name, sampling_label, f.seconds)
         fitted[name] = f
-        sc = f.predict(test).select("id", C.TARGET, "prediction", "p")
+        sc = f.predict(test).select("id", C.TARGET, "prediction", "p", *keep)
         parts.append(sc.withColumn("model", F.lit(name)).withColumn("sampling", F.lit(sampling_label)))
     scored = parts[0]
     for p in parts[1:]:
@@ -75,13 +76,47 @@ def baseline_job(spark: SparkSession, df: DataFrame, out_dir: str | None = None,
     return table
 
 
+def tuned_params(spark: SparkSession, out_dir: str) -> dict[str, dict]:
+    """Parameters of the tuned record in ``out_dir``, by model; a model that was
+    not tuned has none and is trained with its defaults."""
+    rows = io.read_best_params(spark, out_dir).collect()  # one row per model
+    tuned = {r["model"]: io.decode_params(r["params"]) for r in rows if r["params"]}
+    for name in C.MODEL_NAMES:
+        if name not in tuned:
+            log.warning("no tuned parameters of %s in %s: defaults", name, out_dir)
+    return tuned
+
+
+def record_run(table: DataFrame, fitted: dict, scored: DataFrame, root: str, sampling: str) -> None:
+    """The run's rows in the three run tables: a model's metrics, its feature
+    importances, and every scored test row."""
+    spark = table.sparkSession
+    io.create_tables(spark, root)
+    io.append_rows(io.metrics_rows(table), root, "model_metrics")
+    for name, f in fitted.items():
+        imp = models.feature_importance(f).withColumns({"model_name": F.lit(name), "sampling": F.lit(sampling)})
+        if f.spec.name == "random_forest":
+            io.append_rows(imp, root, "feature_importance")
+    told = scored.select(F.col("model").alias("model_name"), F.to_json(F.struct(*C.FEATURES)).alias("features_json"), "prediction", F.col("p").alias("probability"))
+    io.append_rows(told, root, "predictions_log")
+
+
 def train_job(spark: SparkSession, df: DataFrame, sampling: str = "smote", names=None,
-              out_dir: str | None = None, params: dict | None = None) -> DataFrame:
-    """M3: resample, train with tuned (or default) parameters, evaluate, save."""
+              out_dir: str | None = None, params: dict | None = None, tables: str | None = None) -> DataFrame:
+    """M3: resample, train, evaluate, save, and add the run's rows to the run tables.
+
+    Without ``params`` the tuned record in ``out_dir`` is used; models that have
+    none there are trained with their defaults."""
+    if params is None:
+        params = tuned_params(spark, out_dir) if out_dir else {}
     train, test, scaler = prepared(spark, df)
     res = reliable(prep.resample(train, sampling))
-    scored, fitted = run_models(res, test, names or C.MODEL_NAMES, sampling, params)
-    table = comparison(scored)
+    scored, fitted = run_models(res, test, names or C.MODEL_NAMES, sampling, params, keep=C.FEATURES if tables else ())
+    scored = reliable(scored) if tables else scored
+    table = comparison(scored.drop(*C.FEATURES))
+    if tables:
+        table = reliable(table)
+        record_run(table, fitted, scored, tables, sampling)
     if out_dir:
         io.save_scaler(scaler, out_dir)
         for name, f in fitted.items():
@@ -127,12 +162,13 @@ def experiment_grid(spark: SparkSession, df: DataFrame, names=None) -> DataFrame
 
 
 def tune_job(spark: SparkSession, df: DataFrame, sampling: str = "smote", names=None,
-             n_trials: int = C.N_TRIALS, out_dir: str | None = None) -> DataFrame:
-    """M2: resample the training rows and tune each model by CV F1."""
+             n_trials: int = C.N_TRIALS, out_dir: str | None = None, trials: dict | None = None) -> DataFrame:
+    """M2: resample the training rows and tune each model by CV F1; ``trials``
+    takes the table of all trials of each model."""
     from ..operators import tuning
     train, _, _ = prepared(spark, df)
     res = reliable(prep.resample(train, sampling))
-    best = tuning.tune_all(res, names or C.MODEL_NAMES, n_trials=n_trials)
+    best = tuning.tune_all(res, names or C.MODEL_NAMES, n_trials=n_trials, trials=trials)
     if out_dir:
         io.write_best_params(best, out_dir)
     return best
@@ -140,12 +176,11 @@ def tune_job(spark: SparkSession, df: DataFrame, sampling: str = "smote", names=
 
 def all_job(spark: SparkSession, df: DataFrame, out_dir: str, sampling: str = "smote",
             n_trials: int = C.N_TRIALS) -> DataFrame:
-    """M5: baseline, then tune, then train with the tuned parameters."""
+    """M5: baseline, then tune, then train with the tuned parameters, whose rows go
+    to the run tables in ``<out_dir>/tables``."""
     baseline_job(spark, df, out_dir)
     tune_job(spark, df, sampling, n_trials=n_trials, out_dir=out_dir)
-    params = io.read_best_params(spark, out_dir).collect()  # one row per model
-    tuned = {r["model"]: io.decode_params(r["params"]) for r in params if r["params"] is not None}
-    return train_job(spark, df, sampling, out_dir=out_dir, params=tuned)
+    return train_job(spark, df, sampling, out_dir=out_dir, tables=f"{out_dir}/tables")
 
 
 def batch_import(spark: SparkSession, upload: DataFrame, model: "models.Fitted", scaler: DataFrame,
