@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..operators import clean, eda, history as hist, metrics as M, models, scoring as S
+from ..operators import clean, eda, history as hist, metrics as M, models, prep, scoring as S
 from ..session import reliable, shared_dir
 from ..sources import fixtures as fx
 from ..sources import io
