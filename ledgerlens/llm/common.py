@@ -10,10 +10,12 @@ Conventions of all operators
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -45,6 +47,17 @@ def fold(id_col: str | Column, n: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written into the shared folder in as many buckets of ``key`` as a
+    shuffle has partitions, and read back: later groupings and joins by ``key``
+    read it as it lies and shuffle the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", shared_dir(spark, f"bucketed/{table}")).saveAsTable(table)
+    return spark.table(table)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b): one row (node, component) per
     node that has a link; component is the smallest node reachable.

@@ -1,20 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of preceding words.  A context is a candidate if it comes
-before ``min_count`` training tokens, so the tree grows with the corpus; in a
-corpus so small that the share ``SMALL`` of its training tokens is less, that
-share is enough.  (``p_min`` sets a share for any size instead.)  The longest
-context grows too: two words up to a million training tokens, and one word more
-for each further factor of ten.  A divergence test keeps a candidate if its own
-next-word distribution, each occurrence left out in turn, predicts the training
-text better than its suffix does by at least ``min_gain`` nats per occurrence;
-suffixes of kept contexts are kept.  Next-word counts are smoothed with the
-suffix's distribution, with the weight of ``prior`` occurrences; the root is
-the additively smoothed word distribution.  A token is scored in the longest
-kept suffix of its past.
+States are contexts of up to ``depth`` preceding words.  A context is a candidate
+if it comes before ``min_count`` training tokens or more; both are the same at
+every size, so the tree grows with the corpus.  A divergence test keeps a
+candidate if its own next-word distribution, each occurrence left out in turn,
+predicts the training text better than its suffix does by at least ``min_gain``
+nats per occurrence; suffixes of kept contexts are kept.  Next-word counts are
+smoothed with the suffix's distribution, with the weight of ``prior``
+occurrences; the root is the additively smoothed word distribution.  A token is
+scored in the longest kept suffix of its past.  Words and contexts are known by
+64-bit hashes; at 10^12 distinct grams some thousands of them would be taken for
+another, each of which changes the scores of its own occurrences only.
 
 How it runs.  Each task packs its documents into chunks: word ids, numbered by
-word hash, and the hashes.  Chunks ask for the training counts of their
+word hash, and the hashes.  Chunks are written once, in buckets of their number,
+and never shuffled: each later step reads them where their answers are dealt to.
+Chunks ask for the training counts of their
 distinct grams (words, pairs, then longer ones), in rows dealt by gram hash;
 the counts of a gram meet in one place, are summed there and answered to each
 chunk that asked.  A longer gram is asked for only if the pairs of its context
@@ -33,19 +34,20 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import take, words
+from .common import bucketed, take, words
 
 END = b""                       # no word is empty
 CODEC = pa.Codec("zstd", compression_level=1)
-SMALL = 5e-5                    # share of the training tokens that makes a candidate of a small corpus
 WORD, PAIR, LONGER, KEPT = range(4)
 PACKED = ("chunk long, doc_id array<long>, train array<boolean>, n_tokens array<int>, train_tokens long, "
           "tokens binary, vocabulary binary")
@@ -151,10 +153,11 @@ def packed_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
     """Documents (doc_id, text, train) packed into chunks of about chunk_chars."""
     def run(batches):
         ids, texts, train, size = [], [], [], 0
+        names = count(TaskContext.get().partitionId() << 33)        # no two chunks of the written table share one
 
         def flush():
             c = make_chunk(texts, train)
-            name = xxhash.xxh64(repr((ids[0], len(ids), ids[-1])).encode() + c.tokens.tobytes()).intdigest() >> 1
+            name = next(names)
             return pa.RecordBatch.from_pylist([{
                 "chunk": name, "doc_id": ids, "train": train, "n_tokens": c.n_tokens.tolist(), "train_tokens": int(c.learn.sum()),
                 "tokens": pack(c.tokens), "vocabulary": pack(c.vocabulary)}],
@@ -175,7 +178,7 @@ def packed_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return cut_lineage(docs.mapInArrow(run, PACKED), "lm-chunks")
+    return bucketed(docs.mapInArrow(run, PACKED), "chunk", "lm_chunks")
 
 
 def load(row) -> Chunk:
@@ -212,7 +215,7 @@ def requests(chunk: int, kind: int, h: np.ndarray, own: np.ndarray, n_buckets: i
 
 def answers(told: pa.Table, kind: int, h: np.ndarray) -> np.ndarray:
     """What was answered about each of the hashes asked for."""
-    rows = {b: x for b, k, x in zip(told["bucket"].to_pylist(), told["kind"].to_pylist(), told["n"]) if k == kind}      # equal chunks get equal answers
+    rows = {b: x for b, k, x in zip(told["bucket"].to_pylist(), told["kind"].to_pylist(), told["n"]) if k == kind}
     out = np.zeros(len(h), np.uint64)
     if rows:
         out[np.argsort(h)] = np.concatenate([unpack(rows[b].as_py(), np.uint64) for b in sorted(rows)])
@@ -245,7 +248,7 @@ def short_grams(c: Chunk, told: pa.Table | None = None) -> list[Grams]:
     return out
 
 
-def long_grams(c: Chunk, short: list[Grams], depth: int, least: float, told: pa.Table | None = None) -> list[Grams]:
+def long_grams(c: Chunk, short: list[Grams], depth: int, least: int, told: pa.Table | None = None) -> list[Grams]:
     """Grams of 1 to depth + 1 words.  Those of three and more whose contexts
     have frequent pairs only are candidates or not by their counts."""
     out, pairs = list(short), short[1]
@@ -266,7 +269,7 @@ def unsure(grams: list[Grams]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *[g.hash[~g.here] for g in grams[2:]]])
 
 
-def contexts(grams: list[Grams], least: float) -> list[np.ndarray]:
+def contexts(grams: list[Grams], least: int) -> list[np.ndarray]:
     """Numbers of the candidates of each length."""
     return [np.flatnonzero((g.n >= least) & (g.n > 0)) for g in grams[:-1]]
 
@@ -324,25 +327,18 @@ def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: in
     return root_n > 0, np.log10(root), np.log10(p)
 
 
-def depth_for(total: int) -> int:
-    """Words of the longest context: 2, and one more for each factor of ten from a million training tokens on."""
-    return max(2, len(str(total)) - 4)
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, train, p_min: float | None = None, min_gain: float = 0.02, prior: float = 10.0,
-          chunk_chars: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", min_count: int = 20,
-          depth: int | None = None) -> DataFrame:
+def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 12_000_000,
+          id_col: str = "doc_id", text_col: str = "text", min_count: int = 20, depth: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
     rows = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), chunk_chars)
     total, n_chunks = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
     n_buckets = max(8, 1 << int(n_chunks).bit_length())
-    least = p_min * total if p_min is not None else min(SMALL * total, min_count)
-    depth = depth or depth_for(total)
+    least = min_count
     slim = chunks.select("chunk", "doc_id", "train", "n_tokens", "tokens", "vocabulary")
 
     def ask_short(batches):
@@ -352,9 +348,12 @@ def score(docs: DataFrame, train, p_min: float | None = None, min_gain: float =
                     yield pa.RecordBatch.from_pylist(requests(row["chunk"].as_py(), kind, g.hash, g.own, n_buckets), schema=REQUEST_ARROW)
 
     def each(f, empty):
-        """``f`` for each row of a group of equal chunks, with what was answered to it."""
+        """``f`` for a chunk, with what was answered to it."""
         def run(key, left, right):
-            return pa.concat_tables([empty, *[f(row, load(row), right) for row in rows_of(left.combine_chunks().to_batches()[0])]]) if left.num_rows else empty
+            if not left.num_rows:
+                return empty
+            row = next(rows_of(left.combine_chunks().to_batches()[0]))
+            return f(row, load(row), right)
         return run
 
     def with_answers(told):

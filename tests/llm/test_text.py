@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -25,81 +26,9 @@ def tokens(text):
 
 
 # ------------------------------------------------------------ LM scoring
-def slow_scores(rows, train, p_min, min_gain, prior):
-    """Suffix tree with plain dictionaries; contexts are tuples of words."""
-    learn = [tokens(t) for i, t in rows if train(i)]
-    n1, total = Counter(w for d in learn for w in d), sum(map(len, learn))
-    after = defaultdict(Counter)
-    for d in learn:
-        for at, w in enumerate(d):
-            for k in (1, 2):
-                if at >= k:
-                    after[tuple(d[at - k:at])][w] += 1
-    size = {s: sum(c.values()) for s, c in after.items()}
-    often = {s for s, n in size.items() if n >= p_min * total}
-    q = lambda w: n1[w] / total
-    def parent(s, w):
-        return q(w) if len(s) == 1 else (after[s[1:]][w] + prior * q(w)) / (size[s[1:]] + prior)
-    kept = set()
-    for s in often:
-        gain = sum(n * math.log((n - 1 + prior * parent(s, w)) / (size[s] - 1 + prior) / parent(s, w)) for w, n in after[s].items())
-        if gain > min_gain * size[s]:
-            kept |= {s, s[-1:]}
-    out = []
-    for i, t in rows:
-        d, base, own, known = tokens(t), 0.0, 0.0, 0
-        for at, w in enumerate(d):
-            p = (n1[w] + 0.5) / (total + 0.5 * (len(n1) + 1))
-            base, known = base + math.log10(p), known + (n1[w] > 0)
-            for k in (1, 2):
-                s = tuple(d[at - k:at])
-                if at >= k and s in kept:
-                    p = (after[s][w] + prior * p) / (size[s] + prior)
-            own += math.log10(p)
-        out.append((i, not train(i), len(d), known, total, base, own))
-    return out, kept
-
-
-def same_scores(got, want):
-    key = lambda r: repr((r[0], round(r[5], 6)))
-    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
-
-
-def in_train(i):
-    return crc32(("" if i is None else str(i)).encode()) % 5 != 1
-
-
-def test_lm_query(spark, documents):
-    rows = [(r.doc_id, r.text) for r in documents.collect()]
-    want, kept = slow_scores(rows, in_train, 5e-5, 0.02, 10.0)
-    got = queries.op4_lm_scoring(spark, SF).collect()
-    assert {len(s) for s in kept} == {1, 2}
-    same_scores(got, want)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_lm_chunks_and_edges(spark, edge, empty):
-    rows = [(r[0], r[1]) for r in EDGE] * 3 + [(100 + i, "a b c d a b c a c b " * (1 + i % 3)) for i in range(40)]
-    want, kept = slow_scores(rows, in_train, 1e-3, 0.02, 10.0)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
-    got = lm.score(df, fold("doc_id") != 1, p_min=1e-3).collect()
-    same_scores(got, want)
-    # many small chunks: counts stay exact; candidates too, as all chunks are alike
-    alike = [(i, "a b c d a b c a c b x y") for i in range(60)]
-    want, kept = slow_scores(alike, in_train, 1e-3, 0.02, 10.0)
-    got = lm.score(spark.createDataFrame(alike, "doc_id long, text string").repartition(4), fold("doc_id") != 1, p_min=1e-3, chunk_chars=50).collect()
-    assert kept
-    same_scores(got, want)
-    assert lm.score(empty, fold("doc_id") != 1).count() == 0
-    none = lm.score(edge, F.lit(False)).collect()
-    assert len(none) == len(EDGE) and all(r.score == r.base_score == 0 and r.n_known == 0 for r in none)
-
-
-def grown_scores(rows, train, least, depth, min_gain, prior):
-    """As slow_scores, for candidates that stand before ``least`` tokens, of up to ``depth`` words."""
+def slow_scores(rows, train, least, depth, min_gain, prior):
+    """Suffix tree with plain counters; contexts are tuples of up to ``depth`` words
+    that stand before ``least`` tokens."""
     docs = [(i, tokens(t)) for i, t in rows]
     grams = [Counter() for _ in range(depth + 2)]
     for i, d in docs:
@@ -137,6 +66,55 @@ def grown_scores(rows, train, least, depth, min_gain, prior):
     return out, kept
 
 
+def same_scores(got, want):
+    key = lambda r: repr((r[0], round(r[5], 6), round(r[6], 6)))
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-9)
+
+
+def in_train(i):
+    return crc32(("" if i is None else str(i)).encode()) % 5 != 1
+
+
+def test_lm_query(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want, kept = slow_scores(rows, in_train, 20, 3, 0.02, 100.0)
+    got = queries.op4_lm_scoring(spark, SF).collect()
+    assert {len(s) for s in kept} == {1, 2, 3}
+    same_scores(got, want)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_chunks_and_edges(spark, edge, empty):
+    rows = [(r[0], r[1]) for r in EDGE] * 3 + [(100 + i, "a b c d a b c a c b " * (1 + i % 3)) for i in range(40)]
+    want, kept = slow_scores(rows, in_train, 20, 3, 0.02, 100.0)
+    assert kept
+    for parts, chars in ((1, 12_000_000), (3, 40)):             # one chunk; about one for each text
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        same_scores(lm.score(df, fold("doc_id") != 1, chunk_chars=chars).collect(), want)
+    alike = [(i, "a b c d a b c a c b x y") for i in range(60)]
+    want, kept = slow_scores(alike, in_train, 5, 2, 0.02, 100.0)
+    got = lm.score(spark.createDataFrame(alike, "doc_id long, text string").repartition(4), fold("doc_id") != 1, min_count=5, depth=2, chunk_chars=50).collect()
+    assert kept
+    same_scores(got, want)
+    assert lm.score(empty, fold("doc_id") != 1).count() == 0
+    none = lm.score(edge, F.lit(False)).collect()
+    assert len(none) == len(EDGE) and all(r.score == r.base_score == 0 and r.n_known == 0 for r in none)
+
+
+def test_lm_repeated_and_null_ids(spark):
+    """Chunks whose ids, sizes and word numbers are alike but whose words differ."""
+    rnd = random.Random(2)
+    word = lambda: rnd.choice(["foo", "bar", "baz", "qux", "zip"])
+    rows = [(i, " ".join(word() for _ in range(n))) for i in (None, 7, 12) for n in (1, 1, 2, 3, 40) for _ in range(25)]
+    want, kept = slow_scores(rows, in_train, 20, 3, 0.02, 100.0)
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), fold("doc_id") != 1, chunk_chars=4).collect()
+    assert kept
+    same_scores(got, want)
+
+
 def test_lm_grows_with_the_corpus(spark):
     """Rare phrases, seen 20 times and more but far under a fixed share, and contexts of three words are learnt."""
     rng = np.random.default_rng(4)
@@ -149,11 +127,11 @@ def test_lm_grows_with_the_corpus(spark):
         rows.append((i, " ".join(w)))
     total = sum(len(tokens(t)) for i, t in rows if in_train(i))
     assert total * 5e-5 > 50 and total >= 1_000_000
-    want, kept = grown_scores(rows, in_train, 20, 3, 0.02, 10.0)
+    want, kept = slow_scores(rows, in_train, 20, 3, 0.02, 100.0)
     assert {len(s) for s in kept} == {1, 2, 3}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     same_scores(lm.score(df, fold("doc_id") != 1, chunk_chars=400_000).collect(), want)
-    few, held = slow_scores(rows, in_train, 5e-5, 0.02, 10.0)
+    few, held = slow_scores(rows, in_train, 5e-5 * total, 2, 0.02, 100.0)
     assert len(kept) > 2 * len(held)
     assert sum(r[6] for r in want if r[1]) > sum(r[6] for r in few if r[1])
 
