@@ -330,7 +330,7 @@ def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: in
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 12_000_000,
+def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 5_000_000,
           id_col: str = "doc_id", text_col: str = "text", min_count: int = 20, depth: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
