@@ -48,6 +48,7 @@ from .common import bucketed, take, words
 
 END = b""                       # no word is empty
 CODEC = pa.Codec("zstd", compression_level=1)
+BUCKET_TOKENS = 1 << 20         # tokens for each range of hashes; most have a pair of their own to be counted
 WORD, PAIR, LONGER, KEPT = range(4)
 PACKED = ("chunk long, doc_id array<long>, train array<boolean>, n_tokens array<int>, train_tokens long, "
           "tokens binary, vocabulary binary")
@@ -204,9 +205,9 @@ def buckets(h: np.ndarray, n_buckets: int):
 
 REQUEST = "bucket int, chunk long, kind int, gram binary, n binary"
 REPLY = "bucket int, chunk long, kind int, n binary, distinct long"
-CONTEXT = "bucket int, chunk long, gram binary, level binary, n binary, gain binary, suffix binary"
+CONTEXT = "bucket int, chunk long, gram binary, gain binary, ahead binary, level binary, suffix binary"
 REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.binary()), ("n", pa.binary())])
-CONTEXT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("gram", "level", "n", "gain", "suffix")]])
+CONTEXT_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("gram", "gain", "ahead", "level", "suffix")]])
 
 
 def requests(chunk: int, kind: int, h: np.ndarray, own: np.ndarray, n_buckets: int) -> list[dict]:
@@ -290,15 +291,21 @@ def gains(grams: list[Grams], size: int, total: int, prior: float) -> np.ndarray
     return np.bincount(g.prefix[use], own, minlength=len(low.hash))
 
 
-def kept_contexts(parts: DataFrame, depth: int, min_gain: float, n_buckets: int) -> DataFrame:
+def kept_contexts(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
     """(bucket, h) of the candidates that pass the divergence test, and of all
-    suffixes of those."""
+    suffixes of those.
+
+    A part is a chunk's gain less what its occurrences must gain.  A context
+    passes if its parts add up to more than zero; then one of them is above zero,
+    and only chunks with such a part (``ahead``) tell the context's suffix."""
     def test(key, t):
-        cat = lambda name, dtype: np.concatenate([unpack(x.as_py(), dtype) for x in t[name]])
-        h, at, back = np.unique(cat("gram", np.uint64), return_index=True, return_inverse=True)
-        passed = np.bincount(back, cat("gain", np.float64), minlength=len(h)) > min_gain * cat("n", np.uint64)[at]
-        return pa.table({"h": h.view(np.int64), "level": cat("level", np.uint8)[at].astype(np.int32),
-                         "suffix": cat("suffix", np.uint64)[at].view(np.int64), "passed": passed})
+        each = lambda name, dtype: [unpack(x.as_py(), dtype) for x in t[name]]
+        grams = each("gram", np.uint64)
+        h, back = np.unique(np.concatenate(grams), return_inverse=True)
+        passed = np.bincount(back, np.concatenate(each("gain", np.float64)), minlength=len(h)) > 0
+        told, at = np.unique(np.concatenate([g[a] for g, a in zip(grams, each("ahead", np.uint32))]), return_index=True)
+        level, suffix = np.concatenate(each("level", np.uint8))[at], np.concatenate(each("suffix", np.uint64))[at]
+        return pa.table({"h": told.view(np.int64), "level": level.astype(np.int32), "suffix": suffix.view(np.int64), "passed": passed[np.searchsorted(h, told)]})
 
     tested = cut_lineage(parts.groupBy("bucket").applyInArrow(test, "h long, level int, suffix long, passed boolean"), "lm-contexts")
     above, out = None, None
@@ -330,14 +337,14 @@ def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: in
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 5_000_000,
+def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 2_500_000,
           id_col: str = "doc_id", text_col: str = "text", min_count: int = 20, depth: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
     rows = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), chunk_chars)
-    total, n_chunks = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
-    n_buckets = max(8, 1 << int(n_chunks).bit_length())
+    total, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()
+    n_buckets = max(8, 1 << int(tokens // BUCKET_TOKENS).bit_length())
     least = min_count
     slim = chunks.select("chunk", "doc_id", "train", "n_tokens", "tokens", "vocabulary")
 
@@ -368,11 +375,14 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
         grams = long_grams(c, short_grams(c, told), depth, least, told)
         cands = contexts(grams, least)
         join = lambda f, dtype: np.concatenate([np.asarray(f(k, at), dtype) for k, at in enumerate(cands)])
-        h, level, n = join(lambda k, at: grams[k].hash[at], np.uint64), join(lambda k, at: np.full(len(at), k + 1), np.uint8), join(lambda k, at: grams[k].n[at], np.uint64)
-        gain = join(lambda k, at: gains(grams, k + 1, total, prior)[at], np.float64)
+        h, level = join(lambda k, at: grams[k].hash[at], np.uint64), join(lambda k, at: np.full(len(at), k + 1), np.uint8)
+        gain = join(lambda k, at: gains(grams, k + 1, total, prior)[at] - min_gain * grams[k].own[at], np.float64)
         suffix = join(lambda k, at: grams[k - 1].hash[grams[k].suffix[at]] if k else np.zeros(len(at)), np.uint64)
-        out = [{"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "level": pack(level[at]), "n": pack(n[at]), "gain": pack(gain[at]), "suffix": pack(suffix[at])}
-               for i, at in buckets(h, n_buckets)]
+        out = []
+        for i, at in buckets(h, n_buckets):
+            ahead = np.flatnonzero(gain[at] > 0)
+            out.append({"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "gain": pack(gain[at]), "ahead": pack(ahead.astype(np.uint32)),
+                        "level": pack(level[at][ahead]), "suffix": pack(suffix[at][ahead])})
         return pa.Table.from_pylist(out, schema=CONTEXT_ARROW)
 
     def tell_kept(key, left, right):
@@ -403,7 +413,7 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
     if depth > 1:
         told = told.unionByName(summed_up(with_answers(told).applyInArrow(each(ask_long, REQUEST_ARROW.empty_table()), REQUEST), "lm-longer"))
     found = cut_lineage(with_answers(told).applyInArrow(each(parts, CONTEXT_ARROW.empty_table()), CONTEXT), "lm-gains")
-    kept = kept_contexts(found, depth, min_gain, n_buckets)
+    kept = kept_contexts(found, depth, n_buckets)
     told = told.unionByName(found.select("bucket", "chunk", "gram").groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(tell_kept, REPLY))
     none = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
