@@ -47,13 +47,12 @@ def fold(id_col: str | Column, n: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written into the shared folder in as many buckets of ``key`` as a
-    shuffle has partitions, and read back: later groupings and joins by ``key``
-    read it as it lies and shuffle the other side only."""
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` written into the shared folder in buckets of ``key`` and read back:
+    groupings and joins by ``key`` with a side in as many partitions read it as
+    it lies and shuffle the other side only."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, key).sortBy(key).option("path", shared_dir(spark, f"bucketed/{table}")).saveAsTable(table)
     return spark.table(table)
 

@@ -49,6 +49,7 @@ from .common import bucketed, take, words
 END = b""                       # no word is empty
 CODEC = pa.Codec("zstd", compression_level=1)
 BUCKET_TOKENS = 1 << 20         # tokens for each range of hashes; most have a pair of their own to be counted
+TASKS = 4                       # tasks of a shuffle for each core
 WORD, PAIR, LONGER, KEPT = range(4)
 PACKED = ("chunk long, doc_id array<long>, train array<boolean>, n_tokens array<int>, train_tokens long, "
           "tokens binary, vocabulary binary")
@@ -150,7 +151,7 @@ def make_chunk(texts, train) -> Chunk:
     return Chunk(place[np.concatenate(parts)], hashes[order], np.array(n, np.int64), np.array(train, bool))
 
 
-def packed_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
+def packed_chunks(docs: DataFrame, chunk_chars: int, n_tasks: int) -> DataFrame:
     """Documents (doc_id, text, train) packed into chunks of about chunk_chars."""
     def run(batches):
         ids, texts, train, size = [], [], [], 0
@@ -179,7 +180,7 @@ def packed_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return bucketed(docs.mapInArrow(run, PACKED), "chunk", "lm_chunks")
+    return bucketed(docs.mapInArrow(run, PACKED), "chunk", n_tasks, "lm_chunks")
 
 
 def load(row) -> Chunk:
@@ -291,33 +292,25 @@ def gains(grams: list[Grams], size: int, total: int, prior: float) -> np.ndarray
     return np.bincount(g.prefix[use], own, minlength=len(low.hash))
 
 
-def kept_contexts(parts: DataFrame, depth: int, n_buckets: int) -> DataFrame:
+def kept_contexts(parts: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
     """(bucket, h) of the candidates that pass the divergence test, and of all
     suffixes of those.
 
     A part is a chunk's gain less what its occurrences must gain.  A context
     passes if its parts add up to more than zero; then one of them is above zero,
-    and only chunks with such a part (``ahead``) tell the context's suffix."""
+    and only chunks with such a part (``ahead``) tell the context's suffixes."""
     def test(key, t):
         each = lambda name, dtype: [unpack(x.as_py(), dtype) for x in t[name]]
-        grams = each("gram", np.uint64)
+        grams, ahead = each("gram", np.uint64), each("ahead", np.uint32)
         h, back = np.unique(np.concatenate(grams), return_inverse=True)
         passed = np.bincount(back, np.concatenate(each("gain", np.float64)), minlength=len(h)) > 0
-        told, at = np.unique(np.concatenate([g[a] for g, a in zip(grams, each("ahead", np.uint32))]), return_index=True)
-        level, suffix = np.concatenate(each("level", np.uint8))[at], np.concatenate(each("suffix", np.uint64))[at]
-        return pa.table({"h": told.view(np.int64), "level": level.astype(np.int32), "suffix": suffix.view(np.int64), "passed": passed[np.searchsorted(h, told)]})
-
-    tested = cut_lineage(parts.groupBy("bucket").applyInArrow(test, "h long, level int, suffix long, passed boolean"), "lm-contexts")
-    above, out = None, None
-    for size in range(depth, 0, -1):
-        now = tested.where(F.col("level") == size)
-        if above is None:
-            now = now.where("passed")
-        else:
-            now = now.join(above.select(F.col("suffix").alias("h"), F.lit(True).alias("_under")).distinct(), "h", "left").where("passed or _under")
-        above = cut_lineage(now.select("h", "suffix"), "lm-kept")
-        out = above if out is None else out.unionByName(above)
-    return out.select(F.shiftrightunsigned("h", 65 - n_buckets.bit_length()).cast("int").alias("bucket"), "h")
+        told, level = np.concatenate([g[a] for g, a in zip(grams, ahead)]), np.concatenate(each("level", np.uint8)).astype(np.int64)
+        owner = np.repeat(told, level - 1)                      # a context of k words has k - 1 suffixes
+        suffixes = np.concatenate(each("suffix", np.uint64))[passed[np.searchsorted(h, owner)]]
+        return pa.table({"h": np.unique(np.concatenate([h[passed], suffixes])).view(np.int64)})
+
+    found = parts.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(test, "h long").distinct()
+    return cut_lineage(found.select(F.shiftrightunsigned("h", 65 - n_buckets.bit_length()).cast("int").alias("bucket"), "h"), "lm-kept")
 
 
 def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: int, distinct: int, prior: float):
@@ -342,7 +335,8 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
     rows = take(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), chunk_chars)
+    n_tasks = TASKS * docs.sparkSession.sparkContext.defaultParallelism
+    chunks = packed_chunks(rows.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")), chunk_chars, n_tasks)
     total, tokens = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0))).first()
     n_buckets = max(8, 1 << int(tokens // BUCKET_TOKENS).bit_length())
     least = min_count
@@ -364,7 +358,7 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
         return run
 
     def with_answers(told):
-        return slim.groupBy("chunk").cogroup(told.groupBy("chunk"))
+        return slim.groupBy("chunk").cogroup(told.repartition(n_tasks, "chunk").groupBy("chunk"))
 
     def ask_long(row, c, told):
         grams = long_grams(c, short_grams(c, told), depth, least)
@@ -377,12 +371,17 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
         join = lambda f, dtype: np.concatenate([np.asarray(f(k, at), dtype) for k, at in enumerate(cands)])
         h, level = join(lambda k, at: grams[k].hash[at], np.uint64), join(lambda k, at: np.full(len(at), k + 1), np.uint8)
         gain = join(lambda k, at: gains(grams, k + 1, total, prior)[at] - min_gain * grams[k].own[at], np.float64)
-        suffix = join(lambda k, at: grams[k - 1].hash[grams[k].suffix[at]] if k else np.zeros(len(at)), np.uint64)
+        below = [np.zeros((len(grams[0].hash), 0), np.uint64)]            # hashes of the suffixes of each gram, the longest first
+        for low, g in zip(grams, grams[1:-1]):
+            below.append(np.hstack([low.hash[g.suffix][:, None], below[-1][g.suffix]]))
+        chain = [x[at] for x, at in zip(below, cands)]
+        start = np.cumsum([0, *map(len, chain)])
         out = []
         for i, at in buckets(h, n_buckets):
             ahead = np.flatnonzero(gain[at] > 0)
+            suffix = [chain[level[j] - 1][j - start[level[j] - 1]] for j in at[ahead]]
             out.append({"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "gain": pack(gain[at]), "ahead": pack(ahead.astype(np.uint32)),
-                        "level": pack(level[at][ahead]), "suffix": pack(suffix[at][ahead])})
+                        "level": pack(level[at][ahead]), "suffix": pack(np.concatenate([np.zeros(0, np.uint64), *suffix]))})
         return pa.Table.from_pylist(out, schema=CONTEXT_ARROW)
 
     def tell_kept(key, left, right):
@@ -406,15 +405,15 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
                          "n_known": pa.array(add(known.astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(own))})
 
     def summed_up(asked, name):
-        return cut_lineage(asked.groupBy("bucket").applyInArrow(summed, REPLY), name)
+        return cut_lineage(asked.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(summed, REPLY), name)
 
     told = summed_up(slim.mapInArrow(ask_short, REQUEST), "lm-short")
     distinct = told.agg(F.sum("distinct")).first()[0] or 0
     if depth > 1:
         told = told.unionByName(summed_up(with_answers(told).applyInArrow(each(ask_long, REQUEST_ARROW.empty_table()), REQUEST), "lm-longer"))
     found = cut_lineage(with_answers(told).applyInArrow(each(parts, CONTEXT_ARROW.empty_table()), CONTEXT), "lm-gains")
-    kept = kept_contexts(found, depth, n_buckets)
-    told = told.unionByName(found.select("bucket", "chunk", "gram").groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(tell_kept, REPLY))
+    kept = kept_contexts(found, n_buckets, n_tasks)
+    told = told.unionByName(found.select("bucket", "chunk", "gram").repartition(n_tasks, "bucket").groupBy("bucket").cogroup(kept.repartition(n_tasks, "bucket").groupBy("bucket")).applyInArrow(tell_kept, REPLY))
     none = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
     scored = with_answers(told).applyInArrow(each(run, none), SCORES)
