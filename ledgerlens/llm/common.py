@@ -10,6 +10,7 @@ Conventions of all operators
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,17 @@ def fold(id_col: str | Column, n: int = 5) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """:func:`cut_lineage`, after which the shuffle files that made ``df`` can go.
+
+    Spark removes them when the driver's garbage collector finds that nothing
+    refers to them any more, which may be long after the step; so it is asked to look."""
+    out = cut_lineage(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """``df`` written into the shared folder in buckets of ``key`` and read back:
     groupings and joins by ``key`` with a side in as many partitions read it as

@@ -43,8 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import bucketed, take, words
+from .common import bucketed, take, words, written
 
 END = b""                       # no word is empty
 CODEC = pa.Codec("zstd", compression_level=1)
@@ -310,7 +309,7 @@ def kept_contexts(parts: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
         return pa.table({"h": np.unique(np.concatenate([h[passed], suffixes])).view(np.int64)})
 
     found = parts.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(test, "h long").distinct()
-    return cut_lineage(found.select(F.shiftrightunsigned("h", 65 - n_buckets.bit_length()).cast("int").alias("bucket"), "h"), "lm-kept")
+    return written(found.select(F.shiftrightunsigned("h", 65 - n_buckets.bit_length()).cast("int").alias("bucket"), "h"), "lm-kept")
 
 
 def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: int, distinct: int, prior: float):
@@ -330,7 +329,7 @@ def token_scores(c: Chunk, grams: list[Grams], kept: list[np.ndarray], total: in
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 2_500_000,
+def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0, chunk_chars: int = 5_000_000,
           id_col: str = "doc_id", text_col: str = "text", min_count: int = 20, depth: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; ``train``: condition over doc_id that picks the training rows."""
@@ -405,13 +404,13 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
                          "n_known": pa.array(add(known.astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(own))})
 
     def summed_up(asked, name):
-        return cut_lineage(asked.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(summed, REPLY), name)
+        return written(asked.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(summed, REPLY), name)
 
     told = summed_up(slim.mapInArrow(ask_short, REQUEST), "lm-short")
     distinct = told.agg(F.sum("distinct")).first()[0] or 0
     if depth > 1:
         told = told.unionByName(summed_up(with_answers(told).applyInArrow(each(ask_long, REQUEST_ARROW.empty_table()), REQUEST), "lm-longer"))
-    found = cut_lineage(with_answers(told).applyInArrow(each(parts, CONTEXT_ARROW.empty_table()), CONTEXT), "lm-gains")
+    found = written(with_answers(told).applyInArrow(each(parts, CONTEXT_ARROW.empty_table()), CONTEXT), "lm-gains")
     kept = kept_contexts(found, n_buckets, n_tasks)
     told = told.unionByName(found.select("bucket", "chunk", "gram").repartition(n_tasks, "bucket").groupBy("bucket").cogroup(kept.repartition(n_tasks, "bucket").groupBy("bucket")).applyInArrow(tell_kept, REPLY))
     none = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
