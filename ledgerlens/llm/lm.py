@@ -295,14 +295,14 @@ def kept_contexts(parts: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
     """(bucket, h) of the candidates that pass the divergence test, and of all
     suffixes of those.
 
-    A part is a chunk's gain less what its occurrences must gain.  A context
-    passes if its parts add up to more than zero; then one of them is above zero,
+    A part is a chunk's gain less what its occurrences must gain, told in single
+    precision.  A context passes if its parts add up to more than zero; then one of them is above zero,
     and only chunks with such a part (``ahead``) tell the context's suffixes."""
     def test(key, t):
         each = lambda name, dtype: [unpack(x.as_py(), dtype) for x in t[name]]
         grams, ahead = each("gram", np.uint64), each("ahead", np.uint32)
         h, back = np.unique(np.concatenate(grams), return_inverse=True)
-        passed = np.bincount(back, np.concatenate(each("gain", np.float64)), minlength=len(h)) > 0
+        passed = np.bincount(back, np.concatenate(each("gain", np.float32)).astype(np.float64), minlength=len(h)) > 0
         told, level = np.concatenate([g[a] for g, a in zip(grams, ahead)]), np.concatenate(each("level", np.uint8)).astype(np.int64)
         owner = np.repeat(told, level - 1)                      # a context of k words has k - 1 suffixes
         suffixes = np.concatenate(each("suffix", np.uint64))[passed[np.searchsorted(h, owner)]]
@@ -379,7 +379,7 @@ def score(docs: DataFrame, train, min_gain: float = 0.02, prior: float = 100.0,
         for i, at in buckets(h, n_buckets):
             ahead = np.flatnonzero(gain[at] > 0)
             suffix = [chain[level[j] - 1][j - start[level[j] - 1]] for j in at[ahead]]
-            out.append({"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "gain": pack(gain[at]), "ahead": pack(ahead.astype(np.uint32)),
+            out.append({"bucket": i, "chunk": row["chunk"].as_py(), "gram": pack(h[at]), "gain": pack(gain[at].astype(np.float32)), "ahead": pack(ahead.astype(np.uint32)),
                         "level": pack(level[at][ahead]), "suffix": pack(np.concatenate([np.zeros(0, np.uint64), *suffix]))})
         return pa.Table.from_pylist(out, schema=CONTEXT_ARROW)
 
