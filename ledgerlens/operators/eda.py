@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,24 +122,33 @@ def class_histograms(df: DataFrame, cols=None, bins: int = 50, target: str = C.T
 def kde(df: DataFrame, col: str, points: int = 200) -> DataFrame:
     """Gaussian KDE, Scott bandwidth, evaluated on ``points`` over [min, max].
 
-    Values are pre-aggregated to distinct (value, count); the 200-point grid is
-    a fixed-size table joined by broadcast.
-    """
+    Values are pre-aggregated to distinct (value, count); each task adds up the
+    densities of its values at all points in one array."""
     v = F.col(col).cast("double")
     vals = df.select(v.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    st = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                  F.min("x").alias("lo"), F.max("x").alias("hi"))
-    n = st.select("n").scalar()
-    bw = st.select(F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)).scalar()
-    lo, hi = st.select("lo").scalar(), st.select("hi").scalar()
-    distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    # every distinct value meets the 200 grid points inside its own row
-    g = distinct.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    g = g.withColumn("grid_x", F.lit(lo) + F.lit(hi - lo) * F.col("k") / F.lit(points - 1))
-    z = (F.col("grid_x") - F.col("x")) / bw
-    contrib = F.col("c") * F.exp(-0.5 * z * z)
-    dens = g.groupBy("k", "grid_x").agg(F.sum(contrib).alias("_s"))
-    return dens.select("k", "grid_x", (F.col("_s") / (n * bw * math.sqrt(2 * math.pi))).alias("density"))
+    st = vals.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not st["n"] or not st["sd"]:
+        return df.sparkSession.createDataFrame([], "k int, grid_x double, density double")
+    n, bw = st["n"], st["sd"] * float(st["n"]) ** -0.2
+    grid = np.array([st["lo"] + (st["hi"] - st["lo"]) * k / (points - 1) for k in range(points)])
+
+    def run(batches):
+        total = np.zeros(points)
+        for b in batches:
+            x, c = b.column("x").to_numpy(), b.column("c").to_numpy()
+            for at in range(0, len(x), 1024):
+                z = (grid[None, :] - x[at:at + 1024, None]) / bw
+                total += c[at:at + 1024] @ np.exp(-0.5 * z * z)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(points), pa.int32()), pa.array(grid), pa.array(total)], ["k", "grid_x", "s"])
+
+    sums = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c")).mapInArrow(run, "k int, grid_x double, s double")
+    return sums.groupBy("k", "grid_x").agg((F.sum("s") / (n * bw * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def histogram_auto(df: DataFrame, col: str) -> DataFrame:
+    """The histogram over the automatic number of bins."""
+    bins = auto_bins(df, col).first()["bins"]
+    return histogram(df, col, bins)
 
 
 def preview(df: DataFrame, order: str = "id", n: int = 5) -> DataFrame:
@@ -145,6 +156,12 @@ def preview(df: DataFrame, order: str = "id", n: int = 5) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def shape(df: DataFrame) -> DataFrame:
+    """(position, column, type, rows, columns): the table's shape and its columns in order."""
+    columns = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema.fields)])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"), F.explode(columns).alias("c")).select("c.*", "rows", "columns")
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, cols=None, bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """Population stability index per feature over equal-width bins of the
     reference window (values outside fall in the end bins)."""

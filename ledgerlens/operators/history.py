@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.dist import quantile_bucket, running_sums
+from ..session import cut_lineage
 from .clean import batch_rows, demo_rows, display_time, falsy_default, unpack_features
 
 
@@ -101,6 +103,23 @@ def batch_context_json(h: DataFrame, batch_id: Column | None = None) -> DataFram
                               lambda s: s["t"])).alias("context_json"))
 
 
+def batch_context_fragments(h: DataFrame, rows: int = 1000) -> DataFrame:
+    """I9 for batches of any size: (batch_id, fragment, n, context_json), each
+    fragment a JSON array of up to ``rows`` rows in time order, fragments numbered
+    from 0 in that order.  No task holds more than a fragment of a batch as one value."""
+    d = h.where(F.col("batch_id").isNotNull()).select("batch_id", "id", "time_val", "amount", "verdict", "tx_description")
+    d = cut_lineage(d, "batch-rows")
+    place = running_sums(quantile_bucket(d.withColumn("_o", F.coalesce("time_val", F.lit(float("-inf")))), "_o"), [F.asc_nulls_first("time_val"), F.col("id")], {"_n": F.lit(1)}, partition_by=["batch_id"])
+    item = F.struct(F.col("time_val").alias("time"), F.col("amount"), F.col("verdict"), F.col("tx_description").alias("desc"))
+    return (place.groupBy("batch_id", F.floor((F.col("_n") - 1) / rows).cast("long").alias("fragment"))
+            .agg(F.count(F.lit(1)).alias("n"), F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_n", item.alias("t")))), lambda s: s["t"])).alias("context_json")))
+
+
+def write_batch_contexts(h: DataFrame, path: str, rows: int = 1000) -> None:
+    """I9 as files: the fragments of every batch, in order, by batch bucket."""
+    (batch_context_fragments(h, rows).repartitionByRange("batch_id", "fragment").sortWithinPartitions("batch_id", "fragment").write.mode("overwrite").json(path))
+
+
 def batch_list(h: DataFrame, n: int = 50) -> DataFrame:
     """Per (batch, customer, bank, model) totals, newest first."""
     g = batch_rows(h).groupBy("batch_id", "customer_name", "bank_name", "model_used").agg(

@@ -18,7 +18,7 @@ from ..operators import clean, eda, history as hist, metrics as M, models, prep,
 from ..session import reliable, shared_dir
 from ..sources import fixtures as fx
 from ..sources import io
-from . import jobs
+from . import jobs, sheets
 from .catalog_ml import _grid_sql, _q, _sql_space, checked_grid
 from .catalog_reports import _COMP_SQL, _comparison
 from .registry import query
@@ -257,6 +257,41 @@ def q_score_batch(spark, d):
         (F.col("whole") & (F.abs(F.col("_p") - F.col("probability")) < 1e-12)).alias("stored"))
 
 
+_BOOKS_SQL = (W("dirty_upload") + ", b AS (SELECT u.*, e.user_id, 'stmt_' || e.user_id || '.xlsx' AS file, e.user_id % 10 AS kind FROM dirty_upload u "
+              "JOIN events e ON e.event_id = u.\"Row\" JOIN customer c ON c.c_custkey = e.user_id) ")
+
+
+@query("import_workbooks", "M7 B2 B3 B18 B19 B20 B21 H5 H6 H7 A11",
+       _BOOKS_SQL + ", v AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY \"Row\") AS line_no FROM b WHERE kind < 8 AND (\"Row\" % 50 <> 0 OR Amount = ' 2.5 ')) "
+       "SELECT file, line_no, substr(md5(file || '|upload'), 1, 8) AS batch_id, CAST(\"Time\" AS DOUBLE) AS time_val, CASE WHEN \"Row\" % 50 = 0 THEN 2.5 ELSE CAST(Amount AS DOUBLE) END AS amount, "
+       "c_name AS customer_name, c_mktsegment AS bank_name, CASE line_no WHEN 1 THEN 'Chuyen tien' WHEN 2 THEN 'Nhan luong' WHEN 3 THEN 'Thanh toan online' ELSE '' END AS description, "
+       "CASE line_no WHEN 1 THEN '-250000' WHEN 2 THEN '15000000' WHEN 3 THEN '-9800000' ELSE '' END AS amount_display, TRUE AS p_in_range, TRUE AS verdict_follows, TRUE AS stored "
+       "FROM v JOIN customer ON c_custkey = user_id")
+def q_import_workbooks(spark, d):
+    """A workbook for each customer, all scored in one job and read back from the history store."""
+    train, _, scaler = jobs.prepared(spark, fx.tx(spark, d))
+    model = models.train_model("logistic_regression", train)
+    path = _scratch(spark, "workbooks")
+    told, _, _ = sheets.import_workbooks(spark, fx.workbook_rows(spark, d), model, scaler, history=path, stamp="upload")
+    back = io.read_history(spark, path).select("batch_id", F.col("time_val").alias("_t"), F.col("amount").alias("_a"), F.col("tx_description").alias("_d"), F.col("id").alias("_id"))
+    p = F.col("fraud_prob")
+    joined = told.withColumn("_id", F.xxhash64("batch_id", "row")).join(back, ["batch_id", "_id"])
+    stored = (F.col("_t") == F.col("time_val")) & (F.col("_a") == F.col("amount")) & (F.col("_d") == F.col("description"))
+    return joined.select("file", F.col("row").alias("line_no"), "batch_id", "time_val", "amount", "customer_name", "bank_name", "description", "amount_display", p.between(0, 1).alias("p_in_range"),
+                         (F.col("verdict") == S.verdict(p)).alias("verdict_follows"), stored.alias("stored"))
+
+
+@query("rejected_workbooks", "M7 B2 B19",
+       _BOOKS_SQL + "SELECT DISTINCT file, CASE kind WHEN 9 THEN 'technical sheet not found' ELSE 'Missing 1 required columns: V5...' END AS error FROM b WHERE kind >= 8 "
+       "UNION ALL SELECT file, 'no valid rows' FROM b WHERE kind < 8 GROUP BY file HAVING count_if(\"Row\" % 50 <> 0 OR Amount = ' 2.5 ') = 0")
+def q_rejected_workbooks(spark, d):
+    """Files that give no transactions, and why."""
+    rows = fx.workbook_rows(spark, d)
+    picks = clean.pick_sheets(rows.select("file", "sheet", "sheet_no").distinct())
+    tech = reliable(sheets.technical_rows(rows, picks))
+    return sheets.rejected(picks, tech, clean.coerce_numeric(tech.where(F.size("absent") == 0)))
+
+
 @query("baseline_job", "M1 D7", _grid_sql(C.MODEL_NAMES, [jobs.BASELINE_LABEL]))
 def q_baseline(spark, d):
     return checked_grid(jobs.baseline_job(spark, fx.tx(spark, d), out_dir=_scratch(spark, "baseline")))

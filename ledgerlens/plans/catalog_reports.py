@@ -9,6 +9,7 @@ pass, as the comparison notebook does.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from .. import config as C
 from ..functions.numeric import sig_round, sql_sig_round
 from ..functions.rand import sql_md5_uniform
 from ..operators import clean, eda, history as hist, metrics as M, scoring as S, synth
+from ..session import shared_dir
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -321,6 +323,43 @@ def q_kde(spark, d):
     return k.select("k", _sr("grid_x"), _sr("density", 8))
 
 
+@query("histogram_time", "G8", W("tx") + ", " + _sql_hist("tx", '"Time"', []))
+def q_hist_time(spark, d):
+    return _hist_out(eda.histogram(fx.tx(spark, d), "Time", 50), [])
+
+
+def _sql_auto_hist(col):
+    return (W("tx_events") + f", st AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.75) AS q3 FROM tx_events), "
+            "wd AS (SELECT *, (hi - lo) / (log2(n) + 1.0) AS sturges, 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM st), "
+            "w2 AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END) END AS bins FROM wd), "
+            f"bn AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor(({col} - lo) / ((hi - lo) / bins)), bins - 1) END AS INTEGER) AS bin, lo, hi, n, bins FROM tx_events, w2 WHERE {col} IS NOT NULL) "
+            "SELECT bin, count(*) AS count, " + sql_sig_round("lo + bin * (hi - lo) / bins") + " AS \"left\", " + sql_sig_round("count(*) / (n * (hi - lo) / bins)") + " AS density FROM bn GROUP BY bin, lo, hi, n, bins")
+
+
+@query("histogram_auto_bins", "G9", _sql_auto_hist("Amount"))
+def q_hist_auto_bins(spark, d):
+    return eda.histogram_auto(fx.tx_events(spark, d), "Amount").select("bin", "count", _sr("left"), _sr("density"))
+
+
+@query("kde_time", "G11",
+       W("tx") + ", st AS (SELECT count(\"Time\") AS n, stddev_samp(\"Time\") * pow(count(\"Time\"), -0.2) AS bw, "
+       "min(\"Time\") AS lo, max(\"Time\") AS hi FROM tx), dv AS (SELECT \"Time\" AS x, count(*) AS c FROM tx GROUP BY 1), "
+       "gr AS (SELECT k, lo + (hi - lo) * k / 199.0 AS grid_x FROM range(200) t(k), st) "
+       "SELECT k, " + sql_sig_round("grid_x") + " AS grid_x, "
+       + sql_sig_round(f"sum(c * exp(-0.5 * ((grid_x - x) / bw) * ((grid_x - x) / bw))) / (any_value(n) * any_value(bw) * {math.sqrt(2 * math.pi)!r})", 8)
+       + " AS density FROM gr, dv, st GROUP BY k, grid_x")
+def q_kde_time(spark, d):
+    return eda.kde(fx.tx(spark, d), "Time", 200).select("k", _sr("grid_x"), _sr("density", 8))
+
+
+@query("shape", "G12",
+       W("tx") + "SELECT i AS position, c AS \"column\", CASE WHEN c = 'id' THEN 'bigint' WHEN c = 'Class' THEN 'int' ELSE 'double' END AS type, (SELECT count(*) FROM tx) AS rows, 32 AS columns FROM (VALUES "
+       + ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(["id", *C.FEATURES, C.TARGET])) + ") v(i, c)")
+def q_shape(spark, d):
+    """Rows, columns and the column list of the transactions."""
+    return eda.shape(fx.tx(spark, d))
+
+
 @query("preview", "G12", W("tx") + "SELECT id, \"Time\", V1, V2, Amount, Class FROM tx ORDER BY id LIMIT 5")
 def q_preview(spark, d):
     return eda.preview(fx.tx(spark, d)).select("id", "Time", "V1", "V2", "Amount", "Class")
@@ -525,6 +564,19 @@ def q_ctx_items(spark, d):
         "batch_id", (F.col("pos") + 1).cast("int").alias("pos"), "t.time", "t.amount", "t.verdict", "t.desc")
 
 
+@query("batch_context_fragments", "I9",
+       W("history") + ", n AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY time_val, id) AS pos FROM history WHERE batch_id IS NOT NULL) "
+       "SELECT batch_id, CAST(pos AS INTEGER) AS pos, (pos - 1) // 20 AS fragment, time_val AS time, amount, verdict, tx_description AS \"desc\" FROM n")
+def q_fragments(spark, d):
+    """Rows of each batch read back, in order, from JSON fragments of twenty rows on file."""
+    path = shared_dir(spark, f"contexts/{uuid.uuid4().hex}")
+    hist.write_batch_contexts(fx.history(spark, d), path, rows=20)
+    back = spark.read.schema("batch_id string, fragment long, n long, context_json string").json(path)
+    items = F.from_json("context_json", "array<struct<time:double,amount:double,verdict:string,desc:string>>")
+    return back.select("batch_id", "fragment", F.posexplode(items).alias("at", "t")).select(
+        "batch_id", (F.col("fragment") * 20 + F.col("at") + 1).cast("int").alias("pos"), "fragment", "t.time", "t.amount", "t.verdict", "t.desc")
+
+
 @query("batch_list", "I10 B12",
        W("history") + ", g AS (SELECT batch_id, customer_name, bank_name, model_used, count(*) AS total, "
        "sum(CASE WHEN verdict = 'safe' THEN 1 ELSE 0 END) AS safe, sum(CASE WHEN verdict = 'fraud' THEN 1 ELSE 0 END) AS fraud, "

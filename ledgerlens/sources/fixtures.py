@@ -155,6 +155,24 @@ def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .select("file", "sheet", "sheet_no", "r.row_no", "r.cells"))
 
 
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a workbook for each customer with events: the statement sheet of
+    ``sheet_rows`` and a technical sheet with the customer's rows of ``dirty_upload``.
+    Of ten customers one has no technical sheet and one lacks a column in it."""
+    key = F.regexp_extract("file", r"(\d+)", 1).cast("long")
+    cols = ["Time", *C.V_COLS, "Amount"]
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("Row"), "user_id")
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    body = (dirty_upload(spark, sf_dir).join(ev, "Row").join(cust, "user_id")
+            .select(F.concat(F.lit("stmt_"), F.col("user_id").cast("string"), F.lit(".xlsx")).alias("file"), (F.col("Row") + 1).alias("row_no"), F.array(*cols).alias("cells")))
+    head = body.select("file").distinct().select("file", F.lit(0).cast("long").alias("row_no"), F.array(*[F.lit(c) for c in cols]).alias("cells"))
+    short = F.when(F.pmod(key, F.lit(10)) == 8, F.transform("cells", lambda c, i: F.when(i == 5, F.lit("other")).otherwise(c))).otherwise(F.col("cells"))
+    head = head.withColumn("cells", short)
+    sheet = F.when(F.pmod(key, F.lit(10)) == 9, F.lit("Notes")).otherwise(F.lit(SHEET_NAMES[1]))
+    tech = body.unionByName(head).withColumns({"sheet": sheet, "sheet_no": F.lit(1)})
+    return sheet_rows(spark, sf_dir).join(head.select("file"), "file", "left_semi").unionByName(tech)
+
+
 # ---- fixed values: planted bad cells of the dirty upload --------------------
 DIRTY_VALUES = ["abc", "", "1d", "nan", " 2.5 "]
 
