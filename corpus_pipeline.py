@@ -6,6 +6,9 @@ line_dedup      drops lines that a smaller document holds
 simhash         keeps the smallest document of each near-duplicate group
 mixing          samples documents towards target weights
 bpe             adds the token ids and their count
+
+An empty table passes through all stages as an empty table; other columns of
+any name come out as they went in.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from ledgerlens.session import cut_lineage
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of grade 1 or more is below one half."""
+    """Documents whose probability of grade 1 or more is below one half; each row
+    is graded by its own text, and a null text is the empty one."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.with_severity(docs, model)
     n = len(docs.columns)
@@ -58,14 +62,17 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose token shares approach the targets:
-    observed shares of each source, language and form to the power 0.7."""
-    return mixing.mix(docs, alpha=0.7, bounded=False)       # the formula that test_whole_run recomputes
+    """A sample of the documents that holds half of all tokens in expectation and
+    whose token shares are the targets: observed shares of each source, language
+    and form to the power 0.7, or what a class can give if that is less.
+    Documents without a word are all kept; a null text has none, a null source or
+    language is the empty one, and repeated rows of an id stay or go together."""
+    return mixing.mix(docs, alpha=0.7)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids (little-endian unsigned 32-bit integers) and
-    their count n_tokens."""
+    their count n_tokens; a null or empty text has none, and every row is encoded."""
     coded = bpe.encode(docs, out_col="token_ids")
     n = len(docs.columns)
     safe = coded.toDF(*[f"c{i}" for i in range(n)], "ids")
