@@ -7,10 +7,11 @@ sum.
 
 Labels say only toxic or not, so the grade of a toxic training text comes from
 how many of the selected words it holds: thirds of the toxic sample, by count.
+Grade 1 is what the labels tell; grades 2 and 3 only say how strongly a text is toxic by these words.
 
 The model is fitted on a bounded sample of labelled rows: at most
-``max_per_class`` of each class, those with the smallest hash of the id, near
-copies among them taken once.  All texts are scored whole.
+``max_per_class`` of each class, those with the smallest hash of the id; copies
+among them, and near copies by their words (``mark``), are taken once.  All texts are scored whole.
 
 Defined cases: null and empty texts, and all texts if no toxic or no clean
 label matches a text, are grade 0 with severity 0.  Labels that are null or
@@ -26,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +59,19 @@ class SeverityModel:
         return [float(1 / (1 + np.exp(min(t - z, 700.0)))) if np.isfinite(t) else 0.0 for t in self.thresholds]
 
 
+#: Multipliers and shifts of the minimum hashes of a text's words.
+MIXERS = (np.random.default_rng(2).integers(1 << 20, 1 << 31, (2, 4), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
 def mark(ws: set[bytes]) -> int:
-    """Equal for copies and nearly always for near copies, so that a group of
-    them counts as one text in training: the smallest hash of a long word, or
-    for a text without long words a hash of all its words."""
-    long = [crc32(w) for w in ws if len(w) >= 8]
-    return min(long) if long else (1 << 32) + crc32(b" ".join(sorted(ws)))
+    """Equal for copies and mostly for near copies, so that a group of them counts
+    as one text in training: four minimum hashes of the words, which all agree
+    with the fourth power of the word sets' similarity (0.81 at 0.95, 0.06 at 0.5)."""
+    if not ws:
+        return 0
+    hashes = np.fromiter(map(crc32, ws), np.uint64, len(ws))[:, None] * MIXERS[0] + MIXERS[1]
+    least = ((hashes ^ (hashes >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).min(0)
+    return xxhash.xxh64_intdigest(least.tobytes()) >> 1
 
 
 def select_words(texts: DataFrame, n1: int, n0: int, min_docs: int, min_g: float, min_lift: float) -> list[bytes]:

@@ -366,3 +366,18 @@ def test_bpe_forgets_without_change(coder, library, monkeypatch):
     monkeypatch.setattr(bpe, "RECENT", 3)
     for text in ["the cat sat on the mat and the dog sat too", "a b c d e f a b c d e f"] * 2:
         check_bpe(coder, library, text)
+
+
+def test_marks_keep_distinct_texts():
+    """Copies share a mark; texts that share one rare word, or half of their words, hardly ever do."""
+    rnd = random.Random(6)
+    text = lambda n: {f"word{rnd.randrange(9000)}".encode() for _ in range(n)}
+    one, half, near = 0, 0, 0
+    for _ in range(300):
+        a = text(120)
+        assert toxicity.mark(a) == toxicity.mark(set(a))
+        one += toxicity.mark(a | {b"averyuncommonword"}) == toxicity.mark(text(120) | {b"averyuncommonword"})
+        half += toxicity.mark(a) == toxicity.mark(set(sorted(a)[:80]) | text(40))
+        near += toxicity.mark(a) == toxicity.mark(set(sorted(a)[1:]))
+    assert one == 0 and half < 60 and near > 270
+    assert toxicity.mark(set()) == toxicity.mark(set())
