@@ -38,7 +38,7 @@ PACK = struct.Struct("<I").pack
 #: A space with another blank beside it.
 BLANK_BY_SPACE = regex.compile(r" \s|\s ")
 
-RECENT = 400_000            # entries of each of the two generations of a memory
+RECENT = 250_000            # entries of each of the two generations of a memory
 RECENT_CHARS = 64           # longer keys are not remembered
 
 
@@ -182,6 +182,11 @@ class PrefixBPE:
         """Ids, as bytes, of a text without special tokens."""
         return b"".join([self.piece_ids.get(p) or self.piece_ids.put(p, self.encode_piece(p)) for p in self.pieces.findall(text)])
 
+    def encode_word(self, text: str) -> bytes:
+        """As ``encode_run``; what is one piece is left to the memory of words."""
+        pieces = self.pieces.findall(text)
+        return self.piece_ids.get(text) or self.encode_piece(text) if len(pieces) == 1 else self.encode_run(text)
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers.
 
@@ -203,7 +208,7 @@ class PrefixBPE:
                     for i, known in enumerate(ids):
                         if known is None:
                             word = rest[i]
-                            ids[i] = self.word_ids.get(word) or self.word_ids.put(word, self.encode_run(" " + word))
+                            ids[i] = self.word_ids.get(word) or self.word_ids.put(word, self.encode_word(" " + word))
                 out += [self.encode_run(first), *ids]
         return b"".join(out)
 
