@@ -38,7 +38,7 @@ PACK = struct.Struct("<I").pack
 #: A space with another blank beside it.
 BLANK_BY_SPACE = regex.compile(r" \s|\s ")
 
-RECENT = 250_000            # entries of each of the two generations of a memory
+RECENT = 400_000            # entries of each of the two generations of a memory
 RECENT_CHARS = 64           # longer keys are not remembered
 
 
@@ -59,7 +59,8 @@ def byte_letters() -> dict[str, int]:
 class Recent:
     """A memory of bounded size that forgets what has not been used lately."""
 
-    def __init__(self):
+    def __init__(self, size: int = RECENT):
+        self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,7 +72,7 @@ class Recent:
 
     def put(self, key: str, value: bytes) -> bytes:
         if len(key) <= RECENT_CHARS:
-            if len(self.young) >= RECENT:
+            if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
             self.young[key] = value
         return value
@@ -80,7 +81,7 @@ class Recent:
 class PrefixBPE:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, vocabulary: bytes):
+    def __init__(self, vocabulary: bytes, remembered: int = RECENT):
         spec = json.loads(vocabulary)
         letters = byte_letters()
         as_bytes = lambda t: bytes(map(letters.__getitem__, t))
@@ -111,7 +112,7 @@ class PrefixBPE:
         self.automaton = auto
         self.fit: dict[int, bool] = {}                        # left << 20 | right -> whether they fit
         self.solo: list[bool | None] = [None] * n
-        self.word_ids, self.piece_ids = Recent(), Recent()
+        self.word_ids, self.piece_ids = Recent(remembered), Recent(remembered)
 
     def fits(self, a: int, b: int, joined: bool = False) -> bool:
         """Whether merging the joined bytes of tokens a and b ends in (a, b);
@@ -182,11 +183,6 @@ class PrefixBPE:
         """Ids, as bytes, of a text without special tokens."""
         return b"".join([self.piece_ids.get(p) or self.piece_ids.put(p, self.encode_piece(p)) for p in self.pieces.findall(text)])
 
-    def encode_word(self, text: str) -> bytes:
-        """As ``encode_run``; what is one piece is left to the memory of words."""
-        pieces = self.pieces.findall(text)
-        return self.piece_ids.get(text) or self.encode_piece(text) if len(pieces) == 1 else self.encode_run(text)
-
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers.
 
@@ -208,7 +204,7 @@ class PrefixBPE:
                     for i, known in enumerate(ids):
                         if known is None:
                             word = rest[i]
-                            ids[i] = self.word_ids.get(word) or self.word_ids.put(word, self.encode_word(" " + word))
+                            ids[i] = self.word_ids.get(word) or self.word_ids.put(word, self.encode_run(" " + word))
                 out += [self.encode_run(first), *ids]
         return b"".join(out)
 
@@ -220,13 +216,13 @@ class PrefixBPE:
 _LOADED: dict[str, PrefixBPE] = {}
 
 
-def _coder(vocabulary) -> PrefixBPE:
+def _coder(vocabulary, remembered: int = RECENT) -> PrefixBPE:
     """This Python worker's coder of a broadcast vocabulary."""
     raw = vocabulary.value
-    key = hashlib.sha256(raw).hexdigest()
+    key = f"{hashlib.sha256(raw).hexdigest()} {remembered}"
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = PrefixBPE(raw)
+        _LOADED[key] = PrefixBPE(raw, remembered)
     return _LOADED[key]
 
 
@@ -235,14 +231,15 @@ def _vocabulary(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, out_col: str = "token_ids", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, out_col: str = "token_ids", text_col: str = "text", vocabulary: str | None = None, remembered: int = RECENT) -> DataFrame:
     """``docs`` and the ids of each whole text, little-endian unsigned 32-bit
-    integers in a binary column."""
+    integers in a binary column.  ``remembered``: words whose ids a worker keeps at
+    hand; fewer take less memory and more time, and change no id."""
     shared = _vocabulary(docs, vocabulary)
 
     @F.arrow_udf("binary")
     def ids(texts: pa.Array) -> pa.Array:
-        coder = _coder(shared)
+        coder = _coder(shared, remembered)
         return pa.array([coder.encode(t.as_py()) for t in texts], pa.binary())
 
     safe, (text,) = aside(docs, text_col)
