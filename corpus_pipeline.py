@@ -73,7 +73,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with token_ids (little-endian unsigned 32-bit integers) and
     their count n_tokens; a null or empty text has none, and every row is encoded."""
-    coded = bpe.encode(docs, out_col="token_ids")
+    coded = bpe.encode(docs, out_col="token_ids", remembered=150_000)      # workers of earlier stages are still there
     n = len(docs.columns)
     safe = coded.toDF(*[f"c{i}" for i in range(n)], "ids")
     return safe.withColumn("n", F.expr("octet_length(ids) div 4")).toDF(*docs.columns, "token_ids", "n_tokens")
