@@ -209,16 +209,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_
     kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     known = cut_lineage(queries.join(kth, "query_id", "left")
                         .withColumn("least", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))).drop("kth"), "known-worst")
-    groups = {r.node: r for r in known.groupBy("node").agg(F.min("least").alias("worst"), F.max("far").alias("far")).collect()}
+    groups = {r.node: r for r in known.groupBy("node").agg(F.min("least").alias("worst"), F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     send = [(i, b, g) for i, r in nodes.items() for g, w in groups.items() for b in [-(-r.n // BLOCK)]
             if bound(pivots[g], w.far * (1 + 1e-9) + 1e-6, pivots[i], r.far * (1 + 1e-9) + 1e-6) >= w.worst]
-    # at most PIVOTS * PIVOTS rows
-    pairs = known.sparkSession.createDataFrame(send, "to_node int, blocks int, node int")
+    # a node's queries are dealt to parts of bounded size, and each of its blocks meets every part
+    parts = {i: -(-sum(groups[g].n for j, _, g in send if j == i) // BLOCK) for i in nodes}
+    # at most PIVOTS * PIVOTS rows, and PIVOTS
+    pairs = known.sparkSession.createDataFrame([(i, b, parts[i], g) for i, b, g in send], "to_node int, blocks int, parts int, node int")
+    many = known.sparkSession.createDataFrame([(i, p) for i, p in parts.items() if p], "node int, parts int")
     sent = (known.withColumnRenamed("block", "own").join(F.broadcast(pairs), "node")
+            .withColumn("part", F.pmod(F.xxhash64("v", "query_id"), F.col("parts")).cast("int"))
             .withColumn("to_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .where("not (to_node = node and to_block = own)")
-            .select(F.col("to_node").alias("node"), F.col("to_block").alias("block"), "query_id", "v", "least"))
-    rest = sent.groupBy("node", "block").cogroup(data.groupBy("node", "block")).applyInArrow(task, FOUND)
+            .select(F.col("to_node").alias("node"), F.col("to_block").alias("block"), "part", "query_id", "v", "least"))
+    met = data.join(F.broadcast(many), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    key = ("node", "block", "part")
+    rest = sent.groupBy(*key).cogroup(met.groupBy(*key)).applyInArrow(task, FOUND)
     place_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (own.unionByName(rest).distinct().withColumn("rank", F.row_number().over(place_of)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

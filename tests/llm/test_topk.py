@@ -45,6 +45,16 @@ def test_crowds_ties_and_edges(spark, monkeypatch, d, block):
     assert topk.top_k(df.limit(0), F.expr("vec_id % 10 = 0")).count() == 0
 
 
+def test_queries_of_a_node_in_many_parts(spark, monkeypatch):
+    """Every row asks, in one crowded node whose bound lets nothing be left out."""
+    monkeypatch.setattr(topk, "BLOCK", 30)
+    monkeypatch.setattr(topk, "PIVOTS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(8)).tolist()) for i in range(150)] + [(7, [9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, F.lit(True), k=3).where("query_id <> 7").collect())) == [r for r in slow_top(rows, lambda i: True, 3) if r[0] != 7]
+
+
 def test_few_rows_and_large_numbers(spark):
     rows = [(0, [1e7, 3.0]), (1, [1e7, 3.5]), (2, [-1e7, 2.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
