@@ -103,22 +103,29 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 300, l2: fl
 
 def train(docs: DataFrame, per_lang: int = 400, max_rows: int = 8000, max_langs: int = 256) -> CodeModel:
     """Fit on rows (doc_id, text, lang) with a non-null text and lang: ``per_lang``
-    of each language, fewer if that would make more than ``max_rows`` in all."""
-    rows = take(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    found = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(max_langs + 1).collect()]
+    of each language, fewer if that would make more than ``max_rows`` in all.
+    They are those of the smallest hash of id and text; repeated rows are one.
+
+    The number of a language's rows, told to some hundredths by a sketch, sets a
+    hash below which about twice as many lie as are wanted; only these are ranked,
+    so a language that most rows have sends no more than another to one task."""
+    rows = take(docs, "doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy("lang").limit(max_langs + 1).collect()
     if len(found) > max_langs:
         raise ValueError(f"more than {max_langs} languages to learn")
     per_lang = min(per_lang, max_rows // max(len(found), 1))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    below = [(r.lang, min(2 ** 63 - 1, int((2 * per_lang + 64) / max(r.n, 1) * 2.0 ** 64) - 2 ** 63)) for r in found]
+    cuts = docs.sparkSession.createDataFrame(below, "lang string, below long")      # at most max_langs rows
+    place = Window.partitionBy("lang").orderBy("key")
 
     @F.arrow_udf("binary")
     def shares(texts: pa.Array) -> pa.Array:
         return pa.array([ngram_shares(t.as_py()).tobytes() if LETTER.search(t.as_py()) else None for t in texts], pa.binary())
 
-    keys = (rows.select("doc_id", "lang", F.xxhash64("text").alias("key"), F.row_number().over(place).alias("n"))
-            .where(F.col("n") <= per_lang).select("doc_id", "lang", "key").distinct())
+    keys = (rows.select("lang", "key").join(F.broadcast(cuts), "lang").where("key <= below").select("lang", "key").distinct()
+            .withColumn("n", F.row_number().over(place)).where(F.col("n") <= per_lang).drop("n"))
     # at most max_rows rows
-    sample = (rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "lang", "key"])
+    sample = (rows.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
               .select("lang", "doc_id", "key", shares("text").alias("f")).where("f is not null").collect())
     every = sorted((r.lang, str(r.doc_id), r.key, bytes(r.f)) for r in sample)
     langs = sorted({r[0] for r in every})

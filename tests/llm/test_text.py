@@ -247,6 +247,22 @@ def test_language_edges(spark, edge, empty):
         langid.train(edge, max_langs=1)
 
 
+def test_language_sample(spark, monkeypatch):
+    """The rows of the smallest hashes train, each once, however often one is repeated."""
+    rows = [(i % 900, f"alpha beta {i}", "aa" if i % 3 else "bb") for i in range(3000)] + [(5, "one row often", "aa")] * 3000 + [(None, "no id", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, y, langs: seen.append((x, y, langs)))
+    langid.train(df, per_lang=40)
+    langid.train(df, per_lang=10 ** 6, max_rows=10 ** 6)
+    keyed = {(r.lang, r.k): r.text for r in df.selectExpr("lang", "xxhash64(doc_id, text) k", "text").collect()}
+    for (x, y, langs), n in zip(seen, (40, 10 ** 6)):
+        assert langs == ["aa", "bb"]
+        for c, lang in enumerate(langs):
+            want = sorted(langid.ngram_shares(keyed[k]).tobytes() for k in sorted(k for k in keyed if k[0] == lang)[:n])
+            assert sorted(np.float32(v).tobytes() for v in x[y == c]) == want
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 5, 6, 20])
 def test_codewords(k):
     code = langid.codewords(k)
