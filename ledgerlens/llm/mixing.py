@@ -11,8 +11,9 @@ and the other classes of its dimension share the rest by their targets;
 ``marginals`` tells both shares of every class.
 
 The cell table stays distributed: one row for each combination found,
-pre-aggregated before its shuffle, so a hot source or language is a few rows.
-Each sweep is one window sum over it per dimension.
+pre-aggregated before its shuffle.  Each sweep is one window over it per
+dimension, so a class's cells are sorted in one task: with very many sources
+those of one language are as many rows, whatever the number of documents.
 
 Defined cases: null attributes are classes of their own (the empty text
 stands for null in targets).  Target shares of classes without tokens are
