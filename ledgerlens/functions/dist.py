@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_RANK_BUCKETS = 4096
 DEFAULT_CUTOFF_BUCKETS = 65536
 BUCKET_ROWS = 100_000       # target rows of a bucket of a global order
@@ -93,30 +94,20 @@ def bucket_count(n_rows: int, per_bucket: int = BUCKET_ROWS) -> int:
 
 
 def quantile_bucket(df: DataFrame, col: str, n_buckets: int | None = None, out_col: str = "_b",
-                    descending: bool = False, rel_error: float = 1e-3) -> DataFrame:
+                    descending: bool = False) -> DataFrame:
     """Add a bucket id monotone in ``col`` with roughly equal-count buckets.
 
-    The number of buckets follows the number of rows unless given.  Cut points
-    come from ``percentile_approx`` (``n_buckets - 1`` doubles); assignment is a JVM-side binary search.
-    Equal values always land in the same bucket.
+    The number of buckets follows the number of rows unless given.  A bucket is a
+    partition of a range shuffle by ``col``, so no cut points are made here and equal
+    values always land in the same bucket.  The rows are written once with their
+    bucket, as a second shuffle may draw other ranges.  Nulls are in the first
+    bucket, or in the last with ``descending``, as Spark sorts them.
     """
     n_buckets = bucket_count(df.count()) if n_buckets is None else n_buckets
     if n_buckets <= 1:
         return df.withColumn(out_col, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = max(10000, int(1.0 / rel_error), 10 * n_buckets)
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs, acc).alias("q")).first()
-    cuts = sorted(set(v for v in (row["q"] or []) if v is not None))
-    splits = [float("-inf")] + cuts + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out_col, F.lit(0))
-    tmp = "_qb_in"
-    out = (Bucketizer(splits=splits, inputCol=tmp, outputCol=out_col + "_d", handleInvalid="keep")
-           .transform(df.withColumn(tmp, F.col(col).cast("double"))))
-    b = F.col(out_col + "_d").cast("int")
-    if descending:
-        b = F.lit(len(splits) - 1) - b
-    return out.withColumn(out_col, b).drop(tmp, out_col + "_d")
+    order = F.col(col).desc() if descending else F.col(col).asc()
+    return cut_lineage(df.repartitionByRange(n_buckets, order).withColumn(out_col, F.spark_partition_id()), "ranges")
 
 
 def running_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Column],
