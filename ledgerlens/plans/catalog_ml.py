@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import sig_round, sql_sig_round
 from ..functions.rand import sql_md5_uniform
-from ..operators import knn, metrics as M, models, prep, tuning
+from ..operators import fitcheck, knn, metrics as M, models, prep, tuning
 from ..session import reliable
 from ..sources import fixtures as fx
 from .catalog import U_ID, _sql_alloc, _sql_ranked
@@ -171,17 +171,19 @@ def _prepared(spark, d):
     return prepared(spark, fx.tx(spark, d))
 
 
-_FIT_SQL = W("tx") + _SPLIT + " SELECT id, Class, TRUE AS p_in_range, TRUE AS agrees FROM te"
+_FIT_SQL = W("tx") + _SPLIT + " SELECT id, Class, TRUE AS p_in_range, TRUE AS agrees, TRUE AS learned FROM te"
 
 
 def _fit_and_score(spark, d, name, params=None):
-    """Held-out rows: whether p is a probability and the label follows from it."""
+    """Held-out rows: whether p is a probability and the label follows from it, and
+    whether the model learned its training rows, which no constant answer does."""
     train, test, _ = _prepared(spark, d)
     f = models.train_model(models.make_model(name, params), train)
     p, label = F.col("p"), F.col("prediction")
     # an SVM's label follows its margin, its probability a monotone function of that
     follows = label.isin(0, 1) if name == "svm" else (label == 1) == (p > 0.5)
-    return f.predict(test).select("id", "Class", p.between(0, 1).alias("p_in_range"), follows.alias("agrees"))
+    return f.predict(test).select("id", "Class", p.between(0, 1).alias("p_in_range"), follows.alias("agrees"),
+                                  F.lit(fitcheck.learned(f, train)).alias("learned"))
 
 
 @query("random_forest_scores", "D1 D2 D7 D8", _FIT_SQL)
@@ -226,13 +228,18 @@ def q_reloaded(spark, d):
 
 
 @query("feature_importance", "D9 D10 A6",
-       "SELECT feature, TRUE AS not_negative, TRUE AS sums_to_one FROM (VALUES " + ", ".join(f"('{c}')" for c in C.FEATURES) + ") f(feature)")
+       "SELECT feature, TRUE AS not_negative, TRUE AS sums_to_one, TRUE AS as_splits FROM (VALUES " + ", ".join(f"('{c}')" for c in C.FEATURES) + ") f(feature)")
 def q_importance(spark, d):
+    """Importances of the forest, and whether the gains of its saved splits add up to them."""
+    import uuid
+    from ..session import shared_dir
     train, _, _ = _prepared(spark, d)
-    imp = models.feature_importance(models.train_model("random_forest", train))
-    top = models.top_importance(imp, len(C.FEATURES))
+    f = models.train_model("random_forest", train)
+    gains = fitcheck.split_gains(f, shared_dir(spark, f"io/splits-{uuid.uuid4().hex[:8]}")).withColumnRenamed("importance", "gain")
+    top = models.top_importance(models.feature_importance(f), len(C.FEATURES)).join(gains, "feature")
     total = F.sum("importance").over(Window.partitionBy())          # 30 rows
-    return top.select("feature", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"))
+    return top.select("feature", (F.col("importance") >= 0).alias("not_negative"), (F.abs(total - 1) < 1e-6).alias("sums_to_one"),
+                      (F.abs(F.col("importance") - F.col("gain")) < 1e-6).alias("as_splits"))
 
 
 def _grid_sql(models_, samplings):
