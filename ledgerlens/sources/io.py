@@ -174,14 +174,16 @@ def load_metrics_csv_into_table(spark: SparkSession, csv_path: str, root: str) -
 
 
 # ---- A11 - A14 history store ----------------------------------------------------
-# Partitions are (day of the timestamp, hash bucket of the batch id, writer, micro-batch):
-# their number follows time and micro-batches, not batch ids, and all rows of a batch
-# lie in one bucket of each of its days.  batch_id itself is a column, so '', NULL and
-# all-digit ids stay apart.  Rows of a stream's micro-batch are seen once its number is
+# Partitions are (slot of the timestamp's day, hash bucket of the batch id, writer,
+# micro-batch): their number follows micro-batches, neither batch ids nor the days that
+# the rows span, and all rows of a batch lie in one bucket of the slots of its days.
+# The column of the slot is named day, and stores whose folders hold the days themselves
+# are read as well.  batch_id itself is a column, so '', NULL and all-digit ids stay apart.  Rows of a stream's micro-batch are seen once its number is
 # committed in ``_commits``; what a writer that died has left is not seen, and the replay
 # removes it.  ``_schema`` holds the store's schema once it was changed.
 
 HISTORY_BUCKETS = 16
+HISTORY_SLOTS = 16              # days share them by their hash
 DIRECT = "direct"               # the writer of rows that no stream appended
 _PARTS = ["day", "bucket", "writer", "batch"]
 _LAYOUT = T.StructType([T.StructField("day", T.StringType()), T.StructField("bucket", T.IntegerType()),
@@ -193,6 +195,12 @@ def _bucket(batch_id) -> F.Column:
     return F.pmod(F.xxhash64(F.coalesce(batch_id, F.concat(F.lit("row "), F.col("id").cast("string")))), F.lit(HISTORY_BUCKETS)).cast("int")
 
 
+def _slot(timestamp) -> F.Column:
+    """Slot of a timestamp's day; rows without a timestamp share one of their own."""
+    slot = F.pmod(F.xxhash64(F.date_format(timestamp, "yyyyMMdd")), F.lit(HISTORY_SLOTS))
+    return F.when(timestamp.isNotNull(), F.format_string("slot%02d", slot)).otherwise(F.lit("none"))
+
+
 def _placed(scored: DataFrame, path: str, writer: str, batch: int) -> DataFrame:
     """Rows in the store's schema, with their partitions."""
     d = scored
@@ -201,7 +209,7 @@ def _placed(scored: DataFrame, path: str, writer: str, batch: int) -> DataFrame:
         if f.name not in d.columns:
             d = d.withColumn(f.name, F.lit(None).cast(f.dataType))
     d = d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-    d = d.withColumns({"day": F.coalesce(F.date_format("timestamp", "yyyyMMdd"), F.lit("none")), "bucket": _bucket(F.col("batch_id")),
+    d = d.withColumns({"day": _slot(F.col("timestamp")), "bucket": _bucket(F.col("batch_id")),
                        "writer": F.lit(writer), "batch": F.lit(batch).cast("long")})
     return d.hint("rebalance", "day", "bucket")
 

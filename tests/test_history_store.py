@@ -108,3 +108,16 @@ def test_deletes_keep_added_columns_and_other_writers(spark, store):
     assert io.delete_by_id(spark, store, 6) == 1 and io.delete_by_id(spark, store, 6) == 0
     left = io.read_history(spark, store, WIDE).collect()
     assert sorted(r.id for r in left) == [0, 2, 3, 5, 8, 9, 11] and {r.note for r in left} == {"kept"}
+
+
+def test_folders_do_not_grow_with_days(spark, store):
+    """Two rows a day over 1,500 days, some without a timestamp, lie in a bounded number of folders."""
+    many = spark.range(3000).select("id", F.when(F.col("id") % 100 != 7, F.timestamp_seconds(F.col("id") * 43_200)).alias("timestamp"),
+                                    F.concat(F.lit("b"), F.col("id")).alias("batch_id"), F.lit(1.0).alias("amount"))
+    io.append_history(many, store)
+    folders = files.matching(spark, f"{store}/day=*/bucket=*")
+    assert 0 < len(folders) <= (io.HISTORY_SLOTS + 1) * io.HISTORY_BUCKETS
+    assert len(files.matching(spark, f"{store}/day=none")) == 1
+    assert ids(spark, store) == list(range(3000))
+    assert io.delete_batch(spark, store, "b1207") == 1 and io.delete_by_id(spark, store, 20) == 1
+    assert ids(spark, store) == [i for i in range(3000) if i not in (20, 1207)]
