@@ -43,6 +43,23 @@ def test_quantiles_with_a_dominant_value(spark, share):
     assert [r["q_0"], r["q_1"], r["q_2"]] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.9]).tolist(), abs=1e-12)
 
 
+def test_quantiles_of_few_columns_sort_no_whole_column(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")           # far more partitions than columns
+    try:
+        df = spark.range(20_000).select(F.col("id").cast("double").alias("x"), F.sqrt("id").alias("y"))
+        q = exact_quantiles(df, ["x", "y"], [0.25, 0.5])
+        got = {r["feature"]: (r["q_0"], r["q_1"]) for r in q.collect()}
+        plan = q._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for c in ("x", "y"):
+        v = np.arange(20_000.0) if c == "x" else np.sqrt(np.arange(20_000.0))
+        assert got[c] == pytest.approx(tuple(np.quantile(v, [0.25, 0.5])), rel=1e-12)
+    # values of a column meet their brackets where they are, without a sort of the column
+    assert "_lo0" in plan and not [j for j in plan.splitlines() if "SortMergeJoin" in j and "Inner" in j]
+
+
 def test_counter_rate_with_equal_timestamps(spark):
     rows = [(i, "2024-01-01 00:00:%02d" % (i // 3), "s", float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "sample_id long, ts string, series string, counter double").withColumn("ts", F.to_timestamp("ts"))
