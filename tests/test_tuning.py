@@ -116,6 +116,14 @@ def test_attribution_in_batches_equals_that_by_rows(table, name):
         assert np.abs(a[c].to_numpy() - b[c].to_numpy()).max() < 1e-9
 
 
+def test_orders_drawn_in_tasks_are_the_md5_draws(spark):
+    for kind, ids in (("long", [0, 7, -3, 2 ** 40, None]), ("string", ["a", "", "é|1", None])):
+        rows = spark.createDataFrame([(v,) for v in ids], f"id {kind}")
+        got = rows.select(F.concat_ws("|", F.lit("42"), F.col("id").cast("string")).alias("head"),
+                          F.array(*[explain._order(42, 30, F.lit(p), "id") for p in range(3)]).alias("orders")).collect()
+        assert (explain._orders([r["head"] for r in got], 30, 3) == np.array([r["orders"] for r in got])).all()
+
+
 def test_sums_of_many_tasks_are_added_in_groups(spark, monkeypatch):
     monkeypatch.setattr(lockstep, "FAN_IN", 3)
     rows = spark.range(200).selectExpr("id % 5 AS fold", "CAST(id % 2 AS DOUBLE) AS y", "array(CAST(id AS DOUBLE)) AS x").repartition(20)
