@@ -67,6 +67,26 @@ def test_counter_rate_with_equal_timestamps(spark):
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_cells_sifted_by_a_product_lose_none(metric):
+    rng = np.random.default_rng(5)
+    wide = np.array([1e5, 1.0, 1.0, 30.0])
+    q, centres = rng.normal(size=(400, 4)) * wide, rng.normal(size=(60, 4)) * wide
+    q[:60] = centres                                                # rows that are centres
+    radius, reach = rng.uniform(0, 2e4, 60), rng.uniform(0, 2e4, 400)
+    radius[::9], reach[::7] = -np.inf, np.inf                       # empty cells; rows without a bound
+    d = knn.distances(q, centres, metric)
+    held = radius > -np.inf
+    for r in (reach, reach / 50):                                   # many cells in reach, and few
+        assert (knn._within_reach(q, centres, radius, r, metric) == (d - radius <= r[:, None]))[:, held].all()
+    cell, far = knn._own_centres(q, centres, metric)
+    assert (far == d[np.arange(400), cell]).all() and (far[:60] == 0).all()
+    q[3, 2] = np.nan
+    bad = knn.distances(q, centres, metric)
+    assert (knn._within_reach(q, centres, radius, reach, metric) == (bad - radius <= reach[:, None])).all()
+    assert np.isnan(knn._own_centres(q, centres, metric)[1][3])
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_knn_join_over_many_cells_and_blocks(spark, metric, exclude_self):
