@@ -1,4 +1,4 @@
-"""Work that is done once: scoring before an evaluation, node ids of a forest."""
+"""Work that is done once: scoring before an evaluation, node ids of a forest, the cells of workbooks."""
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import config as C
 from ledgerlens.operators import models
-from ledgerlens.plans import jobs
+from ledgerlens.plans import jobs, sheets
 
 
 def rows_of(spark, n=240):
@@ -42,3 +42,25 @@ def test_forest_caches_node_ids_and_stays_the_same(spark):
     weighted = models.balanced_weights(df, C.TARGET, "weight").withColumn(C.TARGET, F.col(C.TARGET).cast("double"))
     want = Pipeline(stages=[models.assembler(), est]).fit(weighted).stages[-1]
     assert [t.toDebugString.split("\n", 1)[1] for t in got.trees] == [t.toDebugString.split("\n", 1)[1] for t in want.trees]
+
+
+def test_technical_rows_shuffle_their_cells_once(spark):
+    names = list(reversed(C.REQUIRED_UPLOAD))
+    tech = lambda f, head: [(f, "Du lieu ky thuat", 1, 3, head), *[(f, "Du lieu ky thuat", 1, 4 + i, [f"{f}{i}:{c}" for c in head]) for i in range(2)]]
+    rows = [*tech("a", names), *tech("b", ["x" if c == "V5" else c for c in names]), *tech("c", ["x", None]),
+            ("a", "Du lieu ky thuat", 1, 9, None), ("a", "Du lieu ky thuat", 1, 10, names), ("a", "Sao ke", 0, 0, names), ("d", "Ghi chu", 2, 1, names)]
+    df = spark.createDataFrame(rows, "file string, sheet string, sheet_no int, row_no long, cells array<string>")
+    picks = spark.createDataFrame([(f, "Du lieu ky thuat") for f in "abc"], "file string, tech_sheet string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = sheets.technical_rows(df, picks)
+        got = {(r.file, r.row_no): r for r in out.collect()}
+        wide = [x for x in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Aggregate" in x and "min_by(cells" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert set(got) == {("a", 4), ("a", 5), ("a", 9), ("a", 10), ("b", 4), ("b", 5), ("c", 4), ("c", 5)}
+    assert got["a", 4]["V5"] == "a0:V5" and got["a", 5]["Time"] == "a1:Time" and got["a", 9]["V5"] is None and got["a", 10]["V1"] == "V1"
+    assert got["a", 4]["absent"] == [] and got["b", 4]["absent"] == ["V5"] and got["b", 4]["V5"] is None and got["b", 4]["V6"] == "b0:V6"
+    assert got["c", 4]["absent"] == list(C.REQUIRED_UPLOAD)
+    assert not wide
