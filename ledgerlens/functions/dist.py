@@ -13,8 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
@@ -133,3 +136,97 @@ def running_sums(df: DataFrame, order: Sequence[Column], values: dict[str, Colum
     for n in values:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0)))
     return out.drop(*[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
+
+
+FOLD_ROWS = 1 << 20         # rows that a task holds before it adds up those of equal value
+
+
+def _descending(x: pa.Array) -> np.ndarray:
+    """Numbers whose ascending order is Spark's descending order of doubles: NaN first, nulls
+    last, both zeros equal."""
+    v = x.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+    bits = np.where(np.isnan(v), np.nan, v).view(np.int64)
+    up = np.where(bits < 0, ~bits, bits | np.int64(-1 << 63)).view(np.uint64)
+    return np.where(x.is_null().to_numpy(zero_copy_only=False), np.uint64(0xFFFFFFFFFFFFFFFF), ~up)
+
+
+def _doubles(k: np.ndarray) -> pa.Array:
+    """The doubles of :func:`_descending`."""
+    up = ~k
+    bits = np.where(up >> np.uint64(63) != 0, up ^ np.uint64(1 << 63), ~up)
+    return pa.array(bits.view(np.float64), mask=up == 0)
+
+
+def _folded(g: np.ndarray, k: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct (g, k) in order, with the sums of their rows."""
+    at = np.lexsort((k, g))
+    g, k = g[at], k[at]
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
+    return g[first], k[first], [np.add.reduceat(v[at], first) for v in sums]
+
+
+def range_sums(ranged: DataFrame, group: str, value: str, totals: dict[str, str]) -> DataFrame:
+    """(group, value, counts, running sums of the counts) of each distinct double ``value`` of
+    each ``group``, in descending order, of rows that lie in ranges by (value descending,
+    group).  ``totals``: running sum -> its column of counts; groups and counts are long.
+
+    Each task puts its range in order and adds up on the way, so the rows are written
+    once, with their sums within the range, and are not shuffled again; it holds the distinct values of its
+    range.  What lies before a range is added from a table of ranges x groups."""
+    counts = list(totals.values())
+    rows = ranged.select(group, value, *counts, F.spark_partition_id().alias("_b"))
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(fields[c] for c in (group, value, *counts, "_b")), *(T.StructField(f"_r_{n}", T.LongType()) for n in totals)])
+
+    def run(batches):
+        held, size, bucket = [], 0, None
+
+        def fold():
+            g, k, *v = (np.concatenate(x) for x in zip(*held))
+            return _folded(g, k, v)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column("_b")[0].as_py()
+            whole = [b.column(c).to_numpy(zero_copy_only=False) for c in (group, *counts)]
+            held.append([whole[0], _descending(b.column(value)), *whole[1:]])
+            size += b.num_rows
+            if size > FOLD_ROWS:
+                g, k, v = fold()
+                held, size = [[g, k, *v]], 0
+        if not held:
+            return
+        g, k, v = fold()
+        opens = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(opens, len(g)))
+        within = []
+        for x in v:
+            upto = np.cumsum(x)
+            within.append(upto - np.repeat((upto - x)[opens], size))
+        out = pa.RecordBatch.from_arrays([pa.array(g), _doubles(k), *map(pa.array, v), pa.array(np.full(len(g), bucket, np.int32)), *map(pa.array, within)], schema.names)
+        for at in range(0, len(g), 10_000):
+            yield out.slice(at, 10_000)
+
+    told = cut_lineage(rows.mapInArrow(run, schema), "ranges")
+    parts = told.groupBy(group, "_b").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()])
+    earlier = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(group, "_b", *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in totals])
+    # one row for each group in a range of some 500,000 rows
+    out = told.join(F.broadcast(offsets), [group, "_b"])
+    return out.select(group, value, *counts, *[(F.col(f"_o_{n}") + F.col(f"_r_{n}")).alias(n) for n in totals])
+
+
+def range_numbers(df: DataFrame, order: str, out: str, n_buckets: int | None = None) -> DataFrame:
+    """1-based row number by ``order`` over the whole table.  The rows are shuffled and
+    written once, with their place in their range; the rows of the ranges before are
+    added from a table of one row for each range."""
+    n_buckets = bucket_count(df.count()) if n_buckets is None else n_buckets
+    placed = df.repartitionByRange(n_buckets, F.col(order).asc()).sortWithinPartitions(F.col(order).asc())
+    rows = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()), "ranges")    # range << 33 | place
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.withColumn("_b", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_b")
+                .select(*df.columns, (F.col("_off") + place + 1).cast("long").alias(out)))

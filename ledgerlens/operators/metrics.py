@@ -2,8 +2,7 @@
 
 All metrics are computed per group (``by``: e.g. model and sampling), so one
 pass over a long scored table evaluates any grid of runs.  Ranking metrics
-aggregate to distinct scores first and take running sums with the skew-safe
-helper, never a single-task window.
+move the rows once, into ranges of scores, and each task adds up its range.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dist import quantile_bucket, running_sums
+from .. import config as C
+from ..functions.dist import BUCKET_ROWS, bucket_count, range_sums
 from ..functions.numeric import safe_ratio
-from ..session import reliable
+from ..session import cut_lineage
 
 
 def confusion(df: DataFrame, label: str = "Class", pred: str = "prediction", by=()) -> DataFrame:
@@ -52,16 +52,25 @@ def score_groups(df: DataFrame, label: str = "Class", score: str = "p", by=(),
                  n_buckets: int | None = None) -> DataFrame:
     """Distinct scores per group with positive/negative counts and, in
     descending score order, the positives/negatives strictly above (tp_above,
-    fp_above) and up to and including (tp_cum, fp_cum) each score."""
-    g = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                   F.count_if(F.col(label) != 1).alias("neg"))
-    # read three times (cut points, bucket totals, running sums): written once
-    g = reliable(g)
-    b = quantile_bucket(g, score, n_buckets, descending=True)
-    r = running_sums(b, [F.col(score).desc()], {"tp_cum": F.col("pos"), "fp_cum": F.col("neg")},
-                     partition_by=by)
-    return (r.withColumn("tp_above", F.col("tp_cum") - F.col("pos"))
-             .withColumn("fp_above", F.col("fp_cum") - F.col("neg")).drop("_b"))
+    fp_above) and up to and including (tp_cum, fp_cum) each score, a double."""
+    hit = {"pos": F.col(label) == 1, "neg": F.col(label) != 1}
+    rows, names = df.select(*by, score, *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in hit.items()]), None
+    if by:                              # groups travel as numbers
+        names = cut_lineage(rows.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id()), "score-groups")
+        rows = rows.join(names, list(by))
+    else:
+        rows = rows.withColumn("_g", F.lit(0).cast("long"))
+    rows = rows.select("_g", F.col(score).cast("double").alias(score), *hit)
+    n = bucket_count(rows.count(), 5 * BUCKET_ROWS) if n_buckets is None else max(n_buckets, 1)
+    # the sample chooses between two ways to the same rows
+    told, distinct = rows.sample(0.01, seed=C.SEED).agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("_g", score))).first()
+    if 2 * distinct < told:             # repeated scores are summed before they move
+        rows = rows.groupBy("_g", score).agg(*[F.sum(c).alias(c) for c in hit])
+    ranged = rows.repartitionByRange(n, F.col(score).desc(), "_g")
+    r = range_sums(ranged, "_g", score, {"tp_cum": "pos", "fp_cum": "neg"})
+    if by:
+        r = r.join(names, "_g")
+    return r.select(*by, score, "pos", "neg", "tp_cum", "fp_cum", (F.col("tp_cum") - F.col("pos")).alias("tp_above"), (F.col("fp_cum") - F.col("neg")).alias("fp_above"))
 
 
 def ranking_metrics(groups: DataFrame, by=()) -> DataFrame:
