@@ -232,7 +232,7 @@ def _closed(sql: str, kind: str) -> str:
 def _ratio(spark, d, name, kind, complement, limit):
     root = _rule_root(spark, name)
     stream, _ = _deliveries(spark, d, root)
-    other = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").where(F.col("event_type") == kind)
+    other = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", fx.delivery_files(spark, f"{root}/in")).parquet(f"{root}/in").where(F.col("event_type") == kind)
     R.ratio_stream(stream, other, F.max("gauge"), F.avg("gauge"), "1 day", "5 days", f"{root}/out", complement=complement)
     return _window_out(spark.read.parquet(f"{root}/out"), limit)
 

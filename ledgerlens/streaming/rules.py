@@ -19,6 +19,7 @@ Every sink is written by micro-batch and replaced by a replay.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -171,9 +172,27 @@ def walk(island, samples, for_us: int):
     return closed, island
 
 
+def packed(samples) -> bytes:
+    """Samples (us, tie, ok) as three columns; 17 bytes each."""
+    if not samples:
+        return b""
+    us, tie, ok = zip(*samples)
+    flags = bytes(bool(o) | (t is None) << 1 for t, o in zip(tie, ok))
+    return array("q", us).tobytes() + array("q", [t or 0 for t in tie]).tobytes() + flags
+
+
+def unpacked(b: bytes) -> list:
+    n, us, tie = len(b) // 17, array("q"), array("q")
+    us.frombytes(b[:8 * n])
+    tie.frombytes(b[8 * n:16 * n])
+    return [(u, None if f & 2 else t, bool(f & 1)) for u, t, f in zip(us, tie, b[16 * n:])]
+
+
 class Islands(StatefulProcessor):
     """State of a series: the island open at the watermark, the samples behind
-    it still to come in order, and the number of versions told.
+    it still to come in order, and the number of versions told.  All of it is one
+    value, the samples packed as columns, as each call to the store is a message to
+    the executor: a series is read once and written once for each micro-batch.
 
     A version is what the series' open or provisional islands are now; islands
     that end before the watermark are told once, as final.  Timers are set to the
@@ -185,35 +204,29 @@ class Islands(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "us long, tie long, ok boolean")
-        self.island = handle.getValueState("island", "start long, last long, samples long, fired long")
-        self.version = handle.getValueState("version", "n long")
+        self.state = handle.getValueState("state", "pending binary, island array<long>, version long")
 
     def handleInputRows(self, key, rows, timerValues):
-        yield from self.advance(key, [tuple(p) for p in self.pending.get()] + [(r.us, r.tie, r.ok) for r in rows], timerValues)
+        yield from self.advance(key, [(r.us, r.tie, r.ok) for r in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.advance(key, [tuple(p) for p in self.pending.get()], timerValues)
+        yield from self.advance(key, [], timerValues)
 
     def advance(self, key, samples, times):
-        samples.sort()
+        pending, island, version = self.state.get() or (b"", None, -1)
+        samples = unpacked(pending) + samples
+        # a tie may be null; nulls come first
+        samples.sort(key=lambda s: (s[0], s[1] is not None, s[1] or 0, s[2]))
         passed = times.getCurrentWatermarkInMs() * 1000
         cut = next((i for i, s in enumerate(samples) if s[0] > passed), len(samples))
-        closed, island = walk(tuple(self.island.get()) if self.island.exists() else None, samples[:cut], self.for_us)
+        closed, island = walk(tuple(island) if island else None, samples[:cut], self.for_us)
         ahead, last = walk(island, samples[cut:], self.for_us)
-        if island is None:
-            self.island.clear()
-        else:
-            self.island.update(island)
         if cut < len(samples):
-            self.pending.put(samples[cut:])
             self.handle.registerTimer(samples[-1][0] // 1000 + 1)
-        else:
-            self.pending.clear()
         if island is not None and island[3] is None and island[0] + self.for_us > passed:
             self.handle.registerTimer((island[0] + self.for_us) // 1000 + 1)
-        n = self.version.get()[0] + 1 if self.version.exists() else 0
-        self.version.update((n,))
+        n = version + 1
+        self.state.update((packed(samples[cut:]), None if island is None else list(island), n))
         yield Row(series=key[0], us=None, last=None, samples=None, fired=None, final=False, version=n)
         for final, found in ((True, closed), (False, [*ahead, last])):
             for i in found:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_dir
+from ledgerlens.sources import fixtures as fx
 from ledgerlens.streaming import retention
 from ledgerlens.streaming import rules as R
 from ledgerlens.streaming import signals as L
@@ -142,6 +143,59 @@ def test_a_silent_series_is_finished_by_its_timer(spark):
     assert [(r.series, r.samples, (r.fired_at - r.island_start).total_seconds()) for r in final] == [("a", 5, 180.0)]
 
 
+def test_islands_read_and_write_a_series_once(monkeypatch):
+    """A micro-batch costs a series one read and one write of its state, however many samples wait."""
+    calls = []
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, v):
+            calls.append("update")
+            self.now = v
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, ms):
+            pass
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 2
+
+    p = R.Islands(1000)
+    p.init(Handle())
+    wait = [(5000, None, True), (3000, 7, True), (3000, None, False), (9000, 1, False)]
+    first = list(p.advance(("s",), [(1000, 1, True), *wait], Times()))
+    assert calls == ["get", "update"] and R.unpacked(R.packed(sorted(wait, key=str))) == sorted(wait, key=str)
+    assert [s[0] for s in R.unpacked(p.state.now[0])] == [3000, 3000, 5000, 9000] and p.state.now[1] == [1000, 1000, 1, None]
+    second = list(p.advance(("s",), [], Times()))
+    assert len(calls) == 4 and first[0].version == 0 and second[0].version == 1
+
+
+def test_a_large_delivery_is_written_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(fx, "DELIVERY_ROWS", 50)
+    from conftest import SMALL
+    one = fx.metrics_ts(spark, SMALL)
+    stream = fx.sample_stream(spark, SMALL, str(tmp_path / "in"))
+    n = fx.delivery_files(spark, str(tmp_path / "in"))
+    assert n > 1
+    batches = {}
+    q = stream.writeStream.foreachBatch(lambda b, i: batches.setdefault(i, sorted(r.sample_id for r in b.select("sample_id").collect()))).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {}
+    for r in fx.arrivals(one, spark).select("slice", "sample_id").collect():
+        want.setdefault(r.slice, []).append(r.sample_id)
+    assert batches == {i: sorted(v) for i, v in want.items()}
+
+
 def test_ratio_of_two_streams(spark):
     rows, src = samples(400), Source(spark)
     for part in shuffled(rows, 5, 10):
