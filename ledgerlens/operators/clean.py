@@ -29,15 +29,21 @@ def missing_message(missing: list[str]) -> str:
 
 
 def guarded_double(c: Column) -> Column:
-    """Text -> double as pandas.to_numeric would (T12): suffixed numbers are rejected."""
-    return F.when(F.trim(c).rlike(_SUFFIXED), F.lit(None).cast("double")).otherwise(c.try_cast("double"))
+    """Text -> double as pandas.to_numeric would (T12): suffixed numbers are rejected.
+    Only a text that holds a suffix's letter is matched with the pattern."""
+    text = c.cast("string")
+    lettered = text.contains("d") | text.contains("f") | text.contains("D") | text.contains("F")
+    return F.when(lettered & F.trim(c).rlike(_SUFFIXED), F.lit(None).cast("double")).otherwise(c.try_cast("double"))
+
+
+def parse_numeric(df: DataFrame, required=None) -> DataFrame:
+    """B3 before rows are dropped: required columns to double, unparseable -> null."""
+    return df.withColumns({c: guarded_double(F.col(c)) for c in required or C.REQUIRED_UPLOAD})
 
 
 def coerce_numeric(df: DataFrame, required=None) -> DataFrame:
     """Required columns to double, unparseable -> null, then drop rows with null/NaN."""
-    required = required or C.REQUIRED_UPLOAD
-    d = df.withColumns({c: guarded_double(F.col(c)) for c in required})
-    return d.dropna(subset=required)
+    return parse_numeric(df, required).dropna(subset=required or C.REQUIRED_UPLOAD)
 
 
 def coerce_rejects(df: DataFrame, required=None, key: str = "Row") -> DataFrame:

@@ -82,6 +82,5 @@ def row_numbers(df: DataFrame, order: str, out: str = "row") -> DataFrame:
     must not name a column of ``df`` in any case."""
     if out.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"column {out!r} exists already")
-    from ..functions.dist import quantile_bucket, running_sums
-    b = quantile_bucket(df, order)
-    return running_sums(b, [F.col(order)], {out: F.lit(1)}).drop("_b").withColumn(out, F.col(out).cast("long"))
+    from ..functions.dist import range_numbers
+    return range_numbers(df, order, out)

@@ -200,9 +200,9 @@ def batch_import(spark: SparkSession, upload: DataFrame, model: "models.Fitted",
     absent = [c for c in C.REQUIRED_UPLOAD if c not in upload.columns]
     if absent:
         raise ValueError(clean.missing_message(absent))
-    # the validated rows are read by the row-number passes and the scoring:
-    # cut them from the upload's lineage once
-    valid = cut_lineage(clean.coerce_numeric(upload), "upload")
+    # the parsed rows are read by the row-number passes and the scoring: they are cut from the
+    # upload's lineage once, and rows are dropped after that, or each cell would be parsed for the filter as well
+    valid = cut_lineage(clean.parse_numeric(upload), "upload").dropna(subset=C.REQUIRED_UPLOAD)
     valid = S.row_numbers(valid, "Row", "row_no").withColumns({
         "time_val": F.col("Time"), "amount_raw": F.col("Amount"), "v_features": clean.pack_features(valid)})
     bid = batch_id or batch_id_of(source)

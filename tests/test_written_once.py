@@ -64,3 +64,24 @@ def test_technical_rows_shuffle_their_cells_once(spark):
     assert got["a", 4]["absent"] == [] and got["b", 4]["absent"] == ["V5"] and got["b", 4]["V5"] is None and got["b", 4]["V6"] == "b0:V6"
     assert got["c", 4]["absent"] == list(C.REQUIRED_UPLOAD)
     assert not wide
+
+
+def test_an_upload_is_parsed_once_and_numbered_by_one_shuffle(spark, monkeypatch):
+    """Cells are not parsed for the filter as well, and no window sorts the wide rows again."""
+    plans, cut = {}, jobs.cut_lineage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return cut(df, name)
+
+    monkeypatch.setattr(jobs, "cut_lineage", seen)
+    df = rows_of(spark)
+    train, _, scaler = jobs.prepared(spark, df)
+    model = models.train_model("logistic_regression", train)
+    cells = {c: F.col(c).cast("string") for c in C.REQUIRED_UPLOAD}
+    bad = F.when(F.col("id") % 6 == 0, F.element_at(F.array(*[F.lit(x) for x in ("1d", "abc", "nan", "2F\n")]), (F.col("id") / 6 % 4 + 1).cast("int"))).otherwise(cells["Amount"])
+    upload = df.select(F.col("id").alias("Row"), *[(bad if n == "Amount" else c).alias(n) for n, c in cells.items()])
+    scored, summary = jobs.batch_import(spark, upload, model, scaler)
+    got = {r.Row: r.row_no for r in scored.collect()}
+    assert got == {i: n for n, i in enumerate((i for i in range(240) if i % 6), 1)} and summary.first()["total"] == 200
+    assert "Filter" not in plans["upload"] and "Window" not in plans["scored-batch"].replace("Window [sum(_n", "")
