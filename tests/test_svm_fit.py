@@ -37,7 +37,7 @@ class _Linear:
 def test_objective_is_no_worse_than_that_of_linear_svc(spark, table, params):
     fit = models.train_model(models.make_model("svm", params), table, feature_cols=COLS)
     local = table.toPandas()
-    z, y = fit.extra["fmap"](local[COLS].to_numpy()), local["Class"].to_numpy()
+    z, y = fit.extra["features"](local[COLS].to_numpy()), local["Class"].to_numpy()
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if fit.spec.balanced else np.ones(len(y))
     d = spark.createDataFrame([(r.tolist(), float(t), float(w)) for r, t, w in zip(z, y, weight)], "a array<double>, y double, w double").withColumn("v", array_to_vector("a"))
     svc = LinearSVC(featuresCol="v", labelCol="y", weightCol="w", regParam=fit.spark_params["regParam"], maxIter=60).fit(d)
@@ -46,7 +46,7 @@ def test_objective_is_no_worse_than_that_of_linear_svc(spark, table, params):
     margin = z @ fit.model.coefficients.toArray() + fit.model.intercept
     told = fit.predict(table).toPandas()
     again = told[COLS].to_numpy()
-    assert (told["prediction"].to_numpy() == (fit.extra["fmap"](again) @ fit.model.coefficients.toArray() + fit.model.intercept > 0)).all()
+    assert (told["prediction"].to_numpy() == (fit.extra["features"](again) @ fit.model.coefficients.toArray() + fit.model.intercept > 0)).all()
     assert ((margin > 0) == (y == 1)).mean() > 0.8 and told["p"].between(0, 1).all()
 
 
